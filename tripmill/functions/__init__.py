@@ -5,8 +5,6 @@ from tripmill.functions.expressions import (  # noqa: F401
     digest,
     flag,
     half_up,
-    mean_money,
-    money_sum,
     or_zero,
     share,
 )

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+# Money is summed in exact cents: a sum of doubles depends on the order in which tasks finish.
 MONEY = "decimal(18,2)"
 FIELD_SEPARATOR = "\u001f"
 
@@ -53,14 +54,5 @@ def half_up(value: Column, digits: int) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def money_sum(amount: Column) -> Column:
-    """Exact sum of cents: a sum of doubles depends on the order in which tasks finish."""
-    return F.sum(amount.try_cast(MONEY)).cast("double")
-
-
-def mean_money(amount: Column) -> Column:
-    return money_sum(amount) / F.count(F.lit(1)).cast("double")
-
-
 def share(part: Column, whole: Column) -> Column:
     return F.lit(100.0) * part.cast("double") / whole.cast("double")

@@ -119,6 +119,34 @@ def trip_mart(star: Star, words: Vocabulary, want: Sequence[str] = MART_COLUMNS)
     return joined.select(*(output(name) for name in want))
 
 
+def as_text_period(df: DataFrame) -> DataFrame:
+    """Year and month, where present, as text categories."""
+    return df.withColumns({name: F.col(name).cast("string") for name in PERIOD_TEXT if name in df.columns})
+
+
+def summarised(
+    star: Star,
+    columns: Sequence[str],
+    partials: Sequence[Column],
+    where: Column | None = None,
+    how: str = "left",
+) -> DataFrame:
+    """``partials`` per combination of mart ``columns``, not yet merged where labels coincide.
+
+    The fact is aggregated by its keys first and the dimensions are joined to that small result.
+    So the join sees one row per key combination, however many trips share one, and no dimension
+    needs to fit a broadcast. ``where`` is a condition on fact columns. Callers filter on the
+    labels and aggregate the partials again.
+    """
+    joins = [join for join in JOINS if set(columns) & set(join.outputs)]
+    own = [name for name in columns if not any(name in join.outputs for join in joins)]
+    fact = star["fact_trip"] if where is None else star["fact_trip"].filter(where)
+    keys = dict.fromkeys([*own, *(join.fact_key for join in joins)])
+    joined = join_dims(star, joins, how, fact.groupBy(*keys).agg(*partials))
+    wanted = {name for join in joins for name in join.outputs} - set(columns)
+    return joined.drop(*wanted, *(key for key in keys if key not in columns))
+
+
 def excluding(mart: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop the trips whose id is listed in a table of exclusions."""
     return mart.join(excluded.select("trip_id").distinct(), "trip_id", "left_anti")

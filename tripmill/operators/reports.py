@@ -6,30 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripmill.functions import half_up, mean_money, money_sum, share
+from tripmill.functions import MONEY, half_up, share
 from tripmill.operators.contracts import PlaceRules, Vocabulary
-from tripmill.operators.mart import JOINS, Star, join_dims
+from tripmill.operators.mart import JOINS, Star, join_dims, summarised
 from tripmill.operators.sampling import hash_sample
 
 SERVICE = tuple(join for join in JOINS if join.fact_key == "service_id")
-PICKUP = tuple(join for join in JOINS if join.fact_key == "pickup_place_id")
+INNER = "inner"
 
 Period = tuple[int, int]
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1)).alias("total_trips")
+def _trips() -> Column:
+    return F.count(F.lit(1)).alias("trips")
 
 
-def _both_groups(words: Vocabulary) -> list[str]:
-    return [words.metered_group, words.app_group]
+def _cents(measure: str) -> Column:
+    return F.sum(F.col(measure).try_cast(MONEY)).alias("cents")
 
 
-def _by_service(star: Star, *extra: Column) -> DataFrame:
-    fact = star["fact_trip"]
-    for condition in extra:
-        fact = fact.filter(condition)
-    return join_dims(star, SERVICE, "inner", fact)
+def _total_trips() -> Column:
+    return F.sum("trips").alias("total_trips")
+
+
+def _mean() -> Column:
+    return F.sum("cents").cast("double") / F.sum("trips").cast("double")
+
+
+def _in_groups(words: Vocabulary, groups: Sequence[str] | None) -> Column:
+    return F.col("service_group").isin(groups or [words.metered_group, words.app_group])
 
 
 def _in_period(period: Period) -> Column:
@@ -39,10 +44,10 @@ def _in_period(period: Period) -> Column:
 
 def market_share(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
     counts = (
-        _by_service(star)
-        .filter(F.col("service_group").isin(groups or _both_groups(words)))
+        summarised(star, ["year_month", "service_group"], [_trips()], how=INNER)
+        .filter(_in_groups(words, groups))
         .groupBy("year_month", "service_group")
-        .agg(_rows())
+        .agg(_total_trips())
     )
     month_total = F.sum("total_trips").over(Window.partitionBy("year_month"))
     share_pct = half_up(share(F.col("total_trips"), month_total), 2)
@@ -50,32 +55,33 @@ def market_share(star: Star, words: Vocabulary, groups: Sequence[str] | None = N
 
 
 def top_zones(star: Star, words: Vocabulary, k: int = 20, groups: Sequence[str] | None = None) -> DataFrame:
-    trips = join_dims(star, PICKUP, "inner", _by_service(star))
     return (
-        trips.filter(F.col("service_group").isin(groups or _both_groups(words)))
+        summarised(star, ["pickup_zone", "service_group"], [_trips()], how=INNER)
+        .filter(_in_groups(words, groups))
         .groupBy("pickup_zone", "service_group")
-        .agg(_rows())
+        .agg(_total_trips())
         .orderBy(F.desc("total_trips"), "pickup_zone", "service_group")
         .limit(k)
     )
 
 
 def tip_probability(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
+    tipped = F.count_if(F.col("tip") > 0).alias("tipped")
     counts = (
-        _by_service(star)
-        .filter(F.col("service_group").isin(groups or _both_groups(words)))
+        summarised(star, ["service_group"], [_trips(), tipped], how=INNER)
+        .filter(_in_groups(words, groups))
         .groupBy("service_group")
-        .agg(_rows(), F.count_if(F.col("tip") > 0).alias("tipped_trips"))
+        .agg(_total_trips(), F.sum("tipped").alias("tipped_trips"))
     )
     return counts.withColumn("tipped_pct", half_up(share(F.col("tipped_trips"), F.col("total_trips")), 1))
 
 
 def tip_mean_paid(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
     return (
-        _by_service(star, F.col("tip") > 0)
-        .filter(F.col("service_group").isin(groups or _both_groups(words)))
+        summarised(star, ["service_group"], [_trips(), _cents("tip")], F.col("tip") > 0, INNER)
+        .filter(_in_groups(words, groups))
         .groupBy("service_group")
-        .agg(half_up(mean_money(F.col("tip")), 2).alias("mean_tip"))
+        .agg(half_up(_mean(), 2).alias("mean_tip"))
     )
 
 
@@ -95,18 +101,17 @@ def tip_scatter(
     fare: tuple[float, float] = (1, 200),
     groups: Sequence[str] | None = None,
 ) -> DataFrame:
-    trips = _by_service(star, F.col("year") == year, F.col("tip") > 0, F.col("fare").between(*fare)).filter(
-        F.col("service_group").isin(groups or _both_groups(words))
-    )
+    chosen = (F.col("year") == year) & (F.col("tip") > 0) & F.col("fare").between(*fare)
+    trips = join_dims(star, SERVICE, INNER, star["fact_trip"].filter(chosen)).filter(_in_groups(words, groups))
     keyed = trips.select("service_group", "fare", "tip", "distance_mi", scatter_key().alias("sample_key"))
     return hash_sample(keyed, "sample_key", rows).drop("sample_key")
 
 
 def monthly_volume(star: Star) -> DataFrame:
     return (
-        _by_service(star)
+        summarised(star, ["year_month", "service_group"], [_trips()], how=INNER)
         .groupBy("year_month", "service_group")
-        .agg(_rows())
+        .agg(_total_trips())
         .orderBy("year_month", "service_group")
     )
 
@@ -119,9 +124,9 @@ def tip_by_era(star: Star, words: Vocabulary, during: tuple[str, str] = ("2020-0
         .otherwise(words.era_after)
     )
     return (
-        _by_service(star, F.col("tip") > 0)
+        summarised(star, ["year_month", "service_group"], [_trips(), _cents("tip")], F.col("tip") > 0, INNER)
         .groupBy("year_month", "service_group")
-        .agg(half_up(mean_money(F.col("tip")), 2).alias("mean_tip"))
+        .agg(half_up(_mean(), 2).alias("mean_tip"))
         .withColumn("era", era)
         .orderBy("year_month", "service_group")
     )
@@ -138,27 +143,32 @@ def _inside_core(rule: str, places: PlaceRules, words: Vocabulary) -> Column:
     raise ValueError(f"unknown core rule: {rule}")
 
 
+def _core_columns(rule: str) -> list[str]:
+    columns = {"service_zone": "pickup_service_zone", "region": "pickup_region_group"}
+    return list(dict.fromkeys(["pickup_district", columns.get(rule, "pickup_district")]))
+
+
 def core_zone_volume(
     star: Star, words: Vocabulary, places: PlaceRules, period: Period, rule: str = "service_zone"
 ) -> DataFrame:
-    trips = join_dims(star, PICKUP, "inner", _by_service(star, _in_period(period)))
+    trips = summarised(star, ["service_group", *_core_columns(rule)], [_trips()], _in_period(period), INNER)
     label = F.when(_inside_core(rule, places, words), words.zone_core).otherwise(words.zone_outside)
     return (
         trips.filter(F.col("pickup_district") == places.home_district)
         .withColumn("core_zone", label)
         .groupBy("service_group", "core_zone")
-        .agg(_rows())
+        .agg(_total_trips())
     )
 
 
 def fee_kpi(star: Star, period: Period) -> DataFrame:
-    fee = F.col("core_zone_fee")
+    charged = _in_period(period) & (F.col("core_zone_fee") > 0)
     return (
-        _by_service(star, _in_period(period), fee > 0)
+        summarised(star, ["service_group"], [_trips(), _cents("core_zone_fee")], charged, INNER)
         .groupBy("service_group")
         .agg(
-            half_up(money_sum(fee), 2).alias("total_fee"),
-            half_up(mean_money(fee), 2).alias("mean_fee"),
+            half_up(F.sum("cents").cast("double"), 2).alias("total_fee"),
+            half_up(_mean(), 2).alias("mean_fee"),
         )
     )
 
@@ -173,11 +183,11 @@ def before_after(
 ) -> DataFrame:
     """``before`` and ``after``: (label, (year, month))."""
     periods = _in_period(before[1]) | _in_period(after[1])
-    trips = join_dims(star, PICKUP, "inner", star["fact_trip"].filter(periods))
+    trips = summarised(star, ["year", "month", *_core_columns(rule)], [_trips()], periods, INNER)
     inside = F.when(_inside_core(rule, places, words), words.district_inside).otherwise(words.district_outside)
     return (
         trips.withColumn("period", F.when(_in_period(before[1]), before[0]).otherwise(after[0]))
         .withColumn("region", inside)
         .groupBy("period", "region")
-        .agg(_rows())
+        .agg(_total_trips())
     )

@@ -201,9 +201,8 @@ def operator_dim(operators: DataFrame, existing: DataFrame | None = None) -> Dat
 def fact_trip(unified: DataFrame, operators: DataFrame, model: StarModel) -> DataFrame:
     """One row per silver row.
 
-    ``operators`` should be read from its written table: its size is then known to the
-    optimizer, which broadcasts it below the threshold and otherwise joins by sort and merge
-    with the skew handling of adaptive execution. No hint overrides that choice.
+    ``operators`` should be read from its written table, whose size the optimizer knows: it
+    broadcasts it below the threshold and otherwise joins by sort and merge.
     """
     keyed = unified.join(operators.select("operator", "operator_id"), "operator", "left")
     words = model.words

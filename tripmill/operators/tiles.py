@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.functions import MONEY
 from tripmill.operators.contracts import Vocabulary
-from tripmill.operators.mart import Star, filter_by, trip_mart
+from tripmill.operators.mart import Star, as_text_period, filter_by, summarised
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,22 @@ def dashboard_tiles(words: Vocabulary, core_years: Sequence[str]) -> dict[str, T
     }
 
 
-def _aggregate(tile: Tile) -> Column:
-    measure = F.col(tile.measure)
-    if tile.measure == "trips":
-        total = F.sum(measure)
-    else:
-        total = F.sum(measure.try_cast(MONEY)).cast("double")
-    return total / F.count(measure).cast("double") if tile.average else total
+def _partial(tile: Tile) -> Column:
+    """Per key combination: trips, or cents of a money measure. The tip flag follows from the
+    joined label, so it needs no more than the trips."""
+    if tile.measure in ("trips", "tip_flag"):
+        return F.sum("trips").alias("part")
+    return F.sum(F.col(tile.measure).try_cast(MONEY)).alias("part")
+
+
+def _total(tile: Tile, words: Vocabulary) -> Column:
+    part = F.col("part")
+    if tile.measure == "tip_flag":
+        part = F.when(F.col("tipped") == words.yes, part).otherwise(F.lit(0))
+    total = F.sum(part)
+    if tile.average:
+        return total.cast("double") / F.sum("rows").cast("double")
+    return total if tile.measure in ("trips", "tip_flag") else total.cast("double")
 
 
 def build_tile(
@@ -65,10 +74,13 @@ def build_tile(
     ranges: Mapping[str, tuple[str | None, str | None]] | None = None,
 ) -> DataFrame:
     """A tile under the dashboard-wide filters (``categories``, ``ranges``) and its own."""
-    used = [*tile.categories, tile.measure, *tile.filters, *(categories or {}), *(ranges or {})]
-    mart = trip_mart(star, words, list(dict.fromkeys(used)))
-    chosen = filter_by(filter_by(mart, categories, ranges), tile.filters)
-    result = chosen.groupBy(*tile.categories).agg(_aggregate(tile).alias(tile.value))
+    used = [*tile.categories, *tile.filters, *(categories or {}), *(ranges or {})]
+    if tile.measure == "tip_flag":
+        used.append("tipped")
+    partials = [_partial(tile), F.count(F.lit(1)).alias("rows")]
+    combinations = as_text_period(summarised(star, list(dict.fromkeys(used)), partials))
+    chosen = filter_by(filter_by(combinations, categories, ranges), tile.filters)
+    result = chosen.groupBy(*tile.categories).agg(_total(tile, words).alias(tile.value))
     return result.orderBy(*tile.sort, *tile.categories) if tile.sort else result
 
 

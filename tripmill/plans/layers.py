@@ -6,6 +6,9 @@ scratch folder of the session.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tripmill.operators.conform import align, conform
@@ -15,25 +18,27 @@ from tripmill.plans.pipeline import Layout, new_load_id, read_star, run_gold
 from tripmill.session import scratch_path
 from tripmill.sources.tables import read_silver, write_silver
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+Layer = TypeVar("Layer")
+_OPENED: dict[tuple[str, str, str], object] = {}
 
 
-def _built(spark: SparkSession, sf_dir: str, layer: str, build) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, layer)
-    if key not in _BUILT:
-        path = scratch_path(spark, layer)
-        build(path)
-        _BUILT[key] = path
-    return _BUILT[key]
+def _opened(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], Layer]) -> Layer:
+    """What ``build`` returned for its fresh folder. Frames over written tables are plans, so
+    opening a layer once saves listing its folders and reading schemas for every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _OPENED:
+        _OPENED[key] = build(scratch_path(spark, name))
+    return _OPENED[key]
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip records of all feeds, one folder per feed."""
 
-    def build(path: str) -> None:
+    def build(path: str) -> DataFrame:
         warehouse.derive_trips(spark, sf_dir).write.partitionBy("feed").parquet(path)
+        return spark.read.parquet(path)
 
-    return spark.read.parquet(_built(spark, sf_dir, "landed", build))
+    return _opened(spark, sf_dir, "landed", build)
 
 
 def raw_feed(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
@@ -52,25 +57,31 @@ def marked_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def silver_root(spark: SparkSession, sf_dir: str) -> str:
-    def build(path: str) -> None:
+def silver_tables(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
+    """Root folder and frames of the silver tables."""
+
+    def build(path: str) -> tuple[str, dict[str, DataFrame]]:
         load_id = new_load_id()
         for feed, marked in marked_feeds(spark, sf_dir).items():
             write_silver(marked, f"{path}/{feed}", load_id)
+        contracts = warehouse.CONTRACTS.items()
+        return path, {feed: read_silver(spark, f"{path}/{feed}", contract) for feed, contract in contracts}
+
+    return _opened(spark, sf_dir, "silver", build)
 
-    return _built(spark, sf_dir, "silver", build)
+
+def silver_root(spark: SparkSession, sf_dir: str) -> str:
+    return silver_tables(spark, sf_dir)[0]
 
 
 def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    root = silver_root(spark, sf_dir)
-    return {
-        feed: read_silver(spark, f"{root}/{feed}", contract) for feed, contract in warehouse.CONTRACTS.items()
-    }
+    return silver_tables(spark, sf_dir)[1]
 
 
 def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    def build(path: str) -> None:
+    def build(path: str) -> dict[str, DataFrame]:
         layout = Layout(bronze="", silver=silver_root(spark, sf_dir), gold=path)
         run_gold(spark, layout, warehouse.MODEL, warehouse.zones(spark, sf_dir))
+        return read_star(spark, path)
 
-    return read_star(spark, _built(spark, sf_dir, "gold", build))
+    return _opened(spark, sf_dir, "gold", build)

@@ -34,6 +34,8 @@ DIMS = (
     "dim_congestion_status",
 )
 TABLES = (*DIMS, "fact_trip")
+# Rows of (id, name) that every executor can hold: some tens of megabytes.
+BROADCAST_OPERATORS = 500_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def run_silver(
         if read.frames:
             path = f"{layout.silver}/{feed}"
             conformed = conform_variants(read.frames, contract)
-            write_silver(mark_valid(dedup_with_counts(conformed)), path, load_id)
+            write_silver(mark_valid(dedup_with_counts(conformed)), path, load_id, read.periods)
             written[feed] = read_load(spark, path, load_id)
     return SilverResult(load_id, reconcile(written) if written else None, unreadable)
 
@@ -121,20 +123,25 @@ def build_dims(
 def run_gold(spark: SparkSession, layout: Layout, model: StarModel, zones: DataFrame) -> dict[str, int]:
     """Publish a new version of every gold table; returns the rows written to each.
 
-    The dimensions are written first: the fact reads the operator dimension back from its table.
+    The dimensions are written first. With an operator dimension of known and moderate size, the
+    fact is a map over silver: a broadcast lookup, and a write without any shuffle, since silver
+    files already hold one period each. A larger one is joined by sort and merge, with the skew
+    handling of adaptive execution, and the fact is gathered by period before the write.
     """
     silver, _ = tolerant_silver(spark, layout.silver, model.contracts)
     unified = star.unify(silver, model)
     written: dict[str, int] = {}
 
-    def write(table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        path = publish(df, layout.gold, table, partition_by)
+    def write(table: str, df: DataFrame, partition_by: tuple[str, ...] = (), gather: bool = True) -> None:
+        path = publish(df, layout.gold, table, partition_by, gather)
         written[table] = spark.read.parquet(path).count()  # from the file footers
 
     for table, df in build_dims(spark, model, zones, unified.select("operator"), layout.gold).items():
         write(table, df)
     operators = read_table(spark, layout.gold, "dim_operator")
-    write("fact_trip", star.fact_trip(unified, operators, model), PERIOD)
+    small = written["dim_operator"] <= BROADCAST_OPERATORS
+    fact = star.fact_trip(unified, F.broadcast(operators) if small else operators, model)
+    write("fact_trip", fact, PERIOD, gather=not small)
     return written
 
 

@@ -58,9 +58,11 @@ def footers(files: DataFrame, contract: FeedContract) -> DataFrame:
 
 @dataclass(frozen=True)
 class BronzeRead:
-    """Frames of one feed, one per physical variant, and the files that could not be read."""
+    """Frames of one feed, one per physical variant; how many period folders they span; and the
+    files that could not be read."""
 
     frames: list[DataFrame]
+    periods: int
     unreadable: list[tuple[str, str]]
 
 
@@ -91,4 +93,5 @@ def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedCo
         probed.unpersist()
     reader = spark.read.option("basePath", f"{root.rstrip('/')}/{contract.feed}")
     frames = [reader.parquet(*sorted(group)) for _, group in sorted(paths.items())]
-    return BronzeRead(frames, unreadable)
+    periods = len({path.rsplit("/", 1)[0] if path.endswith(".parquet") else path for group in paths.values() for path in group})
+    return BronzeRead(frames, periods, unreadable)

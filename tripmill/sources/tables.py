@@ -25,28 +25,38 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 ACCEPTED, LOAD = "accepted", "load_id"
+# Up to this many periods, a file per task and period still has a good size.
+FEW_PERIODS = 4
 
 
-def overwrite_periods(df: DataFrame, path: str, partition_by: Sequence[str] = PERIOD) -> None:
+def overwrite_periods(
+    df: DataFrame, path: str, partition_by: Sequence[str] = PERIOD, gather: bool = True
+) -> None:
     """Create the table, or replace just the partitions present in ``df``.
 
-    Rebalancing on the period gives each period few files; adaptive execution splits a period
-    that is far larger than the others, so no key needs a salt.
+    ``gather`` shuffles by period first, so that each gets few files; adaptive execution splits a
+    period that is far larger than the others, so no key needs a salt. Without it every task
+    writes to every period it holds, which is right for one or a few periods.
     """
+    gathered = df.hint("rebalance", *PERIOD) if gather else df
     (
-        df.hint("rebalance", *PERIOD)
-        .write.mode("overwrite")
+        gathered.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
     )
 
 
-def write_silver(marked: DataFrame, path: str, load_id: str) -> None:
+def write_silver(marked: DataFrame, path: str, load_id: str, periods: int | None = None) -> None:
     """Write de-duplicated rows with their verdict: the accepted ones are the silver table, the
     others lie beside it. One job, and afterwards every stage count can be read off the written
-    rows, which (unlike metrics gathered while writing) stay right when tasks are run again."""
-    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, (ACCEPTED, *PERIOD))
+    rows, which (unlike metrics gathered while writing) stay right when tasks are run again.
+
+    ``periods``, where known, is how many periods the load has. An incremental load of a few of
+    them needs no second shuffle after the one that de-duplicates.
+    """
+    gather = periods is None or periods > FEW_PERIODS
+    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, (ACCEPTED, *PERIOD), gather)
 
 
 def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
@@ -126,14 +136,18 @@ def current_version(spark: SparkSession, root: str, table: str) -> str | None:
     return None
 
 
-def publish(df: DataFrame, root: str, table: str, partition_by: Sequence[str] = ()) -> str:
+def publish(
+    df: DataFrame, root: str, table: str, partition_by: Sequence[str] = (), gather: bool = True
+) -> str:
     """Write the next version of a table. Readers see the old version until this one has
-    committed, and the new one after; nothing is replaced in place."""
+    committed, and the new one after; nothing is replaced in place. ``gather`` False skips the
+    shuffle by partition, for rows that already lie in partition order."""
     spark = df.sparkSession
     versions = _versions(spark, f"{root}/{table}")
     number = versions[-1][0] + 1 if versions else 1
     path = f"{root}/{table}/{VERSION}{number:06d}"
-    df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    gathered = df.hint("rebalance", *partition_by) if gather else df
+    gathered.write.partitionBy(*partition_by).parquet(path)
     return path
 
 
