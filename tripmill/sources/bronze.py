@@ -84,14 +84,16 @@ def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedCo
         uniform = folders.filter(~F.col("mixed")).select("variant", F.col("folder").alias("path"))
         single = probed.join(folders.filter("mixed").select("folder"), "folder", "left_semi")
         scans = uniform.unionByName(single.filter("variant is not null").select("variant", "path"))
-        paths: dict[str, list[str]] = defaultdict(list)
-        for row in scans.toLocalIterator():
-            paths[row["variant"]].append(row["path"])
-        bad = single.filter("error is not null").select("path", "error")
-        unreadable = [(row["path"], row["error"]) for row in bad.toLocalIterator()]
+        bad = single.filter("error is not null").select("variant", "path", "error")
+        listed = scans.withColumn("error", F.lit(None).cast("string")).unionByName(bad).collect()
     finally:
         probed.unpersist()
+    paths: dict[str, list[str]] = defaultdict(list)
+    for row in listed:
+        if row["error"] is None:
+            paths[row["variant"]].append(row["path"])
+    unreadable = [(row["path"], row["error"]) for row in listed if row["error"] is not None]
     reader = spark.read.option("basePath", f"{root.rstrip('/')}/{contract.feed}")
     frames = [reader.parquet(*sorted(group)) for _, group in sorted(paths.items())]
-    periods = len({path.rsplit("/", 1)[0] if path.endswith(".parquet") else path for group in paths.values() for path in group})
-    return BronzeRead(frames, periods, unreadable)
+    folders = {path if "=" in path.rsplit("/", 1)[-1] else path.rsplit("/", 1)[0] for group in paths.values() for path in group}
+    return BronzeRead(frames, len(folders), unreadable)

@@ -49,7 +49,8 @@ def calendar(ranges: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with size and period. File contents are not read."""
+    """Files below ``root`` with size and period. File contents are not read; Spark leaves out
+    files of zero bytes, which therefore count as not there."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
