@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import tripdata
 from tripmill.operators import checks, mart, reports, tiles
+from tripmill.operators.conform import conform
 from tripmill.operators.contracts import PERIOD
 from tripmill.plans import pipeline, trips
 from tripmill.plans.original_names import register_original_views
@@ -14,6 +15,7 @@ from tripmill.sources.places import read_zones
 from tripmill.sources.tables import export_csv, loaded_periods, read_silver, tolerant_silver
 
 WORDS = trips.WORDS
+SOURCE = "https://files.example/trips"
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def built(spark, tmp_path_factory):
     layout = pipeline.Layout(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
     tripdata.write_bronze(spark, root / "bronze")
     zones = read_zones(spark, tripdata.write_zones(root / "zones.csv"))
-    result = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones)
+    result = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones, SOURCE)
     return layout, zones, result
 
 
@@ -45,7 +47,9 @@ def test_stage_counts(built):
 def test_missing_periods_are_the_calendar_without_the_files(spark, built):
     _, _, result = built
     expected = trips.expected_calendar(spark)
-    assert result.missing.count() == expected.count() - 6
+    assert result.landing.gap.count() == expected.count() - 6
+    # computed when asked for: by now silver holds every period but that of the tiny fixture files
+    assert result.landing.pending.count() == 0
     assert expected.filter("feed = 'fhvhv'").agg(F.min(F.struct(*PERIOD))).first()[0] == (2019, 2)
 
 
@@ -135,10 +139,10 @@ def test_orphans_tell_unknown_ids_from_no_place(spark, built):
 def test_second_run_changes_nothing(spark, built):
     layout, zones, first = built
     before = fact_rows(spark, layout)
-    again = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones)
+    again = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones, SOURCE)
     assert again.silver.stages is None  # nothing pending
     assert fact_rows(spark, layout) == before
-    full = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones, full_load=True)
+    full = pipeline.run(spark, layout, trips.MODEL, trips.expected_calendar(spark), zones, SOURCE, full_load=True)
     feeds = full.silver.stages.filter("year is null")
     assert {r["feed"]: (r["raw"], r["dedup"], r["clean"]) for r in feeds.collect()} == tripdata.EXPECTED
     assert fact_rows(spark, layout) == before
@@ -172,6 +176,64 @@ def test_unreadable_file_is_reported_and_the_rest_is_read(spark, tmp_path):
     assert loaded_periods(spark, layout.silver, ["fhv"]).collect() == [("fhv", 2024, 12)]
 
 
+def test_landing_tells_unreadable_from_absent_and_remembers_failures(spark, tmp_path):
+    bronze = tmp_path / "bronze"
+    layout = pipeline.Layout(str(bronze), f"{tmp_path}/silver", f"{tmp_path}/gold")
+    rows = [tripdata.dispatch("2024-12-30 10:00:00", "2024-12-30 10:10:00")]
+    tripdata.write_month(spark, bronze, "fhv", (2024, 12), rows)
+    broken = bronze / "fhv/year=2025/month=01"
+    broken.mkdir(parents=True)
+    (broken / "fhv_tripdata_2025-01.parquet").write_bytes(b"x" * 2000)
+    small = bronze / "fhv/year=2025/month=02"
+    small.mkdir(parents=True)
+    (small / "fhv_tripdata_2025-02.parquet").write_bytes(b"x" * 5)
+    expected = trips.expected_calendar(spark)
+
+    def outcomes(result):
+        chosen = result.status.filter("feed = 'fhv' and storage_key rlike '2024-12|2025-0[123]'")
+        return {(r["year"], r["month"]): (r["status"], (r["error"] or "")[:12]) for r in chosen.collect()}
+
+    first = pipeline.run_landing(spark, layout, trips.MODEL, expected, SOURCE)
+    found = outcomes(first)
+    assert found[2024, 12] == ("OK", "") and found[2025, 3] == ("SKIP_404", "")
+    assert found[2025, 1][0] == found[2025, 2][0] == "FAIL" and "Arrow" in found[2025, 1][1]
+    urls = {r["url"].rsplit("/", 1)[1] for r in first.pending.collect()}
+    assert urls == {"fhv_tripdata_2025-01.parquet", "fhv_tripdata_2025-02.parquet"}
+    (broken / "fhv_tripdata_2025-01.parquet").unlink()
+    tripdata.write_month(spark, bronze, "fhv", (2025, 1), rows)
+    second = pipeline.run_landing(spark, layout, trips.MODEL, expected, SOURCE)
+    assert outcomes(second)[2025, 1][0] == "OK"
+    assert {r["storage_key"] for r in second.pending.collect()} == {
+        "fhv/year=2025/month=02/fhv_tripdata_2025-02.parquet"
+    }
+
+
+def test_one_year_at_a_time_equals_one_run(spark, built, tmp_path):
+    layout, _, _ = built
+    apart = pipeline.Layout(layout.bronze, f"{tmp_path}/silver", f"{tmp_path}/gold")
+    loads = [pipeline.run_silver(spark, apart, trips.MODEL, years=[y], audit_casts=True) for y in (2024, 2025)]
+    for feed, contract in trips.CONTRACTS.items():
+        whole = read_silver(spark, f"{layout.silver}/{feed}", contract)
+        parts = read_silver(spark, f"{apart.silver}/{feed}", contract)
+        assert whole.exceptAll(parts).count() == parts.exceptAll(whole).count() == 0
+    assert all(r["lost"] == 0 for load in loads for r in load.losses.collect())
+
+
+def test_names_equal_up_to_case_in_one_file(spark, tmp_path):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame([(1.0, None), (None, 2.0)], "Airport_fee double, airport_fee double")
+        df.write.parquet(f"{tmp_path}/yellow/year=2024/month=01")
+        files = manifest(spark, str(tmp_path))
+        read = read_feed(spark, str(tmp_path), files, trips.CONTRACTS["yellow"])
+        merged = conform(read.frames[0], trips.CONTRACTS["yellow"])
+        assert sorted(r["airport_fee"] for r in merged.collect()) == [1.0, 2.0]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    refused = read_feed(spark, str(tmp_path), manifest(spark, str(tmp_path)), trips.CONTRACTS["yellow"])
+    assert not refused.frames and "caseSensitive" in refused.unreadable[0][1]
+
+
 def test_no_silver_at_all_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tolerant_silver(spark, str(tmp_path), trips.CONTRACTS)

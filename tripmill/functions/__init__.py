@@ -3,6 +3,7 @@ from tripmill.functions.expressions import (  # noqa: F401
     band,
     clean_text,
     digest,
+    first_match,
     flag,
     half_up,
     or_zero,

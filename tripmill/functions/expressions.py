@@ -3,8 +3,7 @@ one of them stays inside whole-stage code generation."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -27,18 +26,21 @@ def flag(amount: Column) -> Column:
     return F.when(or_zero(amount) > 0, 1).otherwise(2)
 
 
+def first_match(cases: Iterable[tuple[Column, object]], default: object) -> Column:
+    """One CASE expression: the value of the first condition that holds, else the default."""
+    (condition, value), *rest = cases
+    chain = F.when(condition, value)
+    for condition, value in rest:
+        chain = chain.when(condition, value)
+    return chain.otherwise(default)
+
+
 def band(value: Column, cuts: Sequence[float]) -> Column:
     """1-based band number: the first cut point above ``value``, or the last band.
 
     Null and NaN compare false with every cut point and so end in the last band.
     """
-    first, *rest = cuts
-    chain = reduce(
-        lambda chain, numbered: chain.when(value < numbered[1], numbered[0]),
-        enumerate(rest, start=2),
-        F.when(value < first, 1),
-    )
-    return chain.otherwise(len(cuts) + 1)
+    return first_match(((value < cut, number) for number, cut in enumerate(cuts, start=1)), len(cuts) + 1)
 
 
 def digest(tag: str, columns: Sequence[str]) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tripmill.functions import band, clean_text, digest, flag, or_zero
+from tripmill.functions import band, clean_text, digest, first_match, flag, or_zero
 from tripmill.operators.contracts import (
     CANONICAL_TYPES,
     PERIOD,
@@ -51,15 +51,14 @@ CARRIED = (
 
 def decode_operator(columns: Sequence[str], rule: OperatorRule, words: Vocabulary) -> Column:
     """Operator text of one feed: the column itself, or its codes decoded. Codes are compared
-    as text, after dropping the ``.0`` that a double-typed code leaves."""
+    as text, with or without the ``.0`` that a double-typed code leaves."""
     if rule.column not in columns:
         return F.lit(words.unknown_operator)
     text = F.col(rule.column)
     if rule.codes is None:
         return text
-    code = F.regexp_replace(text, r"\.0$", "")
-    labels = [F.when(code == key, label) for key, label in rule.codes.items()]
-    return F.coalesce(*labels, F.lit(words.other_operator))
+    cases = ((text.isin(code, f"{code}.0"), label) for code, label in rule.codes.items())
+    return first_match(cases, words.other_operator)
 
 
 def operator_text(operator: Column, words: Vocabulary) -> Column:
@@ -102,13 +101,11 @@ def duration_seconds() -> Column:
 
 
 def classify_service(rules: Sequence[ServiceRule], default: int) -> Column:
-    matches = []
-    for rule in rules:
-        condition = F.col("feed") == rule.feed
-        if rule.licence is not None:
-            condition = condition & (F.col("operator_code") == rule.licence)
-        matches.append(F.when(condition, rule.service_id))
-    return F.coalesce(*matches, F.lit(default))
+    def condition(rule: ServiceRule) -> Column:
+        feed = F.col("feed") == rule.feed
+        return feed if rule.licence is None else feed & (F.col("operator_code") == rule.licence)
+
+    return first_match(((condition(rule), rule.service_id) for rule in rules), default)
 
 
 def distance_band(model: StarModel) -> Column:
@@ -150,12 +147,14 @@ def place_dim(zones: DataFrame, rules: PlaceRules, words: Vocabulary) -> DataFra
         *(clean_text(F.col(name)).alias(name) for name in ("district", "zone", "service_zone")),
     )
     place = F.col("place_id")
-    region = (
-        F.when(place.isin(*rules.airport_ids), words.region_airport)
-        .when(place.isin(*rules.core_ids), words.region_core)
-        .when(F.col("district") == rules.home_district, words.region_home)
-        .when(place.isin(*rules.unknown_ids), words.region_unknown)
-        .otherwise(words.region_other)
+    region = first_match(
+        (
+            (place.isin(*rules.airport_ids), words.region_airport),
+            (place.isin(*rules.core_ids), words.region_core),
+            (F.col("district") == rules.home_district, words.region_home),
+            (place.isin(*rules.unknown_ids), words.region_unknown),
+        ),
+        words.region_other,
     )
     return cleaned.withColumn("region_group", region)
 

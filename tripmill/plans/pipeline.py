@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.operators import quality, star
-from tripmill.operators.conform import conform_variants
+from tripmill.operators.conform import cast_losses, conform_variants
 from tripmill.operators.contracts import PERIOD, StarModel
 from tripmill.operators.silver import dedup_with_counts, mark_valid, pending_periods, reconcile
-from tripmill.sources.bronze import read_feed
-from tripmill.sources.landing import gap, manifest, present_periods
+from tripmill.session import shuffle_for
+from tripmill.sources import landing
+from tripmill.sources.bronze import footers, read_feed
+from tripmill.sources.landing import KEY, gap, manifest, present_periods
 from tripmill.sources.tables import (
     current_version,
     loaded_periods,
@@ -45,14 +48,25 @@ class Layout:
     gold: str
 
 
+@dataclass(frozen=True)
+class LandingResult:
+    """``status``: outcome per expected period. ``gap``: periods still to fetch. ``pending``: the
+    recorded failures whose file has not landed since."""
+
+    status: DataFrame
+    gap: DataFrame
+    pending: DataFrame
+
+
 @dataclass(frozen=True)
 class SilverResult:
     """``stages``: month, year and feed level counts of this load. ``unreadable``: per feed, the
-    (path, error) of files that were skipped."""
+    (path, error) of files that were skipped. ``losses``: values lost to casts, when audited."""
 
     load_id: str
     stages: DataFrame | None
     unreadable: Mapping[str, list[tuple[str, str]]]
+    losses: DataFrame | None
 
 
 class QualityFailure(RuntimeError):
@@ -63,25 +77,70 @@ def new_load_id() -> str:
     return f"{time.time_ns():020d}"
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda left, right: left.unionByName(right), frames)
+
+
+def run_landing(
+    spark: SparkSession, layout: Layout, model: StarModel, expected: DataFrame, source: str
+) -> LandingResult:
+    """Compare what lies in bronze with what should, and keep the table of failures up to date.
+
+    Periods that silver already holds count as there before; the footers of the others are
+    probed, so that a file that cannot be read is a failure and not an absence.
+    """
+    files = manifest(spark, layout.bronze)
+    before = loaded_periods(spark, layout.silver, list(model.contracts))
+    fresh = files.join(before, KEY, "left_anti")
+    probed = _union([footers(fresh.filter(F.col("feed") == feed), c) for feed, c in model.contracts.items()])
+    # One row per period; written, so that what follows does not probe the footers again.
+    publish(landing.status(expected, before, landing.attempts(probed)), layout.gold, "landing_status")
+    status = read_table(spark, layout.gold, "landing_status")
+    letters = f"{layout.gold}/dead_letter"
+    failed = landing.failures(status, source, F.lit(new_load_id()))
+    failed.hint("rebalance").write.mode("append").parquet(letters)
+    landed = status.filter(F.col("status").isin(landing.OK, landing.SKIP_EXISTS))
+    latest = landing.latest_failures(spark.read.parquet(letters), ["attempt"])
+    missing = gap(expected, present_periods(files))
+    return LandingResult(status, missing, landing.pending_failures(latest, landed))
+
+
 def run_silver(
-    spark: SparkSession, layout: Layout, model: StarModel, full_load: bool = False
+    spark: SparkSession,
+    layout: Layout,
+    model: StarModel,
+    full_load: bool = False,
+    years: Sequence[int] | None = None,
+    audit_casts: bool = False,
 ) -> SilverResult:
-    """One job per feed over all of its pending periods."""
+    """One job per feed over all of its pending periods.
+
+    ``years`` restricts the run: a full load of very many periods can go year by year, so that one
+    shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan.
+    """
     load_id = new_load_id()
     files = manifest(spark, layout.bronze).filter(F.col("feed").isin(*model.contracts))
+    if years is not None:
+        files = files.filter(F.col("year").isin(*years))
     loaded = loaded_periods(spark, layout.silver, list(model.contracts))
-    wanted = pending_periods(files, loaded, full_load)
-    work = files.join(wanted, ["feed", *PERIOD], "left_semi")
-    written, unreadable = {}, {}
+    work = files.join(pending_periods(files, loaded, full_load), KEY, "left_semi")
+    written, unreadable, losses = {}, {}, []
     for feed, contract in model.contracts.items():
         read = read_feed(spark, layout.bronze, work.filter(F.col("feed") == feed), contract)
         unreadable[feed] = read.unreadable
         if read.frames:
             path = f"{layout.silver}/{feed}"
-            conformed = conform_variants(read.frames, contract)
-            write_silver(mark_valid(dedup_with_counts(conformed)), path, load_id, read.periods)
+            marked = mark_valid(dedup_with_counts(conform_variants(read.frames, contract)))
+            with shuffle_for(spark, read.size):
+                write_silver(marked, path, load_id, read.periods)
             written[feed] = read_load(spark, path, load_id)
-    return SilverResult(load_id, reconcile(written) if written else None, unreadable)
+            losses += [cast_losses(frame, contract) for frame in read.frames]
+    return SilverResult(
+        load_id,
+        reconcile(written) if written else None,
+        unreadable,
+        _union(losses).groupBy("feed", "column").agg(F.sum("lost").alias("lost")) if audit_casts and losses else None,
+    )
 
 
 def run_quality(
@@ -156,7 +215,7 @@ def register_views(star_tables: Mapping[str, DataFrame]) -> None:
 
 @dataclass(frozen=True)
 class RunResult:
-    missing: DataFrame
+    landing: LandingResult
     silver: SilverResult
     quality: DataFrame
     gold: dict[str, int]
@@ -168,13 +227,13 @@ def run(
     model: StarModel,
     expected: DataFrame,
     zones: DataFrame,
+    source: str,
     full_load: bool = False,
     fail_on: frozenset[str] = frozenset(),
 ) -> RunResult:
-    """Landing gap, silver, quality (not blocking by default), gold. Safe to run again."""
-    missing = gap(expected, present_periods(manifest(spark, layout.bronze)))
+    """Landing, silver, quality (not blocking by default), gold. Safe to run again."""
+    landed = run_landing(spark, layout, model, expected, source)
     silver = run_silver(spark, layout, model, full_load)
     card = run_quality(spark, layout, model, fail_on)
     gold = run_gold(spark, layout, model, zones)
-    return RunResult(missing, silver, card, gold)
-
+    return RunResult(landed, silver, card, gold)

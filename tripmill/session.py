@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,20 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder; never reused, so nothing needs clearing first."""
     return f"{scratch_root(spark)}/tripmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+# Compressed input behind one shuffle partition: rows grow a few times when decoded.
+BYTES_PER_PARTITION = 64 * 1024**2
+
+
+@contextmanager
+def shuffle_for(spark: SparkSession, size: int) -> Iterator[None]:
+    """Enough shuffle partitions for ``size`` bytes of input, never fewer than configured.
+    Adaptive execution merges those that turn out small."""
+    name = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(configured), -(-size // BYTES_PER_PARTITION))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, configured)

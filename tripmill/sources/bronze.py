@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.operators.contracts import FeedContract
+from tripmill.operators.contracts import PERIOD, FeedContract
 
 # Schemes that Hadoop and Arrow name differently.
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
@@ -25,7 +25,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
-def _footers(wanted: frozenset[str]):
+def _footers(wanted: frozenset[str], case_sensitive: bool):
     """Per batch of paths: the spelling and type of the wanted columns in each file's footer."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,6 +38,9 @@ def _footers(wanted: frozenset[str]):
                 try:
                     filesystem, name = _open(path)
                     schema = pq.read_schema(name, filesystem=filesystem)
+                    lower = [name.lower() for name in schema.names]
+                    if len(set(lower)) < len(lower) and not case_sensitive:
+                        raise ValueError("columns equal up to case need spark.sql.caseSensitive=true")
                     fields = sorted([f.name, str(f.type)] for f in schema if f.name.lower() in wanted)
                     variants.append(json.dumps(fields))
                     errors.append(None)
@@ -52,17 +55,22 @@ def _footers(wanted: frozenset[str]):
 def footers(files: DataFrame, contract: FeedContract) -> DataFrame:
     """``files`` (a manifest) with ``variant`` and ``error``. Footers are read inside tasks;
     columns outside the contract do not split variants."""
-    probe = _footers(frozenset(contract.renames))
-    return files.select("path").mapInPandas(probe, "path string, variant string, error string")
+    case_sensitive = files.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    probe = _footers(frozenset(contract.renames), case_sensitive)
+    columns = "path string, length bigint, feed string, year int, month int"
+    return files.select("path", "length", "feed", *PERIOD).mapInPandas(
+        probe, f"{columns}, variant string, error string"
+    )
 
 
 @dataclass(frozen=True)
 class BronzeRead:
-    """Frames of one feed, one per physical variant; how many period folders they span; and the
-    files that could not be read."""
+    """Frames of one feed, one per physical variant; the period folders and bytes they span; and
+    the files that could not be read."""
 
     frames: list[DataFrame]
     periods: int
+    size: int
     unreadable: list[tuple[str, str]]
 
 
@@ -79,21 +87,24 @@ def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedCo
         mixed = F.count_if(F.col("error").isNotNull()) > 0
         folders = probed.groupBy("folder").agg(
             F.min("variant").alias("variant"),
+            F.sum("length").alias("length"),
             (mixed | (F.min("variant") != F.max("variant"))).alias("mixed"),
         )
-        uniform = folders.filter(~F.col("mixed")).select("variant", F.col("folder").alias("path"))
+        uniform = folders.filter(~F.col("mixed")).select(
+            "variant", F.col("folder").alias("path"), "folder", "length", F.lit(None).cast("string").alias("error")
+        )
         single = probed.join(folders.filter("mixed").select("folder"), "folder", "left_semi")
-        scans = uniform.unionByName(single.filter("variant is not null").select("variant", "path"))
-        bad = single.filter("error is not null").select("variant", "path", "error")
-        listed = scans.withColumn("error", F.lit(None).cast("string")).unionByName(bad).collect()
+        listed = uniform.unionByName(single.select("variant", "path", "folder", "length", "error")).collect()
     finally:
         probed.unpersist()
+    good = [row for row in listed if row["error"] is None]
     paths: dict[str, list[str]] = defaultdict(list)
-    for row in listed:
-        if row["error"] is None:
-            paths[row["variant"]].append(row["path"])
-    unreadable = [(row["path"], row["error"]) for row in listed if row["error"] is not None]
+    for row in good:
+        paths[row["variant"]].append(row["path"])
     reader = spark.read.option("basePath", f"{root.rstrip('/')}/{contract.feed}")
-    frames = [reader.parquet(*sorted(group)) for _, group in sorted(paths.items())]
-    folders = {path if "=" in path.rsplit("/", 1)[-1] else path.rsplit("/", 1)[0] for group in paths.values() for path in group}
-    return BronzeRead(frames, len(folders), unreadable)
+    return BronzeRead(
+        frames=[reader.parquet(*sorted(group)) for _, group in sorted(paths.items())],
+        periods=len({row["folder"] for row in good}),
+        size=sum(row["length"] for row in good),
+        unreadable=[(row["path"], row["error"]) for row in listed if row["error"] is not None],
+    )

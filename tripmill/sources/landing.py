@@ -119,15 +119,30 @@ def status_summary(statuses: DataFrame) -> DataFrame:
     )
 
 
-def latest_failures(failures: DataFrame, attempt: list[str]) -> DataFrame:
+def attempts(probed: DataFrame) -> DataFrame:
+    """Landing attempts out of probed files (path, length, feed, year, month, error): one row per
+    period, with the error of a file that could not be read, if there is one."""
+    return probed.groupBy(*KEY).agg(
+        F.sum("length").alias("length"), F.lit(None).cast("int").alias("http_code"), F.max("error").alias("error")
+    )
+
+
+def failures(statuses: DataFrame, source: str, attempt: Column) -> DataFrame:
+    """Dead-letter rows of one run: the failed periods, by the url they are fetched from."""
+    failed = statuses.filter(F.col("status") == FAIL)
+    url = F.concat(F.lit(f"{source.rstrip('/')}/"), file_name())
+    return failed.select(url.alias("url"), "feed", "storage_key", "error", attempt.alias("attempt"))
+
+
+def latest_failures(recorded: DataFrame, attempt: list[str]) -> DataFrame:
     """Last write wins on ``url``.
 
-    ``failures``: url, feed, storage_key, error and the ``attempt`` columns that order them.
+    ``recorded``: url, feed, storage_key, error and the ``attempt`` columns that order them.
     ``max_by`` combines on the map side, so a url with very many failures is no hot spot, as it
     would be in a window.
     """
     record = F.struct("feed", "storage_key", F.substring("error", 1, ERROR_CHARS).alias("error"), *attempt)
-    last = failures.groupBy("url").agg(F.max_by(record, F.struct(*attempt)).alias("record"))
+    last = recorded.groupBy("url").agg(F.max_by(record, F.struct(*attempt)).alias("record"))
     return last.select("url", "record.*")
 
 
