@@ -2,7 +2,7 @@
 
 Every query is materialised in full by a write to the ``noop`` sink: a warm-up, then the median of
 three runs. The layers that the mart queries read (landed, silver, gold) are built once before,
-timed on their own.
+timed on their own; silver and gold are built a second time, warm, for the rows per second.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from tripmill.plans import layers
 from tripmill.plans.registry import QUERIES
-from tripmill.session import build_session
+from tripmill.session import build_session, scratch_path
 
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
@@ -55,15 +55,20 @@ def main() -> None:
         run()
         seconds[name] = round(statistics.median(timed(run) for _ in range(RUNS)), 3)
     rows = layers.landed(spark, sf_dir).count()
+    silver_path, gold_path = scratch_path(spark, "bench-silver"), scratch_path(spark, "bench-gold")
+    rebuild = timed(lambda: layers.build_silver(spark, sf_dir, silver_path)) + timed(
+        lambda: layers.build_gold(spark, sf_dir, silver_path, gold_path)
+    )
     report = {
         "metric": "total seconds over all registered queries, warm, median of runs",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
-        "build_sec": {layer: round(spent, 3) for layer, spent in build.items()},
+        "cold_build_sec": {layer: round(spent, 3) for layer, spent in build.items()},
+        "warm_build_sec": round(rebuild, 3),
         "raw_rows": rows,
-        "rows_per_sec_conform_to_gold": round(rows / (build["silver"] + build["gold"])),
+        "rows_per_sec_conform_to_gold": round(rows / rebuild),
     }
     print(json.dumps(report))
 

@@ -76,7 +76,7 @@ def unify(silver: Mapping[str, DataFrame], model: StarModel) -> DataFrame:
             return F.col(name) if name in present else F.lit(None).cast(CANONICAL_TYPES[name])
 
         contract = model.contracts[feed]
-        identity = [name for name in (*contract.columns, *PERIOD) if name in present]
+        identity = [name for name in (*PERIOD, *contract.columns) if name in present]
         operator = decode_operator(df.columns, model.operators[feed], model.words)
         parts.append(
             df.select(
@@ -91,6 +91,17 @@ def unify(silver: Mapping[str, DataFrame], model: StarModel) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), parts)
 
 
+def operator_names(silver: Mapping[str, DataFrame], model: StarModel) -> DataFrame:
+    """Operator names in use. Reads one column per feed and decodes its distinct values only."""
+    parts = []
+    for feed, df in silver.items():
+        rule = model.operators[feed]
+        values = df.select(rule.column).distinct() if rule.column in df.columns else df.select(F.lit(None)).limit(1)
+        name = operator_text(decode_operator(df.columns, rule, model.words), model.words)
+        parts.append(values.select(name.alias("operator")))
+    return reduce(lambda left, right: left.unionByName(right), parts).distinct()
+
+
 # ---------------------------------------------------------------- derived columns
 
 
@@ -198,7 +209,7 @@ def operator_dim(operators: DataFrame, existing: DataFrame | None = None) -> Dat
 
 
 def fact_trip(unified: DataFrame, operators: DataFrame, model: StarModel) -> DataFrame:
-    """One row per silver row.
+    """One row per silver row. Year and month are those of the pickup: silver keeps no other row.
 
     ``operators`` should be read from its written table, whose size the optimizer knows: it
     broadcasts it below the threshold and otherwise joins by sort and merge.
@@ -232,7 +243,8 @@ def fact_trip(unified: DataFrame, operators: DataFrame, model: StarModel) -> Dat
         (F.col("extra") + F.col("transit_tax") + F.col("sales_tax")).alias("other_fees"),
         F.lit(1).alias("trips"),
         payment.alias("payment_class"),
-        F.date_format("pickup_ts", "yyyy-MM").alias("year_month"),
-        F.year("pickup_ts").alias("year"),
-        F.month("pickup_ts").alias("month"),
+        F.concat_ws("-", F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0")).alias(
+            "year_month"
+        ),
+        *PERIOD,
     )

@@ -57,17 +57,17 @@ def marked_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def silver_tables(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
-    """Root folder and frames of the silver tables."""
+def build_silver(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
+    load_id = new_load_id()
+    for feed, marked in marked_feeds(spark, sf_dir).items():
+        write_silver(marked, f"{path}/{feed}", load_id)
+    contracts = warehouse.CONTRACTS.items()
+    return {feed: read_silver(spark, f"{path}/{feed}", contract) for feed, contract in contracts}
 
-    def build(path: str) -> tuple[str, dict[str, DataFrame]]:
-        load_id = new_load_id()
-        for feed, marked in marked_feeds(spark, sf_dir).items():
-            write_silver(marked, f"{path}/{feed}", load_id)
-        contracts = warehouse.CONTRACTS.items()
-        return path, {feed: read_silver(spark, f"{path}/{feed}", contract) for feed, contract in contracts}
 
-    return _opened(spark, sf_dir, "silver", build)
+def silver_tables(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
+    """Root folder and frames of the silver tables."""
+    return _opened(spark, sf_dir, "silver", lambda path: (path, build_silver(spark, sf_dir, path)))
 
 
 def silver_root(spark: SparkSession, sf_dir: str) -> str:
@@ -78,10 +78,12 @@ def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return silver_tables(spark, sf_dir)[1]
 
 
-def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    def build(path: str) -> dict[str, DataFrame]:
-        layout = Layout(bronze="", silver=silver_root(spark, sf_dir), gold=path)
-        run_gold(spark, layout, warehouse.MODEL, warehouse.zones(spark, sf_dir))
-        return read_star(spark, path)
+def build_gold(spark: SparkSession, sf_dir: str, silver_path: str, path: str) -> dict[str, DataFrame]:
+    layout = Layout(bronze="", silver=silver_path, gold=path)
+    run_gold(spark, layout, warehouse.MODEL, warehouse.zones(spark, sf_dir))
+    return read_star(spark, path)
+
 
-    return _opened(spark, sf_dir, "gold", build)
+def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    root = silver_root(spark, sf_dir)
+    return _opened(spark, sf_dir, "gold", lambda path: build_gold(spark, sf_dir, root, path))

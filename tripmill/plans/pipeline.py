@@ -195,7 +195,7 @@ def run_gold(spark: SparkSession, layout: Layout, model: StarModel, zones: DataF
         path = publish(df, layout.gold, table, partition_by, gather)
         written[table] = spark.read.parquet(path).count()  # from the file footers
 
-    for table, df in build_dims(spark, model, zones, unified.select("operator"), layout.gold).items():
+    for table, df in build_dims(spark, model, zones, star.operator_names(silver, model), layout.gold).items():
         write(table, df)
     operators = read_table(spark, layout.gold, "dim_operator")
     small = written["dim_operator"] <= BROADCAST_OPERATORS

@@ -289,7 +289,7 @@ def time_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def dim_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.operator_dim(_unified(spark, sf_dir).select("operator"))
+    return star.operator_dim(star.operator_names(layers.silver(spark, sf_dir), MODEL))
 
 
 @register
