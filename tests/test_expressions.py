@@ -49,10 +49,11 @@ def test_text_and_rounding(spark):
 
 def test_row_id_ignores_absent_columns_but_not_their_place(spark):
     df = spark.createDataFrame([("x", None), (None, "x")], "a string, b string").withColumn("c", F.lit(None).cast("int"))
-    old = [r[0] for r in df.select(digest("f", ["a", "b"])).collect()]
-    grown = [r[0] for r in df.select(digest("f", ["a", "b", "c"])).collect()]
-    assert old == grown and len(set(old)) == 2
-    assert old != [r[0] for r in df.select(digest("g", ["a", "b"])).collect()]
+    a, b, c = (F.col(name) for name in "abc")
+    old = [r[0] for r in df.select(digest("f", [a, b])).collect()]
+    grown = [r[0] for r in df.select(digest("f", [a, b, c])).collect()]
+    assert old == grown and len(set(old)) == 2 and {len(row_id) for row_id in old} == {32}
+    assert old != [r[0] for r in df.select(digest("g", [a, b])).collect()]
 
 
 def test_hash_sample_is_the_exact_top(spark):

@@ -47,14 +47,14 @@ def _hex(value: Column) -> Column:
     return F.lpad(F.hex(value), 16, "0")
 
 
-def digest(tag: str, columns: Sequence[str]) -> Column:
+def digest(tag: str, columns: Sequence[Column]) -> Column:
     """128-bit row id in hex: two 64-bit hashes with different seeds.
 
     The hash skips nulls, so a mask of the columns that have a value is hashed along. Neither
     changes when a contract gains a column at its end that an old row does not have.
     """
-    present = [F.when(F.col(name).isNotNull(), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, name in enumerate(columns)]
-    mask = reduce(lambda left, right: left.bitwiseOR(right), (bit.cast("bigint") for bit in present))
+    bits = (F.when(value.isNotNull(), 1 << bit).otherwise(0).cast("bigint") for bit, value in enumerate(columns))
+    mask = reduce(lambda left, right: left.bitwiseOR(right), bits)
     halves = [F.xxhash64(F.lit(seed), F.lit(tag), mask, *columns) for seed in (1, 2)]
     return F.concat(*(_hex(half) for half in halves))
 

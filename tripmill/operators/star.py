@@ -76,7 +76,8 @@ def unify(silver: Mapping[str, DataFrame], model: StarModel) -> DataFrame:
             return F.col(name) if name in present else F.lit(None).cast(CANONICAL_TYPES[name])
 
         contract = model.contracts[feed]
-        identity = [name for name in (*PERIOD, *contract.columns) if name in present]
+        # Contract order, whatever columns the table has, so that an id depends on the row alone.
+        identity = [*(F.col(part) for part in PERIOD), *(column(name) for name in contract.columns)]
         operator = decode_operator(df.columns, model.operators[feed], model.words)
         parts.append(
             df.select(
