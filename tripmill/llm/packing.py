@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
             data, ends = raw.tobytes(), offsets.tolist()
-            for doc, begin, end in zip(batch.column("doc_id").to_pylist(), ends, ends[1:], strict=True):
+            for doc, begin, end in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
                 ids = np.append(words.ids(data[begin:end]), np.uint32(separator))
                 rows.extend(bins.put(doc, ids, slack))
                 if len(rows) >= ROWS_PER_BATCH:
