@@ -17,6 +17,7 @@ an empty table has no pieces.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -47,10 +48,13 @@ class Encoder:
     its words, one after the other, and words are remembered. Two generations of ``remember`` words at most
     are kept: when the younger is full it becomes the older, and what is still used moves over.
 
-    New words are encoded together, with a control character between them; its token marks where a word ends. The
-    token occurs in no other word, and words that hold the character are encoded alone."""
+    New words are encoded many at a time. A word of letters is one unit of the vocabulary's rules and ends in its only
+    token marked as a word's end; closing punctuation is a unit of its own, and case is folded by the rules. Other
+    words are encoded with a control character between them, whose token occurs in no other word; words that
+    hold the character are encoded alone."""
 
     MARK = b"\x01"
+    CLOSING = string.punctuation
 
     def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
@@ -59,21 +63,48 @@ class Encoder:
         self.remember = remember
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         (self.mark,) = self.plain(self.MARK.decode())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def recall(self, word: bytes) -> bytes | None:
+        found = self.young.get(word)
+        return self.old.get(word) if found is None else found
+
+    def remember_cut(self, words: list[bytes], coded: np.ndarray, ends: list[int], gap: int) -> None:
+        begin, data = 0, coded.tobytes()
+        for word, end in zip(words, ends, strict=True):
+            self.young[word] = data[4 * begin : 4 * end]
+            begin = end + gap
+
     def add(self, words: list[bytes]) -> None:
-        together = [word for word in words if self.MARK not in word]
+        lettered, others = [], []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(self.CLOSING)
+            if core.lower().isalpha():
+                tail = text[len(core) :]
+                lettered.append((word, (core.lower() if core.isascii() else core).encode(), tail))
+            else:
+                others.append(word)
+        new = [core for core in dict.fromkeys(core for _, core, _ in lettered) if self.recall(core) is None]
+        if new:
+            coded = np.array(self.plain(b" ".join(new).decode()), np.uint32)
+            self.remember_cut(new, coded, (np.flatnonzero(self.ends[coded]) + 1).tolist(), 0)
+        for word, core, tail in lettered:
+            if tail not in self.tails:
+                self.tails[tail] = np.array(self.plain(tail), np.uint32).tobytes()
+            self.young[word] = self.recall(core) + self.tails[tail]
+        together = [word for word in others if self.MARK not in word]
         if together:
             coded = np.array(self.plain((b" %s " % self.MARK).join(together).decode()), np.uint32)
-            ends = np.append(np.flatnonzero(coded == self.mark), len(coded)).tolist()
-            begin, data = 0, coded.tobytes()
-            for word, end in zip(together, ends, strict=True):
-                self.young[word] = data[4 * begin : 4 * end]
-                begin = end + 1
-        for word in words:
+            self.remember_cut(together, coded, np.append(np.flatnonzero(coded == self.mark), len(coded)).tolist(), 1)
+        for word in others:
             if self.MARK in word:
                 self.young[word] = np.array(self.plain(word.decode()), np.uint32).tobytes()
 
@@ -92,6 +123,8 @@ class Encoder:
         found = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
         if len(young) > self.remember:
             self.old, self.young = young, {}
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
         return found
 
 
