@@ -27,6 +27,7 @@ WINDOW = 8
 SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 HALF, STEPS, MIN_ROWS = 0.75, 5, 50
+SALTS = 64
 # Chi-square with five degrees of freedom: the factor that makes the covariance of the nearest 75 % consistent, and
 # the distance that one row in a million exceeds.
 CONSISTENCY, CUTOFF = 1.412, 35.9
@@ -104,6 +105,12 @@ def distance():
     return sum(terms[1:], terms[0])
 
 
+def held_against(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows (group, salt, ...) with the one row of their group. A group is met in ``SALTS`` parts: the join's parts aren't
+    those of a later sum by group, so that sum combines before it shuffles."""
+    return rows.join(per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["group", "salt"])
+
+
 def nearest(measured: DataFrame) -> DataFrame:
     """The rows up to the distance that the nearest ``HALF`` of their group reach, to a thousandth."""
     binned = measured.withColumn("bin", F.floor(F.log(F.col("distance") + 1e-6) * 1000))
@@ -111,7 +118,7 @@ def nearest(measured: DataFrame) -> DataFrame:
     upto = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("reached", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
     limits = bins.filter(F.col("reached") >= HALF * F.col("all")).groupBy("group").agg(F.min("bin").alias("limit"))
-    return binned.join(limits, "group").filter("bin <= limit")
+    return held_against(binned, limits).filter("bin <= limit")
 
 
 def inverted(frames):
@@ -129,9 +136,9 @@ def inverted(frames):
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(group, middle, inverse) of (group, x)."""
+    """(group, middle, inverse) of (group, salt, x)."""
     halves = rows.groupBy("group").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(DIMENSIONS))).alias("middle"))
-    away = rows.join(halves, "group").select("group", "middle", *(F.abs(F.col("x")[i] - F.col("middle")[i]).alias(f"a{i}") for i in range(DIMENSIONS)))
+    away = held_against(rows, halves).select("group", "middle", *(F.abs(F.col("x")[i] - F.col("middle")[i]).alias(f"a{i}") for i in range(DIMENSIONS)))
     widths = away.groupBy("group").agg(F.first("middle").alias("middle"), *(F.percentile_approx(f"a{i}", 0.5, 1000).alias(f"a{i}") for i in range(DIMENSIONS)))
     entry = lambda i, j: 1 / (F.pow(F.col(f"a{i}") * 1.4826, F.lit(2.0)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)
     current = saved(
@@ -139,7 +146,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     )
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
     for _ in range(STEPS):
-        near = nearest(rows.join(current, "group").select("group", "x", distance().alias("distance")))
+        near = nearest(held_against(rows, current).select("group", "salt", "x", distance().alias("distance")))
         sums = near.groupBy("group").agg(
             F.count("*").alias("n"),
             F.array(*(F.sum(F.col("x")[i]) for i in range(DIMENSIONS))).alias("sums"),
@@ -157,7 +164,8 @@ def judged(docs: DataFrame) -> DataFrame:
     enough = saved(sizes.select(F.col("own").alias("large")).unionByName(
         passed.agg(F.count("*").alias("size")).filter(F.col("size") >= MIN_ROWS).select(F.lit(EVERYTHING).alias("large"))
     ), "groups")
-    grouped = passed.select(F.explode(F.array("own", F.lit(EVERYTHING))).alias("group"), "x")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    grouped = passed.select(F.explode(F.array("own", F.lit(EVERYTHING))).alias("group"), salt, "x")
     found = estimates(saved(grouped.join(enough, F.col("group") == F.col("large"), "left_semi"), "vectors"))
     own = stats.join(enough, F.col("own") == F.col("large"), "left").withColumn("judge", F.coalesce("large", F.lit(EVERYTHING))).drop("large")
     measured = own.join(found.withColumnRenamed("group", "judge"), "judge", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
