@@ -39,7 +39,7 @@ BANDS, ROWS = 26, 4
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 REGIONS = 40
-RARE, REMEMBERED = 32, 500
+RARE, REMEMBERED, LESS = 32, 500, 0.15
 NEXT = mix(np.arange(1, 65, dtype=np.uint64))
 BYTES_AT_ONCE = 1 << 20
 
@@ -55,7 +55,7 @@ def throw(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, limit: np.
     for region in range(min(top, REGIONS) + 1):
         low, high = (0.0, 1.0) if region == 0 else (2.0 ** (region - 1), 2.0**region)
         here = np.flatnonzero(weight > low)
-        seed = mix(element[here] + np.uint64(region) * np.uint64(0x9E3779B97F4A7C15))
+        seed = mix(element[here] + NEXT[region])
         rank = np.zeros(len(here))
         number = 0
         while len(here):
@@ -171,8 +171,9 @@ def run_rows(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(each, "doc_id bigint, run bigint")
 
 
-def open_pairs(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): of the documents in ``mixed`` (key, doc_id, component), pairs of different components that may be similar."""
+def open_pairs(mixed: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): of the documents in ``mixed`` (key, band, doc_id, component), pairs of different components that may be similar.
+    A pair is made in the first band that it shares, if its signatures agree enough."""
     rows = saved(run_rows(texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")), "runs")
     often = rows.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
     rare = saved(rows.join(often, "run"), "rare-runs")
@@ -185,15 +186,24 @@ def open_pairs(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     order = Window.partitionBy("doc_id").orderBy("n", "run")
     first = rare.withColumn("place", F.row_number().over(order)).join(named, "doc_id")
     first = first.filter((F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1) & (F.col("n") > 1))
-    pairs = []
-    for base, key in ((first, "run"), (mixed.join(bounds, "doc_id").filter(F.col("usable") >= threshold * F.col("size") - 1e-9), "key")):
-        base = saved(base.select(key, "doc_id", "component", "size", "usable"), "open")
-        left, right = (base.select(F.col(key).alias(f"k{s}"), F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("size").alias(f"s{s}"), F.col("usable").alias(f"u{s}")) for s in "ab")
-        met = (F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
-        if key == "key":
-            met = met & (F.least("ua", "ub") >= threshold / (1 + threshold) * (F.col("sa") + F.col("sb")) - 1e-9)
-        pairs.append(left.join(right, met).select("a", "b"))
-    return pairs[0].unionByName(pairs[1]).distinct()
+    size_fits = (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9) & (F.col("ca") < F.col("cb"))
+    first = saved(first.select("run", "doc_id", "component", "size"), "first-runs")
+    left, right = (first.select(F.col("run").alias(f"k{s}"), F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("size").alias(f"s{s}")) for s in "ab")
+    by_run = left.join(right, (F.col("ka") == F.col("kb")) & size_fits).select("a", "b")
+
+    shared = mixed.join(bounds, "doc_id").filter(F.col("usable") >= threshold * F.col("size") - 1e-9)
+    shared = saved(shared.join(signed.select("doc_id", "bands"), "doc_id"), "open-bands")
+    left, right = (
+        shared.select(
+            F.col("key").alias(f"k{s}"), F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("size").alias(f"s{s}"),
+            F.col("usable").alias(f"u{s}"), F.col("bands").alias(f"v{s}"), F.col("band").alias(f"n{s}"),
+        )
+        for s in "ab"
+    )
+    enough = F.least("ua", "ub") >= threshold / (1 + threshold) * (F.col("sa") + F.col("sb")) - 1e-9
+    here = F.expr("array_position(zip_with(va, vb, (p, q) -> p = q), true) = na + 1")
+    by_band = left.join(right, (F.col("ka") == F.col("kb")) & size_fits & enough & here & (same_coordinates("va", "vb") >= int((threshold - LESS) * COORDINATES))).select("a", "b")
+    return by_run.unionByName(by_band).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -225,20 +235,24 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(check, "a bigint, b bigint")
 
 
+def same_coordinates(one: str, two: str):
+    """In how many coordinates two short signatures agree."""
+    lanes = " + ".join(f"int(shiftrightunsigned(x, {16 * k}) & 65535 = 0)" for k in range(ROWS))
+    return F.expr(f"aggregate(zip_with({one}, {two}, (p, q) -> p ^ q), 0, (n, x) -> n + {lanes})")
+
+
 def agreement(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """The pairs whose short signatures agree in a share ``least`` of coordinates at least."""
     sides = pairs.join(signed.select(F.col("doc_id").alias("a"), F.col("bands").alias("one")), "a").join(
         signed.select(F.col("doc_id").alias("b"), F.col("bands").alias("two")), "b"
     )
-    lanes = " + ".join(f"int(shiftrightunsigned(x, {16 * k}) & 65535 = 0)" for k in range(ROWS))
-    same = F.expr(f"aggregate(zip_with(one, two, (p, q) -> p ^ q), 0, (n, x) -> n + {lanes})")
-    return sides.filter(same >= int(least * COORDINATES)).select("a", "b")
+    return sides.filter(same_coordinates("one", "two") >= int(least * COORDINATES)).select("a", "b")
 
 
 def links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links between class representatives (a, b), enough of them to connect all that are linked."""
     places = signed.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    keyed = places.select("doc_id", F.xxhash64("band", "value").alias("key"))
+    keyed = places.select("doc_id", "band", F.xxhash64("band", "value").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = saved(keyed.join(sizes, "key"), "shared-bands")
     involved = docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -248,25 +262,25 @@ def links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     centre = ranked.groupBy("key").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("top"))
     centre = centre.select("key", (-F.col("top.col2")).alias("centre"))
     first = shared.join(centre, "key").filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    first = saved(agreement(first, signed, threshold - 0.15), "first-pairs")
+    first = saved(agreement(first, signed, threshold - LESS), "first-pairs")
     found = saved(verified(first, involved, threshold), "first-links")
     part = components(found)
     placed = saved(
-        shared.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")),
+        shared.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")),
         "placed-bands",
     )
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     mixed = saved(placed.join(split, "key"), "mixed-bands")
-    rest = open_pairs(mixed, involved, threshold)
+    rest = open_pairs(mixed, involved, signed, threshold)
     done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = saved(agreement(rest.join(done, ["a", "b"], "left_anti"), signed, threshold - 0.15), "second-pairs")
+    rest = saved(agreement(rest.join(done, ["a", "b"], "left_anti"), signed, threshold - LESS), "second-pairs")
     return found.unionByName(verified(rest, involved, threshold))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """(doc_id, class_id, kept): the class is named by its smallest id, which is kept."""
     signed = saved(sign(docs, weighting), "signatures")
-    copies = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("twin"))
+    copies = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("twin")), "digests")
     named = saved(
         signed.join(copies, "digest", "left").groupBy("doc_id").agg(F.min(F.coalesce("twin", "doc_id")).alias("twin")), "twins"
     )
