@@ -160,20 +160,29 @@ def test_quality_does_not_block_unless_asked(spark, built):
     pipeline.run_quality(spark, layout, trips.MODEL, fail_on=frozenset({"ERROR"}))
 
 
-def test_unreadable_file_is_reported_and_the_rest_is_read(spark, tmp_path):
+def test_period_with_an_unreadable_file_waits_and_is_completed(spark, tmp_path):
     bronze = tmp_path / "bronze"
     row = tripdata.dispatch("2024-12-30 10:00:00", "2024-12-30 10:10:00")
     tripdata.write_month(spark, bronze, "fhv", (2024, 12), [row])
     (bronze / "fhv/year=2024/month=12/broken.parquet").write_bytes(b"PAR1 not really")
     (bronze / "fhv/year=2025/month=01").mkdir(parents=True)
-    (bronze / "fhv/year=2025/month=01/broken.parquet").write_bytes(b"PAR")
+    (bronze / "fhv/year=2025/month=01/broken.parquet").write_bytes(b"PAR" * 600)
     layout = pipeline.Layout(str(bronze), f"{tmp_path}/silver", f"{tmp_path}/gold")
     result = pipeline.run_silver(spark, layout, trips.MODEL)
     assert [path.rsplit("/", 3)[1:] for path, _ in sorted(result.unreadable["fhv"])] == [
         ["year=2024", "month=12", "broken.parquet"],
         ["year=2025", "month=01", "broken.parquet"],
     ]
-    assert loaded_periods(spark, layout.silver, ["fhv"]).collect() == [("fhv", 2024, 12)]
+    assert loaded_periods(spark, layout.silver, ["fhv"]).collect() == []  # held back, not loaded in part
+    (bronze / "fhv/year=2024/month=12/broken.parquet").unlink()
+    tripdata.write_month(spark, bronze, "fhv", (2025, 2), [row])
+    small = bronze / "fhv/year=2025/month=03"
+    small.mkdir(parents=True)
+    (small / "small.parquet").write_bytes(b"PAR1PAR1")
+    again = pipeline.run_silver(spark, layout, trips.MODEL)
+    assert [path.rsplit("/", 1)[1] for path, _ in again.unreadable["fhv"]] == ["broken.parquet"]
+    found = read_silver(spark, f"{layout.silver}/fhv", trips.CONTRACTS["fhv"])
+    assert [(r["year"], r["month"]) for r in found.collect()] == [(2024, 12)]
 
 
 def test_landing_tells_unreadable_from_absent_and_remembers_failures(spark, tmp_path):
@@ -208,6 +217,21 @@ def test_landing_tells_unreadable_from_absent_and_remembers_failures(spark, tmp_
     }
 
 
+def test_full_load_replaces_months_whole(spark, tmp_path):
+    bronze = tmp_path / "bronze"
+    layout = pipeline.Layout(str(bronze), f"{tmp_path}/silver", f"{tmp_path}/gold")
+    good = tripdata.dispatch("2024-12-30 10:00:00", "2024-12-30 10:10:00")
+    late = tripdata.dispatch("2025-03-30 10:00:00", "2025-03-30 10:10:00")  # of another month: rejected
+    (folder := bronze / "fhv/year=2024/month=12").parent.mkdir(parents=True)
+    for row, kept in ((good, 1), (late, 0), (good, 1)):
+        for old in folder.glob("*"):
+            old.unlink()
+        tripdata.write_month(spark, bronze, "fhv", (2024, 12), [row])
+        stages = pipeline.run_silver(spark, layout, trips.MODEL, full_load=True).stages.filter("year is null").first()
+        found = read_silver(spark, f"{layout.silver}/fhv", trips.CONTRACTS["fhv"]).count()
+        assert found == kept == stages["clean"]
+
+
 def test_one_year_at_a_time_equals_one_run(spark, built, tmp_path):
     layout, _, _ = built
     apart = pipeline.Layout(layout.bronze, f"{tmp_path}/silver", f"{tmp_path}/gold")

@@ -158,8 +158,12 @@ def filter_by(
     ranges: Mapping[str, tuple[str | None, str | None]] | None = None,
 ) -> DataFrame:
     """Dashboard filters. Category: a list of values; None, ALL or a list holding ALL means no filter.
-    Range: inclusive bounds, None leaves a side open."""
+    Range: inclusive bounds, None leaves a side open. A range of ``year_month`` bounds ``year`` too, by
+    which the fact is partitioned, so months outside are not opened."""
     conditions: list[Column] = []
+    if "year_month" in (ranges or {}) and "year" in df.columns:
+        low, high = ranges["year_month"]
+        ranges = {**ranges, "year": (low and low[:4], high and high[:4]), "year_month": (low, high)}
     for name, values in (categories or {}).items():
         if values is None or values == ALL or ALL in values:
             continue

@@ -16,7 +16,7 @@ from tripmill.operators.silver import dedup_with_counts, mark_valid, pending_per
 from tripmill.session import shuffle_for
 from tripmill.sources import landing
 from tripmill.sources.bronze import footers, read_feed
-from tripmill.sources.landing import KEY, gap, manifest, present_periods
+from tripmill.sources.landing import KEY, manifest
 from tripmill.sources.tables import (
     current_version,
     loaded_periods,
@@ -101,7 +101,7 @@ def run_landing(
     failed.hint("rebalance").write.mode("append").parquet(letters)
     landed = status.filter(F.col("status").isin(landing.OK, landing.SKIP_EXISTS))
     latest = landing.latest_failures(spark.read.parquet(letters), ["attempt"])
-    missing = gap(expected, present_periods(files))
+    missing = expected.join(landed.select(*KEY), KEY, "left_anti")  # also what is there but failed
     return LandingResult(status, missing, landing.pending_failures(latest, landed))
 
 
@@ -123,7 +123,8 @@ def run_silver(
     if years is not None:
         files = files.filter(F.col("year").isin(*years))
     loaded = loaded_periods(spark, layout.silver, list(model.contracts))
-    work = files.join(pending_periods(files, loaded, full_load), KEY, "left_semi")
+    valid = landing.present_periods(files).filter(landing.large_enough())  # too small is a failure in landing
+    work = files.join(pending_periods(valid, loaded, full_load), KEY, "left_semi")
     written, unreadable, losses = {}, {}, []
     for feed, contract in model.contracts.items():
         read = read_feed(spark, layout.bronze, work.filter(F.col("feed") == feed), contract)

@@ -29,6 +29,7 @@ def _footers(wanted: frozenset[str], case_sensitive: bool):
     """Per batch of paths: the spelling and type of the wanted columns in each file's footer."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
         for batch in batches:
@@ -44,7 +45,10 @@ def _footers(wanted: frozenset[str], case_sensitive: bool):
                     fields = sorted([f.name, str(f.type)] for f in schema if f.name.lower() in wanted)
                     variants.append(json.dumps(fields))
                     errors.append(None)
-                except Exception as failure:  # a bad file is a result, not a crash
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ValueError, OSError) as failure:
+                    # A file of a bad format is a result; one that can't be reached now is a crash.
+                    if isinstance(failure, OSError) and "thrift" not in str(failure):
+                        raise
                     variants.append(None)
                     errors.append(f"{type(failure).__name__}: {failure}"[:200])
             yield batch.assign(variant=variants, error=errors)
@@ -75,7 +79,8 @@ class BronzeRead:
 
 
 def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedContract) -> BronzeRead:
-    """One multi-path read per schema variant over the given manifest rows.
+    """One multi-path read per schema variant over the given manifest rows. A period with an unreadable file is held back
+    whole: were its other files loaded, it would count as loaded and never be completed.
 
     Only paths come to the driver, which needs them to declare the scan: one per period folder
     whose files agree, single files otherwise.
@@ -97,7 +102,8 @@ def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedCo
         listed = uniform.unionByName(single.select("variant", "path", "folder", "length", "error")).collect()
     finally:
         probed.unpersist()
-    good = [row for row in listed if row["error"] is None]
+    held_back = {row["folder"] for row in listed if row["error"] is not None}
+    good = [row for row in listed if row["folder"] not in held_back]
     paths: dict[str, list[str]] = defaultdict(list)
     for row in good:
         paths[row["variant"]].append(row["path"])

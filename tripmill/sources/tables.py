@@ -48,15 +48,15 @@ def overwrite_periods(
 
 
 def write_silver(marked: DataFrame, path: str, load_id: str, periods: int | None = None) -> None:
-    """Write de-duplicated rows with their verdict: the accepted ones are the silver table, the
-    others lie beside it. One job, and afterwards every stage count can be read off the written
+    """Write de-duplicated rows with their verdict: the accepted ones are the silver table. Both sides of
+    a month lie in its one partition, so a reload replaces the month whole. One job, and afterwards every stage count can be read off the written
     rows, which (unlike metrics gathered while writing) stay right when tasks are run again.
 
     ``periods``, where known, is how many periods the load has. An incremental load of a few of
     them needs no second shuffle after the one that de-duplicates.
     """
     gather = periods is None or periods > FEW_PERIODS
-    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, (ACCEPTED, *PERIOD), gather)
+    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, PERIOD, gather)
 
 
 def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
@@ -68,7 +68,8 @@ def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
 def read_silver(spark: SparkSession, path: str, contract: FeedContract) -> DataFrame:
     """Accepted rows under the contract's current schema. Files written before a column joined
     the contract read it as null; no footer merging is needed."""
-    return read_periods(spark, accepted_path(path), contract)
+    rows = spark.read.schema(f"{contract.ddl}, {ACCEPTED} boolean").parquet(path)
+    return rows.filter(ACCEPTED).drop(ACCEPTED)
 
 
 def read_periods(spark: SparkSession, path: str, contract: FeedContract) -> DataFrame:
@@ -76,10 +77,6 @@ def read_periods(spark: SparkSession, path: str, contract: FeedContract) -> Data
     return spark.read.schema(contract.ddl).parquet(path)
 
 
-def accepted_path(path: str) -> str:
-    return f"{path}/{ACCEPTED}=true"
-
-
 def tolerant_silver(
     spark: SparkSession, root: str, contracts: Mapping[str, FeedContract]
 ) -> tuple[dict[str, DataFrame], list[str]]:
@@ -87,7 +84,7 @@ def tolerant_silver(
     found, missing = {}, []
     for feed, contract in contracts.items():
         path = f"{root}/{feed}"
-        if path_exists(spark, accepted_path(path)):
+        if path_exists(spark, path):
             found[feed] = read_silver(spark, path, contract)
         else:
             missing.append(feed)
@@ -97,23 +94,13 @@ def tolerant_silver(
 
 
 def loaded_periods(spark: SparkSession, root: str, feeds: Sequence[str]) -> DataFrame:
-    """Periods that the silver tables hold, from the file listing alone."""
-    paths = [accepted_path(f"{root}/{feed}") for feed in feeds]
-    there = [path for path in paths if path_exists(spark, path)]
-    if not there:
-        return spark.createDataFrame([], "feed string, year int, month int")
-    layout = rf"/([^/]+)/{ACCEPTED}=true/year=(\d+)/month=(\d+)/[^/]+$"
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(there)
-    )
-    return listing.filter(F.col("path").rlike(layout)).select(
-        F.regexp_extract("path", layout, 1).alias("feed"),
-        F.regexp_extract("path", layout, 2).cast("int").alias("year"),
-        F.regexp_extract("path", layout, 3).cast("int").alias("month"),
-    ).distinct()
+    """Periods of which the silver tables hold an accepted row; reads one narrow column besides the folder names."""
+    loaded = spark.createDataFrame([], "feed string, year int, month int")
+    for feed in feeds:
+        if path_exists(spark, path := f"{root}/{feed}"):
+            rows = spark.read.schema(f"{ACCEPTED} boolean, year int, month int").parquet(path).filter(ACCEPTED)
+            loaded = loaded.unionByName(rows.select(F.lit(feed).alias("feed"), *PERIOD).distinct())
+    return loaded
 
 
 # ---------------------------------------------------------------- gold
