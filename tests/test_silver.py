@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tripmill.operators.silver import (
@@ -95,8 +97,19 @@ def test_counts_of_a_load_come_from_what_it_wrote(spark, tmp_path):
     path = f"{tmp_path}/x"
     marked = mark_valid(dedup_with_counts(frame(spark, ROWS)))
     write_silver(marked, path, "first")
-    write_silver(marked.filter("month = 2"), path, "second", periods=1)
+    write_silver(marked.filter("month = 2"), path, "second", gather=False)
     total = {r["feed"]: r["raw"] for r in reconcile({"x": read_load(spark, path, "second")}).filter("year is null").collect()}
     assert total == {"x": 2}
     assert {tuple(r) for r in loaded_periods(spark, str(tmp_path), ["x", "absent"]).collect()} == {("x", 2024, 1), ("x", 2024, 2)}
     assert loaded_periods(spark, str(tmp_path), ["absent"]).count() == 0
+
+
+def test_scratch_folder_must_be_named_off_local_mode():
+    from types import SimpleNamespace
+
+    from tripmill.session import scratch_root
+
+    conf = SimpleNamespace(get=lambda name: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(sparkContext=context))

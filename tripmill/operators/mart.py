@@ -57,6 +57,12 @@ JOINS = (
         "congestion_status_id",
         {"congestion_charged": "congestion_charged"},
     ),
+    DimJoin(
+        "dim_congestion_status",
+        "core_fee_status_id",
+        "congestion_status_id",
+        {"core_fee_charged": "congestion_charged"},
+    ),
 )
 FACT_COLUMNS = (
     "trip_id",
@@ -76,10 +82,12 @@ FACT_COLUMNS = (
     "trips",
 )
 PERIOD_TEXT = ("year", "month")
+# The core-zone fee has its own flag; it joins the mart only where it is asked for.
+ON_REQUEST = ("core_fee_charged",)
 MART_COLUMNS = (
     *FACT_COLUMNS,
     *PERIOD_TEXT,
-    *(name for join in JOINS for name in join.outputs),
+    *(name for join in JOINS for name in join.outputs if name not in ON_REQUEST),
     "tip_flag",
 )
 
@@ -103,7 +111,7 @@ def join_dims(star: Star, joins: Sequence[DimJoin], how: str = "left", fact: Dat
 
 def trip_mart(star: Star, words: Vocabulary, want: Sequence[str] = MART_COLUMNS) -> DataFrame:
     """Left join of the dimensions behind ``want``; year and month become text categories."""
-    unknown = sorted(set(want) - set(MART_COLUMNS))
+    unknown = sorted(set(want) - {*MART_COLUMNS, *ON_REQUEST})
     if unknown:
         raise ValueError(f"not mart columns: {unknown}")
     needed = set(want) | ({"tipped"} if "tip_flag" in want else set())

@@ -25,12 +25,18 @@ def _cents(measure: str) -> Column:
     return F.sum(F.col(measure).try_cast(MONEY)).alias("cents")
 
 
+def _valued(measure: str) -> Column:
+    """Rows whose measure is an amount; NaN and amounts beyond the type have no part in a mean."""
+    return F.count(F.col(measure).try_cast(MONEY)).alias("valued")
+
+
 def _total_trips() -> Column:
     return F.sum("trips").alias("total_trips")
 
 
 def _mean() -> Column:
-    return F.sum("cents").cast("double") / F.sum("trips").cast("double")
+    """Mean of amounts in whole cents (each is rounded to cents before it is summed)."""
+    return F.try_divide(F.sum("cents").cast("double"), F.sum("valued").cast("double"))
 
 
 def _in_groups(words: Vocabulary, groups: Sequence[str] | None) -> Column:
@@ -78,7 +84,7 @@ def tip_probability(star: Star, words: Vocabulary, groups: Sequence[str] | None
 
 def tip_mean_paid(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
     return (
-        summarised(star, ["service_group"], [_trips(), _cents("tip")], F.col("tip") > 0, INNER)
+        summarised(star, ["service_group"], [_valued("tip"), _cents("tip")], F.col("tip") > 0, INNER)
         .filter(_in_groups(words, groups))
         .groupBy("service_group")
         .agg(half_up(_mean(), 2).alias("mean_tip"))
@@ -124,7 +130,7 @@ def tip_by_era(star: Star, words: Vocabulary, during: tuple[str, str] = ("2020-0
         .otherwise(words.era_after)
     )
     return (
-        summarised(star, ["year_month", "service_group"], [_trips(), _cents("tip")], F.col("tip") > 0, INNER)
+        summarised(star, ["year_month", "service_group"], [_valued("tip"), _cents("tip")], F.col("tip") > 0, INNER)
         .groupBy("year_month", "service_group")
         .agg(half_up(_mean(), 2).alias("mean_tip"))
         .withColumn("era", era)
@@ -164,7 +170,7 @@ def core_zone_volume(
 def fee_kpi(star: Star, period: Period) -> DataFrame:
     charged = _in_period(period) & (F.col("core_zone_fee") > 0)
     return (
-        summarised(star, ["service_group"], [_trips(), _cents("core_zone_fee")], charged, INNER)
+        summarised(star, ["service_group"], [_valued("core_zone_fee"), _cents("core_zone_fee")], charged, INNER)
         .groupBy("service_group")
         .agg(
             half_up(F.sum("cents").cast("double"), 2).alias("total_fee"),

@@ -56,13 +56,19 @@ def _partial(tile: Tile) -> Column:
     return F.sum(F.col(tile.measure).try_cast(MONEY)).alias("part")
 
 
+def _rows(tile: Tile) -> Column:
+    """Rows that a mean divides by: those whose measure is an amount."""
+    counted = F.lit(1) if tile.measure in ("trips", "tip_flag") else F.col(tile.measure).try_cast(MONEY)
+    return F.count(counted).alias("rows")
+
+
 def _total(tile: Tile, words: Vocabulary) -> Column:
     part = F.col("part")
     if tile.measure == "tip_flag":
         part = F.when(F.col("tipped") == words.yes, part).otherwise(F.lit(0))
     total = F.sum(part)
     if tile.average:
-        return total.cast("double") / F.sum("rows").cast("double")
+        return F.try_divide(total.cast("double"), F.sum("rows").cast("double"))
     return total if tile.measure in ("trips", "tip_flag") else total.cast("double")
 
 
@@ -77,7 +83,7 @@ def build_tile(
     used = [*tile.categories, *tile.filters, *(categories or {}), *(ranges or {})]
     if tile.measure == "tip_flag":
         used.append("tipped")
-    partials = [_partial(tile), F.count(F.lit(1)).alias("rows")]
+    partials = [_partial(tile), _rows(tile)]
     combinations = as_text_period(summarised(star, list(dict.fromkeys(used)), partials))
     chosen = filter_by(filter_by(combinations, categories, ranges), tile.filters)
     result = chosen.groupBy(*tile.categories).agg(_total(tile, words).alias(tile.value))

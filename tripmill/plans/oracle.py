@@ -158,12 +158,14 @@ mart as (
          pu.district as pickup_district, pu.zone as pickup_zone, pu.service_zone as pickup_service_zone,
          pu.region_group as pickup_region_group, dp.district as dropoff_district, dp.zone as dropoff_zone,
          distance_band, distance_description, time_band, t.label as tipped, c.label as congestion_charged,
+         k.label as core_fee_charged,
          case when t.label = 'YES' then 1e0 else 0e0 end as tip_flag
   from fact f
   left join service using (service_id) left join operators using (operator_id)
   left join place pu on f.pickup_place_id = pu.place_id left join place dp on f.dropoff_place_id = dp.place_id
   left join distance_dim using (distance_band_id) left join time_dim using (time_band_id)
   left join yes_no t on f.tip_status_id = t.id left join yes_no c on f.congestion_status_id = c.id
+  left join yes_no k on f.core_fee_status_id = k.id
 )"""
 
 MART_OUTPUT = (
@@ -273,7 +275,7 @@ for _feed, _columns in {"a": METERED, "b": METERED, "c": APP, "d": DISPATCH}.ite
 
 ORACLE |= {
     "conform_text": f"""with {CONFORMED} select feed, coalesce(dispatch_base, operator_code) as text,
-        count(*) as total_rows from conformed where feed in ('c', 'd') group by all""",
+        count(*) as total_rows from conformed where feed is not null group by all""",
     "drift_align": f"""with {CONFORMED} select {METERED.replace('core_zone_fee', 'core')}
         from (select *, case when year >= 1997 then core_zone_fee end as core from conformed) where feed = 'a'""".replace(
         "core, year", "core as core_zone_fee, year"
@@ -293,11 +295,16 @@ ORACLE |= {
         from levels where feed is not null""",
     "silver_pending_periods": f"""with {SILVER} select distinct feed, year, month from trips
         except select feed, year, month from silver""",
-    "silver_overwrite": f"""with {SILVER} select year, month, count(*) as total_rows,
-        {money("case when year = 1998 then tip * 2 else tip end")} as total_tip
-        from silver where feed = 'a' group by year, month""",
+    "silver_overwrite": f"""with {SILVER} select feed, year, month, count(*) as total_rows,
+        {money("case when year = 1998 then fare * 2 else fare end")} as total_fare
+        from silver where feed is not null group by all""",
+    "silver_schema_growth": f"""with {SILVER} select feed, year, count(*) as total_rows,
+        count(case when year >= 1998 then fare end) as fares from silver where feed is not null group by all""",
 }
 
+# What the composed run writes has the counts that the rows themselves have.
+ORACLE["landing_to_silver"] = ORACLE["silver_reconcile"]
+
 # ---------------------------------------------------------------- quality
 
 
@@ -340,6 +347,7 @@ ORACLE |= {
     "dim_operator": f"with {OPERATORS} select * from operators",
     "dim_place": f"with {DIMS} select * from place",
     "fact_trip": f"with {FACT} select * from fact",
+    "trip_id_unique": f"with {FACT} select count(*) as total_trips, count(*) as distinct_ids from fact",
 }
 
 
@@ -363,6 +371,8 @@ ORACLE |= {
     "mart_trip": f"with {MART} select {MART_OUTPUT} from mart",
     "mart_trip_excluding": f"""with {MART} select distance_band, cast(sum(trips) as bigint) as total_trips,
         {money("fare")} as total_fare from mart where not (distance_mi >= 20 and fare > 90000) group by distance_band""",
+    "mart_core_fee": f"""with {MART} select service_group, congestion_charged, core_fee_charged,
+        cast(sum(trips) as bigint) as total_trips from mart group by all""",
     "mart_filtered": f"""with {MART} select service_group, pickup_district, pickup_zone, year, month,
         cast(sum(trips) as bigint) as total_trips, {money("fare")} as total_fare from mart
         where service_group = 'APP' and pickup_district in ('ASIA', 'EUROPE') and year in ('1997', '1998')
@@ -416,6 +426,22 @@ ORACLE |= {
         where (year = 1997 and month = 12) or (year = 1998 and month = 1) group by all""",
 }
 
+for _rule, _inside in {
+    "service_zone": "service_zone in ('INNER RING', 'MIDDLE RING')",
+    "district": "district = 'ASIA'",
+    "region": "region_group = 'CORE'",
+}.items():
+    ORACLE[f"r_core_zone_volume_{_rule}"] = f"""with {STAR} select service_group,
+        case when {_inside} then 'CORE ZONE' else 'OUTSIDE CORE' end as core_zone, count(*) as total_trips
+        from {SERVED_AT} where year = 1998 and month = 1 and district = 'ASIA' group by all"""
+    ORACLE[f"r_before_after_{_rule}"] = f"""with {STAR} select
+        case when year = 1997 then 'DEC-1997' else 'JAN-1998' end as period,
+        case when {_inside} then 'INSIDE' else 'OUTSIDE' end as region, count(*) as total_trips
+        from fact join place on pickup_place_id = place_id
+        where (year = 1997 and month = 12) or (year = 1998 and month = 1) group by all"""
+# The default rules are registered under the plain names.
+del ORACLE["r_core_zone_volume_service_zone"], ORACLE["r_before_after_district"]
+
 
 # ---------------------------------------------------------------- tiles and checks
 
@@ -442,6 +468,15 @@ ORACLE |= {
     "tile_core_volume": tile(
         "year_month, service_group", TRIP_SUM, "pickup_region_group = 'CORE' and year in ('1999', '2000', '2001')"
     ),
+    "tile_time_band_filtered": tile(
+        "time_band, service_group",
+        TRIP_SUM,
+        "service_group = 'TAXI' and pickup_district in ('ASIA', 'EUROPE') and year_month between '1997-06' and '1998-03'",
+    ),
+    "tile_tip_heat_map": tile("distance_band", ", ".join(
+        f"cast(sum(cast(tip as decimal(18,2))) filter (time_band = '{label}') as double) as {label.lower().replace(' ', '_')}"
+        for label in ("OVERNIGHT", "AM PEAK", "MORNING", "MIDDAY", "AFTERNOON", "PM PEAK", "NIGHT")
+    )),
     "check_row_counts": f"""with {STAR} select 'fact_trip' as table_name, count(*) as total_rows from fact
         union all select 'dim_service', count(*) from service
         union all select 'dim_operator', count(*) from operators

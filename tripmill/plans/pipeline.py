@@ -13,7 +13,6 @@ from tripmill.operators import quality, star
 from tripmill.operators.conform import cast_losses, conform_variants
 from tripmill.operators.contracts import PERIOD, StarModel
 from tripmill.operators.silver import dedup_with_counts, mark_valid, pending_periods, reconcile
-from tripmill.session import shuffle_for
 from tripmill.sources import landing
 from tripmill.sources.bronze import footers, read_feed
 from tripmill.sources.landing import KEY, manifest
@@ -37,8 +36,6 @@ DIMS = (
     "dim_congestion_status",
 )
 TABLES = (*DIMS, "fact_trip")
-# Rows of (id, name) that every executor can hold: some tens of megabytes.
-BROADCAST_OPERATORS = 500_000
 
 
 @dataclass(frozen=True)
@@ -112,11 +109,13 @@ def run_silver(
     full_load: bool = False,
     years: Sequence[int] | None = None,
     audit_casts: bool = False,
+    gather: bool = True,
 ) -> SilverResult:
     """One job per feed over all of its pending periods.
 
     ``years`` restricts the run: a full load of very many periods can go year by year, so that one
-    shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan.
+    shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan. ``gather`` False saves a
+    shuffle when few periods are pending (see ``write_silver``).
     """
     load_id = new_load_id()
     files = manifest(spark, layout.bronze).filter(F.col("feed").isin(*model.contracts))
@@ -132,8 +131,7 @@ def run_silver(
         if read.frames:
             path = f"{layout.silver}/{feed}"
             marked = mark_valid(dedup_with_counts(conform_variants(read.frames, contract)))
-            with shuffle_for(spark, read.size):
-                write_silver(marked, path, load_id, read.periods)
+            write_silver(marked, path, load_id, gather)
             written[feed] = read_load(spark, path, load_id)
             losses += [cast_losses(frame, contract) for frame in read.frames]
     return SilverResult(
@@ -180,13 +178,15 @@ def build_dims(
     }
 
 
-def run_gold(spark: SparkSession, layout: Layout, model: StarModel, zones: DataFrame) -> dict[str, int]:
+def run_gold(
+    spark: SparkSession, layout: Layout, model: StarModel, zones: DataFrame, gather_fact: bool = False
+) -> dict[str, int]:
     """Publish a new version of every gold table; returns the rows written to each.
 
-    The dimensions are written first. With an operator dimension of known and moderate size, the
-    fact is a map over silver: a broadcast lookup, and a write without any shuffle, since silver
-    files already hold one period each. A larger one is joined by sort and merge, with the skew
-    handling of adaptive execution, and the fact is gathered by period before the write.
+    The dimensions are written first, so Spark knows their size. Under its broadcast threshold the
+    operator lookup leaves the fact a map over silver, written without any shuffle, since silver
+    files already hold one period each. Above it the join is by sort and merge, with the skew handling of
+    adaptive execution; ``gather_fact`` then gathers the rows by period before the write.
     """
     silver, _ = tolerant_silver(spark, layout.silver, model.contracts)
     unified = star.unify(silver, model)
@@ -199,9 +199,7 @@ def run_gold(spark: SparkSession, layout: Layout, model: StarModel, zones: DataF
     for table, df in build_dims(spark, model, zones, star.operator_names(silver, model), layout.gold).items():
         write(table, df)
     operators = read_table(spark, layout.gold, "dim_operator")
-    small = written["dim_operator"] <= BROADCAST_OPERATORS
-    fact = star.fact_trip(unified, F.broadcast(operators) if small else operators, model)
-    write("fact_trip", fact, PERIOD, gather=not small)
+    write("fact_trip", star.fact_trip(unified, operators, model), PERIOD, gather=gather_fact)
     return written
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tripmill.operators import checks, conform, mart, quality, reports, silver, star, tiles
 from tripmill.operators.contracts import PERIOD
-from tripmill.plans import layers, warehouse
-from tripmill.session import scratch_path
+from tripmill.plans import layers, pipeline, warehouse
+from tripmill.session import reachable, scratch_path
 from tripmill.sources import landing, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,12 +164,12 @@ for _feed in warehouse.FEEDS:
 
 @register
 def conform_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct cleaned texts of the two text-keyed feeds, with their rows."""
+    """Distinct cleaned operator texts of every feed, with their rows."""
     texts = [
         layers.conformed_feed(spark, sf_dir, feed).select(F.lit(feed).alias("feed"), F.col(column).alias("text"))
-        for feed, column in (("c", "operator_code"), ("d", "dispatch_base"))
+        for feed, column in (("a", "operator_code"), ("b", "operator_code"), ("c", "operator_code"), ("d", "dispatch_base"))
     ]
-    return texts[0].unionByName(texts[1]).groupBy("feed", "text").agg(F.count(F.lit(1)).alias("total_rows"))
+    return reduce(DataFrame.unionByName, texts).groupBy("feed", "text").agg(F.count(F.lit(1)).alias("total_rows"))
 
 
 @register
@@ -229,15 +229,42 @@ def silver_pending_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def silver_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the metered feed, then write 1998 again with tips doubled: only 1998 is replaced."""
-    path = scratch_path(spark, "overwrite")
-    source = layers.silver(spark, sf_dir)["a"]
-    tables.overwrite_periods(source, path)
-    corrected = source.filter("year = 1998").withColumn("tip", F.col("tip") * 2)
-    tables.overwrite_periods(corrected, path)
-    written = tables.read_periods(spark, path, warehouse.CONTRACTS["a"])
-    total = F.sum(F.col("tip").cast(warehouse.MONEY)).cast("double")
-    return written.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("total_rows"), total.alias("total_tip"))
+    """Write every feed, then write its 1998 again with fares doubled: only 1998 is replaced."""
+    totals = []
+    for feed, source in layers.silver(spark, sf_dir).items():
+        path = scratch_path(spark, "overwrite")
+        tables.overwrite_periods(source, path)
+        tables.overwrite_periods(source.filter("year = 1998").withColumn("fare", F.col("fare") * 2), path)
+        written = tables.read_periods(spark, path, warehouse.CONTRACTS[feed]).withColumn("feed", F.lit(feed))
+        total = F.sum(F.col("fare").cast(warehouse.MONEY)).cast("double")
+        totals.append(written.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_rows"), total.alias("total_fare")))
+    return reduce(DataFrame.unionByName, totals)
+
+
+@register
+def silver_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feed written before and after its fare joined the contract, in 1998: older files read it as null."""
+    totals = []
+    for feed, source in layers.silver(spark, sf_dir).items():
+        path = scratch_path(spark, "growth")
+        tables.overwrite_periods(source.filter("year < 1998").drop("fare"), path)
+        tables.overwrite_periods(source.filter("year >= 1998"), path)
+        grown = tables.read_periods(spark, path, warehouse.CONTRACTS[feed]).withColumn("feed", F.lit(feed))
+        totals.append(grown.groupBy("feed", "year").agg(F.count(F.lit(1)).alias("total_rows"), F.count("fare").alias("fares")))
+    return reduce(DataFrame.unionByName, totals)
+
+
+@register
+def landing_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed run over written files: every feed in its own spelling, one folder a month, taken to
+    silver in one load; raw, de-duplicated and clean rows of each level as silver holds them."""
+    reachable(spark)
+    lake = scratch_path(spark, "lake")
+    layout = pipeline.Layout(f"{lake}/bronze", f"{lake}/silver", f"{lake}/gold")
+    for feed in warehouse.FEEDS:
+        raw = layers.raw_feed(spark, sf_dir, feed)
+        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
+    return pipeline.run_silver(spark, layout, MODEL).stages
 
 
 # ---------------------------------------------------------------- quality
@@ -325,6 +352,13 @@ def fact_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.fact_trip(_unified(spark, sf_dir), operators, MODEL).drop("trip_id")
 
 
+@register
+def trip_id_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many row ids as trips."""
+    fact = layers.gold(spark, sf_dir)["fact_trip"]
+    return fact.agg(F.count(F.lit(1)).alias("total_trips"), F.count_distinct("trip_id").alias("distinct_ids"))
+
+
 # ---------------------------------------------------------------- mart
 
 
@@ -344,6 +378,14 @@ def mart_trip_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def mart_core_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips by the two fee flags, which are apart: congestion and core zone."""
+    labels = ["service_group", "congestion_charged", "core_fee_charged"]
+    trips = mart.summarised(layers.gold(spark, sf_dir), labels, [F.sum("trips").alias("part")])
+    return trips.groupBy(*labels).agg(F.sum("part").alias("total_trips"))
+
+
 @register
 def mart_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ["service_group", "pickup_district", "pickup_zone", "year", "month", "year_month", "trips", "fare"]
@@ -392,6 +434,17 @@ _report(
     lambda gold: reports.before_after(gold, WORDS, PLACES, *warehouse.COMPARED_PERIODS),
 )
 
+for _rule in ("district", "region"):
+    _report(
+        f"r_core_zone_volume_{_rule}",
+        lambda gold, rule=_rule: reports.core_zone_volume(gold, WORDS, PLACES, warehouse.FEE_PERIOD, rule),
+    )
+for _rule in ("service_zone", "region"):
+    _report(
+        f"r_before_after_{_rule}",
+        lambda gold, rule=_rule: reports.before_after(gold, WORDS, PLACES, *warehouse.COMPARED_PERIODS, rule),
+    )
+
 
 # ---------------------------------------------------------------- tiles and checks
 
@@ -405,6 +458,31 @@ def _tile(tile: tiles.Tile) -> Query:
 for _tile_name, _spec in TILES.items():
     _register(_tile_name, _tile(_spec))
 
+
+
+@register
+def tile_time_band_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile under dashboard-wide filters: metered trips from two districts, from mid 1997 to spring 1998."""
+    return tiles.build_tile(
+        layers.gold(spark, sf_dir),
+        WORDS,
+        TILES["tile_time_band"],
+        categories={"service_group": [WORDS.metered_group], "pickup_district": ["ASIA", "EUROPE"]},
+        ranges={"year_month": ("1997-06", "1998-03")},
+    )
+
+
+@register
+def tile_tip_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tips by distance band (rows) and time band (columns)."""
+    tile = TILES["tile_tip_by_band_hour"]
+    gold = layers.gold(spark, sf_dir)
+    # Seven labels of a fixed dimension.
+    labels = [row["time_band"] for row in gold["dim_time_band"].orderBy("time_band_id").collect()]
+    spread = tiles.heat_map(tiles.build_tile(gold, WORDS, tile), tile, labels)
+    return spread.toDF(*(name.lower().replace(" ", "_") for name in spread.columns))
+
+
 _report("check_row_counts", checks.row_counts)
 _report("check_recent_months", lambda gold: checks.recent_months(gold, warehouse.SCATTER_YEAR))
 _report("check_orphans", checks.orphans)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,12 +25,24 @@ def build_session(app: str = "tripmill", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver does. On a cluster it is
+    shipped or installed (README)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Folder that every executor can reach. The cluster names it in ``spark.checkpoint.dir``;
-    only where that is unset (tests, local mode) a temporary folder is made."""
+    """Folder that every executor can reach, as named in ``spark.checkpoint.dir``. Only in local mode a
+    temporary folder stands in for an unset one; a cluster must name it."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tripmill-")
         context.setCheckpointDir(named)
     elif not context.getCheckpointDir():
@@ -42,20 +53,3 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder; never reused, so nothing needs clearing first."""
     return f"{scratch_root(spark)}/tripmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-# Compressed input behind one shuffle partition: rows grow a few times when decoded.
-BYTES_PER_PARTITION = 64 * 1024**2
-
-
-@contextmanager
-def shuffle_for(spark: SparkSession, size: int) -> Iterator[None]:
-    """Enough shuffle partitions for ``size`` bytes of input, never fewer than configured.
-    Adaptive execution merges those that turn out small."""
-    name = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(configured), -(-size // BYTES_PER_PARTITION))))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, configured)

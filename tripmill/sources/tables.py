@@ -25,8 +25,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 ACCEPTED, LOAD = "accepted", "load_id"
-# Up to this many periods, a file per task and period still has a good size.
-FEW_PERIODS = 4
 
 
 def overwrite_periods(
@@ -47,15 +45,14 @@ def overwrite_periods(
     )
 
 
-def write_silver(marked: DataFrame, path: str, load_id: str, periods: int | None = None) -> None:
+def write_silver(marked: DataFrame, path: str, load_id: str, gather: bool = True) -> None:
     """Write de-duplicated rows with their verdict: the accepted ones are the silver table. Both sides of
     a month lie in its one partition, so a reload replaces the month whole. One job, and afterwards every stage count can be read off the written
     rows, which (unlike metrics gathered while writing) stay right when tasks are run again.
 
-    ``periods``, where known, is how many periods the load has. An incremental load of a few of
-    them needs no second shuffle after the one that de-duplicates.
+    ``gather`` False saves the second shuffle after the one that de-duplicates: right for a load of a few
+    periods, where a file per task and period still has a good size.
     """
-    gather = periods is None or periods > FEW_PERIODS
     overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, PERIOD, gather)
 
 
