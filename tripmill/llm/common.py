@@ -13,6 +13,7 @@ from tripmill.session import scratch_path
 
 # A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BYTES_AT_ONCE = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -61,6 +62,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``BYTES_AT_ONCE`` bytes, one text at least."""
+    begin = 0
+    while begin < len(offsets) - 1:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BYTES_AT_ONCE, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers (the finaliser constants of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripmill.llm.common import components, map_texts, mix, saved, shingle_hashes, text_bytes, word_hashes
+from tripmill.llm.common import components, map_texts, mix, saved, shingle_hashes, slices, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,7 +41,6 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 REGIONS = 40
 RARE, REMEMBERED, LESS = 32, 500, 0.15
 NEXT = mix(np.arange(1, 65, dtype=np.uint64))
-BYTES_AT_ONCE = 1 << 20
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -99,15 +98,6 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return (short << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``BYTES_AT_ONCE`` bytes, one text at least."""
-    begin = 0
-    while begin < len(offsets) - 1:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BYTES_AT_ONCE, "right")) - 1)
-        yield begin, end
-        begin = end
-
-
 def sign_batch(texts: pa.Array, weighting: str) -> tuple[list, list]:
     """Digest of the words, and bands, of every text; None for texts without words."""
     from hashlib import blake2b

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripmill.llm.common import BASE, map_texts, mix, powers, saved, text_bytes, word_hashes
+from tripmill.llm.common import BASE, map_texts, mix, powers, saved, slices, text_bytes, word_hashes
 
 WINDOW = 8
 SYMBOLS = [ord(c) for c in "#*$%&|<>"]
@@ -59,25 +59,32 @@ def repeated_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return counts, covered[first[1:]] - covered[first[:-1]]
 
 
+def batch_statistics(texts: pa.Array) -> np.ndarray:
+    """Per text: words, word characters, symbols, repeated lines, repeated words, lines. About a megabyte of texts
+    is in work at once, as the hashing takes many times the room of its text."""
+    raw, offsets = text_bytes(texts)
+    rows = []
+    for begin, end in slices(offsets):
+        part, ends = raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
+        data = part.tobytes()
+        for n_words, n_repeat, low, high in zip(*repeated_words(part, ends), ends, ends[1:], strict=False):
+            text = data[low:high]
+            lines = [line for line in text.split(b"\n") if line.strip(b" \t\n\x0b\x0c\r")]
+            points = len(text.translate(None, bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"))
+            rows.append((n_words, points, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), n_repeat, len(lines)))
+    return np.array(rows, np.int64).reshape(-1, 6)
+
+
 def base_statistics(docs: DataFrame) -> DataFrame:
     """The base statistics of every whole text; one pass, no shuffle."""
+    keep = ["doc_id", "lang", "source"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def work(columns, texts):
-        raw, offsets = text_bytes(texts)
-        n_words, n_repeat = repeated_words(raw, offsets)
-        data, ends = raw.tobytes(), offsets.tolist()
-        rows = []
-        for begin, end in zip(ends, ends[1:], strict=False):
-            text = data[begin:end]
-            lines = [line for line in text.split(b"\n") if line.strip(b" \t\n\x0b\x0c\r")]
-            points = len(text.translate(None, bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"))
-            rows.append((points, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(lines)))
-        chars, symbols, dup, lines = np.array(rows, np.int64).reshape(-1, 4).T
-        names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-        made = [n_words, chars, symbols, dup, n_repeat, lines]
-        return pa.RecordBatch.from_arrays([columns["doc_id"], columns["lang"], columns["source"], *(pa.array(x.astype(np.int64)) for x in made)], names=names)
+        counts = [pa.array(column) for column in batch_statistics(texts).T]
+        return pa.RecordBatch.from_arrays([*(columns[name] for name in keep), *counts], names=[*keep, *made])
 
-    return map_texts(docs, ["doc_id", "lang", "source"], BASE_SCHEMA, work)
+    return map_texts(docs, keep, BASE_SCHEMA, work)
 
 
 def with_vector(stats: DataFrame) -> DataFrame:
