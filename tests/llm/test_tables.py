@@ -6,6 +6,7 @@ import itertools
 import os
 import re
 import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -136,6 +137,51 @@ def test_license_spellings(spark):
     assert by[6][1] == "MIT" and licenses.scan(docs.limit(0)).count() == 0
 
 
+BSD_THREE = """Copyright (c) 2015, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_license_whole_texts(spark):
+    mit = next(text for name, text in licenses.KNOWN if name == "MIT" and len(text) > 500).split("\n", 1)[1]
+    cases = [("MIT", mit), ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2014 Someone\n\n{mit}"), ("BSD-3-Clause", BSD_THREE), ("BSD-3-Clause", f"# BSD 3-Clause License\n\n{BSD_THREE}")]
+    folder = Path(licenses.__file__).parent / "license_texts"
+    ids = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"]
+    for name in ids:
+        text = (folder / f"{name}.txt").read_text()
+        cases += [(name, text), (name, "// " + text.upper().replace("\n", "\n// "))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")
+    assert [(r["doc_id"], r["license_id"]) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [(i, n) for i, (n, _) in enumerate(cases)]
+    own = spark.createDataFrame([("B", "My Own Terms."), ("A", "my own terms"), ("A", "my own terms"), ("C", None)], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "* MY own, terms"), (2, mit), (3, "see\nMy own terms")], "doc_id bigint, text string")
+    found = [(r["doc_id"], r["license_id"], r["notices"]) for r in licenses.scan(docs, own).orderBy("doc_id").collect()]
+    assert found == [(1, "A", "A"), (2, None, None), (3, None, "A")]
+
+
 # ---------------------------------------------------------------- near-duplicate documents
 
 

@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form (case, punctuation, list bullets, white space, copyright lines and equivalent
 spellings folded) and the digest of the whole form is looked up among those of known licence texts and
-notices. The known digests are a small constant table (one row per known text), so the
-lookup broadcasts it and nothing is shuffled.
+notices. The known texts are a table, the caller's or ``known_texts``: notices, and the full texts in ``license_texts``
+with the headings and wordings in use, each as it is wrapped there and with a paragraph to a line. Their digests are small
+(one row per known text), so the lookup broadcasts them and no document is shuffled for it.
 
 Besides the whole text every line is looked up, as a text of its own: licence notices stand on a line of their own in
 other prose. Results by case: null and empty texts, and texts of copyright lines alone, match nothing; repeated
@@ -12,6 +13,10 @@ rows are scanned alike.
 
 from __future__ import annotations
 
+from importlib.resources import files
+from itertools import product
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Notices and short licence texts by SPDX identifier.
@@ -45,6 +50,35 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
+# The headings under which short licences go ("" is none). Underlines and hashes fold away.
+HEADINGS = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "License: MIT", "Expat License"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("", "BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "The BSD License", "Simplified BSD License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "The BSD License", "New BSD License", "BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("", "The Unlicense", "Unlicense"),
+    "Zlib": ("", "zlib License", "The zlib License", "zlib/libpng license"),
+}
+# The BSD licences in their clauses, with the wordings in use; a bullet folds away.
+BSD_MARKS = (("1.", "2.", "3."), ("*", "*", "*"), ("a.", "b.", "c."))
+BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+)
+BSD_NAMES = (
+    "the copyright holder nor the names of its contributors", "the copyright holders nor the names of its contributors",
+    "the copyright holder nor the names of the contributors", "the author nor the names of its contributors",
+    "the author nor the names of other contributors", "the University nor the names of its contributors",
+    "the project nor the names of its contributors", "Google Inc. nor the names of its contributors",
+    "Google LLC nor the names of its contributors",
+)
+BSD_PARTIES = (
+    ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"), ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+    ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"), ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"),
+)
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 # Spellings that mean the same, applied in this order to lower-case words.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("noncommercial", "non commercial"),
@@ -76,16 +110,47 @@ def digest(line: Column) -> Column:
     return F.when(tidy != "", F.sha2(tidy, 256))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(license_id, known) of the known texts; constant and small."""
-    rows = spark.createDataFrame(KNOWN, "license_id string, text string")
-    return rows.select("license_id", digest(canonical_lines(F.col("text"))).alias("known"))
+def bsd_texts() -> list[tuple[str, str]]:
+    made = []
+    for marks, (giver, liable) in product(BSD_MARKS, BSD_PARTIES):
+        clauses = [BSD_CLAUSES[0], *(f"{mark} {clause}" for mark, clause in zip(marks, BSD_CLAUSES[1:], strict=False))]
+        end = BSD_DISCLAIMER.format(giver, liable)
+        made.append(("BSD-2-Clause", "\n".join([*clauses, end])))
+        for name in BSD_NAMES:
+            third = f"{marks[2]} Neither the name of {name} may be used to endorse or promote products derived from this software without specific prior written permission."
+            made.append(("BSD-3-Clause", "\n".join([*clauses, third, end])))
+    return made
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text): the files of ``license_texts`` (named by identifier and edition), the short texts of ``KNOWN`` and
+    the BSD licences, under every heading."""
+    found = [(path.name[: -len(".txt")], path.read_text(encoding="utf-8")) for path in files(__package__).joinpath("license_texts").iterdir() if path.name.endswith(".txt")]
+    found = [(re.sub(r"\.[a-z]+$", "", name), text) for name, text in sorted(found)]
+    found += [(name, re.sub(r"\n\s*\n", "\0", text).replace("\n", " ").replace("\0", "\n")) for name, text in found]
+    short = [(name, text.split("\n", 1)[1]) for name, text in KNOWN if name in HEADINGS and text.split("\n", 1)[0] in HEADINGS[name]]
+    short += [(name, text.replace("modify, and/or distribute", "modify, and distribute")) for name, text in short if name == "ISC"]
+    found += short + bsd_texts()
+    return [(name, f"{heading}\n{text}") for name, text in found for heading in HEADINGS.get(name, ("",))]
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """(license_id, text) of the notices and licence texts that come with the library; constant and small."""
+    return spark.createDataFrame(list(dict.fromkeys(KNOWN + full_texts())), "license_id string, text string")
+
+
+def known_digests(texts: DataFrame) -> DataFrame:
+    """(license_id, known) of the known texts (license_id, text). A text under two identifiers goes by the first, so no
+    document is doubled."""
+    rows = texts.select("license_id", digest(canonical_lines(F.col("text"))).alias("known")).filter("known is not null")
+    return rows.groupBy("known").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Every document: doc_id, digest of the canonical whole text, license_id that the whole text is (or null), and
-    notices, the distinct identifiers found on lines of their own, in order, comma between (or null)."""
-    known = F.broadcast(known_digests(docs.sparkSession))
+    notices, the distinct identifiers found on lines of their own, in order, comma between (or null). ``texts`` (license_id, text) are
+    looked up instead of ``known_texts``."""
+    known = F.broadcast(known_digests(known_texts(docs.sparkSession) if texts is None else texts))
     forms = docs.select("doc_id", canonical_lines(F.col("text")).alias("form"))
     whole = forms.select("doc_id", digest(F.col("form")).alias("digest")).join(known, F.col("digest") == F.col("known"), "left")
     lines = forms.select("doc_id", F.explode(F.split("form", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("line"))
