@@ -290,6 +290,35 @@ def test_estimates_equal_numpy(spark):
     assert np.abs(x[nearest].mean(0) - np.array(found["middle"])).max() < 0.1
 
 
+def test_every_statistic_can_reject(spark):
+    random = np.random.default_rng(3)
+    clean = random.standard_normal((600, 5)) * [0.8, 0.05, 0.0, 0.0, 0.0] + [5.6, 1.6, 0, 0, 0]
+    rows = spark.createDataFrame([("g", i % outliers.SALTS, row.tolist()) for i, row in enumerate(clean)], "group string, salt int, x array<double>")
+    found = outliers.estimates(rows).first()
+    inverse, middle = np.array(found["inverse"]).reshape(5, 5), np.array(found["middle"])
+    gap = lambda n, k, of, words: np.array([0, 0, 0, (k / (of + 4)) ** 0.5 if of else 0, words**0.5]) + [np.log(n) - 5.6, 0, 0, 0, 0]
+    far = [gap(270, 50, 100, 0), gap(270, 80, 100, 0), gap(270, 9, 10, 0), gap(270, 50, 100, 0.29), gap(270, 0, 0, 0.29), np.array([0, np.log(1.6), 0, 0, 0])]
+    for one in far:
+        x = one + [5.6, 1.6, 0, 0, 0]
+        assert (x - middle) @ inverse @ (x - middle) > outliers.CUTOFF
+    x = gap(270, 1, 10, 0.02) + [5.6, 1.6, 0, 0, 0]
+    assert (x - middle) @ inverse @ (x - middle) < outliers.CUTOFF
+    assert (((clean - middle) @ inverse * (clean - middle)).sum(1) <= outliers.CUTOFF).mean() > 0.98
+
+
+def test_estimate_has_settled(spark):
+    random = np.random.default_rng(12)
+    x = np.concatenate([random.standard_normal((300, 5)) * [1, 0.1, 0.3, 0.2, 0.2], random.standard_normal((90, 5)) * 0.2 + [2, 0.5, 1, 1, 1]])
+    rows = spark.createDataFrame([("g", i % outliers.SALTS, row.tolist()) for i, row in enumerate(x)], "group string, salt int, x array<double>")
+    found = outliers.estimates(rows).first()
+    gap = x - np.array(found["middle"])
+    distance = (gap @ np.array(found["inverse"]).reshape(5, 5) * gap).sum(1)
+    near = x[distance <= np.sort(distance)[int(np.ceil(0.75 * len(x))) - 1] * 1.001]
+    spread = outliers.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+    assert np.linalg.slogdet(spread)[1] == pytest.approx(np.linalg.slogdet(np.linalg.inv(np.array(found["inverse"]).reshape(5, 5)))[1], abs=5e-3)
+    assert (distance[300:] > outliers.CUTOFF).all()
+
+
 # ---------------------------------------------------------------- embeddings
 
 

@@ -2,12 +2,14 @@
 
 Base rules look at one text. Texts that pass are also held against their own language and source: a vector of
 transformed statistics (length, word length, symbols, repeated lines, repeated words) is rejected when its
-Mahalanobis distance from the minimum covariance determinant estimate is too large. The estimate starts at medians and
-absolute deviations and takes concentration steps: distances of all rows, the ``HALF`` nearest ones, their mean and
-covariance. Each step is two grouped aggregates with map-side combine over all rows (a histogram of distances, then
-sums of products), so the group that holds a third of all rows is no single task's; only the estimates, one small
-row per group, are inverted in Python. ``FLOORS`` are added to the variances: statistics that
-nearly always are zero have a tolerance.
+Mahalanobis distance from the minimum covariance determinant estimate is too large. The estimate has three starts (medians
+and absolute deviations; the scatter of the directions in which the rows lie; mean and covariance of all rows) and takes
+concentration steps from each: distances of all rows, the ``HALF`` nearest ones, their mean and covariance, until the
+determinant no longer falls; the smallest determinant counts. Each step is two grouped aggregates with map-side combine
+over all rows (a histogram of distances, then sums of products), so the group that holds a third of all rows is no single
+task's; only the estimates, one small row per group, are inverted in Python. ``FLOORS`` are added to the variances:
+statistics that are zero in the whole half would leave nothing to invert, and one symbol or repeated line would be
+infinitely far; so they are a tolerance of about a fifth of lines or words.
 
 Results by case: null or wordless texts have no words and fail the base rules; null language or source is a group like
 any other; groups of fewer than ``MIN_ROWS`` texts are held against the estimate over all texts; with fewer texts than that
@@ -26,12 +28,13 @@ from tripmill.llm.common import BASE, map_texts, mix, powers, saved, slices, tex
 WINDOW = 8
 SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 MIN_WORDS, REPEAT_PERCENT = 20, 30
-HALF, STEPS, MIN_ROWS = 0.75, 5, 50
+HALF, MIN_ROWS = 0.75, 50
 SALTS = 64
 # Chi-square with five degrees of freedom: the factor that makes the covariance of the nearest 75 % consistent, and
-# the distance that one row in a million exceeds.
-CONSISTENCY, CUTOFF = 1.412, 35.9
-FLOORS = (0.3, 0.15, 0.05, 0.15, 0.15)
+# its 0.999 quantile.
+CONSISTENCY, CUTOFF = 1.412, 20.515
+FLOORS = (0.05, 0.02, 0.05, 0.1, 0.1)
+FALLEN = 1e-4  # a logarithm of the determinant that falls by less has settled
 DIMENSIONS = len(FLOORS)
 EVERYTHING = "*"
 BASE_SCHEMA = (
@@ -119,48 +122,82 @@ def held_against(rows: DataFrame, per_group: DataFrame) -> DataFrame:
 
 
 def nearest(measured: DataFrame) -> DataFrame:
-    """The rows up to the distance that the nearest ``HALF`` of their group reach, to a thousandth."""
+    """The rows up to the distance that the nearest ``HALF`` of their group reach from their start, to a thousandth."""
     binned = measured.withColumn("bin", F.floor(F.log(F.col("distance") + 1e-6) * 1000))
-    bins = binned.groupBy("group", "bin").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("reached", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
-    limits = bins.filter(F.col("reached") >= HALF * F.col("all")).groupBy("group").agg(F.min("bin").alias("limit"))
-    return held_against(binned, limits).filter("bin <= limit")
+    bins = binned.groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("reached", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("group", "start")))
+    limits = bins.filter(F.col("reached") >= HALF * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("limit"), F.first("all").alias("all"))
+    limits = limits.groupBy("group").agg(F.collect_list(F.struct("start", "limit", "all")).alias("limits"))
+    met = held_against(binned, limits).withColumn("own", F.filter("limits", lambda one: one["start"] == F.col("start"))[0])
+    return met.filter(F.col("bin") <= F.col("own.limit")).withColumn("all", F.col("own.all"))
+
+
+def covariance(n: float, sums, products) -> tuple[np.ndarray, np.ndarray]:
+    middle, square = np.array(sums, float) / n, np.zeros((DIMENSIONS, DIMENSIONS))
+    square[np.triu_indices(DIMENSIONS)] = np.array(products, float) / n
+    return middle, square + np.triu(square, 1).T - np.outer(middle, middle)
+
+
+ESTIMATE = "group string, start int, n bigint, middle array<double>, spread array<double>, inverse array<double>, logdet double, before double"
 
 
 def inverted(frames):
-    """Mean and inverse covariance of each group from its sums."""
+    """Mean, covariance, its inverse and determinant of each group and start, from its sums."""
+    floor = np.diag(np.square(FLOORS))
+    for frame in frames:
+        rows = []
+        for row in frame.itertuples(index=False):
+            middle, spread = covariance(row.n, row.sums, row.products)
+            spread = CONSISTENCY * spread + floor
+            rows.append((row.group, row.start, row.all, middle.tolist(), spread.ravel().tolist(), np.linalg.inv(spread).ravel().tolist(), np.linalg.slogdet(spread)[1], row.before))
+        yield pd.DataFrame(rows, columns=["group", "start", "n", "middle", "spread", "inverse", "logdet", "before"])
+
+
+def started(frames):
+    """The three starts of each group: scales alone, directions, all rows."""
     floor = np.diag(np.square(FLOORS))
     for frame in frames:
         rows = []
-        for group, n, sums, products in zip(frame["group"], frame["n"], frame["sums"], frame["products"], strict=True):
-            middle = np.array(sums, float) / n
-            square = np.zeros((DIMENSIONS, DIMENSIONS))
-            square[np.triu_indices(DIMENSIONS)] = np.array(products, float) / n
-            spread = square + np.triu(square, 1).T - np.outer(middle, middle)
-            rows.append((group, middle.tolist(), np.linalg.inv(CONSISTENCY * spread + floor).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["group", "middle", "inverse"])
+        for row in frame.itertuples(index=False):
+            scale = np.array(row.scale, float)
+            _, direction = covariance(row.n, np.zeros(DIMENSIONS), row.signs)
+            mean, whole = covariance(row.n, row.sums, row.products)
+            directed = DIMENSIONS * direction * np.outer(scale, scale) + floor
+            for start, (middle, spread) in enumerate([(row.middle, np.diag(scale**2)), (row.middle, directed), (mean, whole + floor)]):
+                rows.append((row.group, start, row.n, list(middle), spread.ravel().tolist(), np.linalg.inv(spread).ravel().tolist(), float("inf"), float("inf")))
+        yield pd.DataFrame(rows, columns=["group", "start", "n", "middle", "spread", "inverse", "logdet", "before"])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(group, middle, inverse) of (group, salt, x)."""
-    halves = rows.groupBy("group").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(DIMENSIONS))).alias("middle"))
-    away = held_against(rows, halves).select("group", "middle", *(F.abs(F.col("x")[i] - F.col("middle")[i]).alias(f"a{i}") for i in range(DIMENSIONS)))
-    widths = away.groupBy("group").agg(F.first("middle").alias("middle"), *(F.percentile_approx(f"a{i}", 0.5, 1000).alias(f"a{i}") for i in range(DIMENSIONS)))
-    entry = lambda i, j: 1 / (F.pow(F.col(f"a{i}") * 1.4826, F.lit(2.0)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)
-    current = saved(
-        widths.select("group", "middle", F.array(*(entry(i, j) for i in range(DIMENSIONS) for j in range(DIMENSIONS))).alias("inverse")), "estimate"
-    )
+    """(group, n, middle, spread, inverse) of (group, salt, x)."""
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-    for _ in range(STEPS):
-        near = nearest(held_against(rows, current).select("group", "salt", "x", distance().alias("distance")))
-        sums = near.groupBy("group").agg(
-            F.count("*").alias("n"),
-            F.array(*(F.sum(F.col("x")[i]) for i in range(DIMENSIONS))).alias("sums"),
-            F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs)).alias("products"),
-        )
-        current = saved(sums.mapInPandas(inverted, "group string, middle array<double>, inverse array<double>"), "estimate")
-    return current
+    x = [F.col("x")[i] for i in range(DIMENSIONS)]
+    halves = rows.groupBy("group").agg(F.array(*(F.percentile_approx(one, 0.5, 1000) for one in x)).alias("middle"))
+    away = held_against(rows, halves).select("group", "middle", *(F.abs(x[i] - F.col("middle")[i]).alias(f"a{i}") for i in range(DIMENSIONS)))
+    widths = away.groupBy("group").agg(F.first("middle").alias("middle"), *(F.percentile_approx(f"a{i}", 0.5, 1000).alias(f"a{i}") for i in range(DIMENSIONS)))
+    scale = F.array(*(F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, F.lit(2.0)) + FLOORS[i] ** 2) for i in range(DIMENSIONS)))
+    widths = saved(widths.select("group", "middle", scale.alias("scale")), "widths")
+    away = held_against(rows, widths).select("group", "middle", "scale", "x", *((x[i] - F.col("middle")[i]).alias(f"a{i}") / F.col("scale")[i] for i in range(DIMENSIONS)))
+    away = away.toDF("group", "middle", "scale", "x", *(f"u{i}" for i in range(DIMENSIONS)))
+    norm = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, DIMENSIONS)), F.col("u0") * F.col("u0")), F.lit(1e-12))
+    products = F.array(*(F.sum(x[i] * x[j]) for i, j in pairs)).alias("products")
+    signs = F.array(*(F.sum(F.col(f"u{i}") * F.col(f"u{j}") / norm) for i, j in pairs)).alias("signs")
+    sums = F.array(*(F.sum(one) for one in x)).alias("sums")
+    first = away.groupBy("group").agg(F.first("middle").alias("middle"), F.first("scale").alias("scale"), F.count("*").alias("n"), sums, products, signs)
+    current, steps = saved(first.mapInPandas(started, ESTIMATE), "estimate"), []
+    while not current.isEmpty():
+        starts = current.groupBy("group").agg(F.collect_list(F.struct("start", "middle", "inverse", "logdet")).alias("starts"))
+        met = held_against(rows, starts).select("group", "salt", "x", F.explode("starts").alias("s")).select("group", "salt", "x", "s.*")
+        near = nearest(met.select("group", "salt", "x", "start", "logdet", distance().alias("distance")))
+        made = near.groupBy("group", "start").agg(F.count("*").alias("n"), F.first("all").alias("all"), F.first("logdet").alias("before"), sums, products)
+        steps.append(saved(made.mapInPandas(inverted, ESTIMATE), "estimate"))
+        current = steps[-1].filter(F.col("logdet") < F.col("before") - FALLEN)
+    found = steps[0] if steps else current
+    for step in steps[1:]:
+        found = found.unionByName(step)
+    best = found.groupBy("group").agg(F.min(F.struct("logdet", "start", "n", "middle", "spread", "inverse")).alias("best"))
+    return best.select("group", "best.n", "best.middle", "best.spread", "best.inverse")
 
 
 def judged(docs: DataFrame) -> DataFrame:
