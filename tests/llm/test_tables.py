@@ -319,6 +319,27 @@ def test_estimate_has_settled(spark):
     assert (distance[300:] > outliers.CUTOFF).all()
 
 
+def test_no_row_count_switches_the_rule(spark):
+    random = np.random.default_rng(5)
+
+    def rows(group, count, letters):
+        return [(" ".join("".join(random.choice(list("abcdefghij"), random.integers(letters - 1, letters + 2))) for _ in range(random.integers(60, 200))), group) for _ in range(count)]
+
+    big = rows("big", 300, 5)
+    far = " ".join("".join(random.choice(list("abcdefghij"), 11)) for _ in range(100))
+    seen = {}
+    for count in (48, 49, 50, 51):
+        texts = [*big, *rows("small", 51, 8)[:count], (far, "small")]
+        docs = spark.createDataFrame([(i, t, "x", s) for i, (t, s) in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+        seen[count] = {r["doc_id"]: r for r in outliers.judged(docs).collect()}
+        kept = [r["kept"] for i, r in seen[count].items() if 300 <= i < 300 + count]
+        assert np.mean(kept) > 0.9
+    distances = [seen[c][300 + c]["distance"] for c in (48, 49, 50, 51)]
+    assert max(distances) < 1.5 * min(distances)
+    few = spark.createDataFrame([(i, t, "x", s) for i, (t, s) in enumerate([*big[:30], ("#$ " * 3 + "$%&*|<># " * 40 + " ".join(f"q{i}" for i in range(400)), "big")])], "doc_id bigint, text string, lang string, source string")
+    assert {r["doc_id"]: r["distance"] is not None for r in outliers.judged(few).collect()} == dict.fromkeys(range(31), True)
+
+
 # ---------------------------------------------------------------- embeddings
 
 

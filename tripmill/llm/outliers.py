@@ -11,9 +11,14 @@ task's; only the estimates, one small row per group, are inverted in Python. ``F
 statistics that are zero in the whole half would leave nothing to invert, and one symbol or repeated line would be
 infinitely far; so they are a tolerance of about a fifth of lines or words.
 
+The estimates are made for every language and source, every language, and all texts. What judges a text is its own group's
+estimate drawn towards its language's, drawn towards that of all texts, drawn towards ``USUAL``: of n rows an estimate's
+middle weighs n / (n + ``MIDDLE_ROWS``) and its covariance n / (n + ``SPREAD_ROWS``), whatever n is, and where middles
+differ the rest of the gap counts as spread. So no count of rows switches the rule.
+
 Results by case: null or wordless texts have no words and fail the base rules; null language or source is a group like
-any other; groups of fewer than ``MIN_ROWS`` texts are held against the estimate over all texts; with fewer texts than that
-altogether nothing is rejected beyond the base rules; repeated rows are judged alike.
+any other; a text alone in its group is mostly judged by its language, and alone in its table it is kept; repeated rows are
+judged alike.
 """
 
 from __future__ import annotations
@@ -28,13 +33,16 @@ from tripmill.llm.common import BASE, map_texts, mix, powers, saved, slices, tex
 WINDOW = 8
 SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 MIN_WORDS, REPEAT_PERCENT = 20, 30
-HALF, MIN_ROWS = 0.75, 50
+HALF = 0.75
 SALTS = 64
 # Chi-square with five degrees of freedom: the factor that makes the covariance of the nearest 75 % consistent, and
 # its 0.999 quantile.
 CONSISTENCY, CUTOFF = 1.412, 20.515
 FLOORS = (0.05, 0.02, 0.05, 0.1, 0.1)
 FALLEN = 1e-4  # a logarithm of the determinant that falls by less has settled
+# Rows at which an estimate weighs half, and the spread of texts of any kind.
+MIDDLE_ROWS, SPREAD_ROWS = 5, 50
+USUAL = (1.0, 0.3, 0.15, 0.2, 0.2)
 DIMENSIONS = len(FLOORS)
 EVERYTHING = "*"
 BASE_SCHEMA = (
@@ -100,8 +108,9 @@ def with_vector(stats: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 4)),  # few lines say little
         F.sqrt(F.col("n_repeat_words") / n),
     )
-    group = F.to_json(F.struct("lang", "source"))
-    return stats.withColumn("base_failed", failed).withColumn("x", vector).withColumn("own", group)
+    own = F.concat(F.lit("source "), F.to_json(F.struct("lang", "source")))
+    wider = F.concat(F.lit("lang "), F.to_json(F.struct("lang")))
+    return stats.withColumn("base_failed", failed).withColumn("x", vector).withColumn("own", own).withColumn("wider", wider)
 
 
 def distance():
@@ -200,19 +209,42 @@ def estimates(rows: DataFrame) -> DataFrame:
     return best.select("group", "best.n", "best.middle", "best.spread", "best.inverse")
 
 
+def drawn(estimate, towards):
+    """(middle, covariance) of an estimate (n, middle, covariance) drawn towards another (middle, covariance)."""
+    n, middle, spread = estimate
+    near, wide = n / (n + MIDDLE_ROWS), n / (n + SPREAD_ROWS)
+    gap = middle - towards[0]
+    return near * middle + (1 - near) * towards[0], wide * spread + (1 - wide) * towards[1] + near * (1 - near) * np.outer(gap, gap)
+
+
+def pooled(frames):
+    """The estimate that judges each group, from those of its levels."""
+    level = lambda n, middle, spread: (n, np.array(middle, float), np.array(spread, float).reshape(DIMENSIONS, DIMENSIONS))
+    for frame in frames:
+        rows = []
+        for row in frame.itertuples(index=False):
+            whole = level(row.n2, row.middle2, row.spread2)
+            judge = whole[1], np.diag(np.square(USUAL))
+            for one in (whole, level(row.n1, row.middle1, row.spread1), level(row.n0, row.middle0, row.spread0)):
+                judge = drawn(one, judge)
+            rows.append((row.own, judge[0].tolist(), np.linalg.inv(judge[1]).ravel().tolist()))
+        yield pd.DataFrame(rows, columns=["own", "middle", "inverse"])
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """Every document with its base statistics, ``base_failed``, ``distance`` (null where not measured) and ``kept``."""
     stats = saved(with_vector(base_statistics(docs)), "statistics")
     passed = stats.filter("not base_failed")
-    sizes = passed.groupBy("own").agg(F.count("*").alias("size")).filter(F.col("size") >= MIN_ROWS)
-    enough = saved(sizes.select(F.col("own").alias("large")).unionByName(
-        passed.agg(F.count("*").alias("size")).filter(F.col("size") >= MIN_ROWS).select(F.lit(EVERYTHING).alias("large"))
-    ), "groups")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
-    grouped = passed.select(F.explode(F.array("own", F.lit(EVERYTHING))).alias("group"), salt, "x")
-    found = estimates(saved(grouped.join(enough, F.col("group") == F.col("large"), "left_semi"), "vectors"))
-    own = stats.join(enough, F.col("own") == F.col("large"), "left").withColumn("judge", F.coalesce("large", F.lit(EVERYTHING))).drop("large")
-    measured = own.join(found.withColumnRenamed("group", "judge"), "judge", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    grouped = passed.select(F.explode(F.array("own", "wider", F.lit(EVERYTHING))).alias("group"), salt, "x")
+    found = saved(estimates(saved(grouped, "vectors")), "estimates")
+    levels = passed.select("own", "wider").distinct().withColumn("all", F.lit(EVERYTHING))
+    for k, name in enumerate(("own", "wider", "all")):
+        levels = levels.join(found.select(F.col("group").alias(name), F.col("n").alias(f"n{k}"), F.col("middle").alias(f"middle{k}"), F.col("spread").alias(f"spread{k}")), name)
+    judges = saved(levels.mapInPandas(pooled, "own string, middle array<double>, inverse array<double>"), "judges")
+    own = stats.withColumn("salt", salt)
+    met = own.join(judges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["own", "salt"], "left")
+    measured = met.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return measured.withColumn("kept", kept).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
