@@ -176,3 +176,20 @@ def test_extraction_of_whole_articles(spark, sf_dir):
     for row in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", row["html"], re.S).group(1)
         assert found[row["page_id"]] == " ".join(h.unescape(re.sub(r"</?(?:p|h1|br)>", "\n", re.sub("</?b>", "", inner))).split())
+
+
+def test_wrappers_do_not_lose_the_article():
+    article = "<p>" + "Words of the story go on. " * 30 + "</p>"
+    plain = " ".join(("Words of the story go on. " * 30).split())
+    side = '<div class="sidebar">links and links</div>'
+    for page in (
+        f'<body><div class="content-sidebar-wrap"><main>{article}</main>{side}</div></body>',
+        f'<body><div id="page" class="site has-sidebar"><div>{article}</div>{side}</div></body>',
+        f"<body><form><div>{article}</div></form></body>",
+        f'<body><div class="has-sidebar"><article class="post">{article}</article><div class="comments"><article>so good</article></div></div></body>',
+    ):
+        assert extraction.extract(page, {}) == plain
+    inner = "<math>x y</math> <audio>no sound</audio> <object>an object</object> <menu><li>soup</li></menu>"
+    assert extraction.extract(f"<article>{article}{inner}{article}</article>", {}) == f"{plain} x y no sound an object soup {plain}"
+    assert extraction.weight({"mark:rail": -3.0}, "open", "div rail wide") == -4.0
+    assert extraction.weight({}, "open", "div sidebar") < extraction.weight({}, "open", "div wide")

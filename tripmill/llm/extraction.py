@@ -2,9 +2,10 @@
 
 A page is a sequence of words and tags. Words score positive, by the element they stand in, tags negative, by name and
 class; one linear scan finds the contiguous run with the largest sum. The weights are log-odds learnt from labelled
-pages: those of a bounded sample that mark their one ``article`` or ``main`` element, whose words are content. What never
-is content by its element (scripts, navigation, forms, ...) or by the name of its class or id has no words to score, also
-inside the run.
+pages: those of a bounded sample that mark their one ``article`` or ``main`` element, whose words are content. The tokens of an
+element's class and id score with its tag. What by its element (navigation, forms, ...) or a token of its class
+or id is not the article has no words to score, also inside the run, unless it is a wrapper of the article: it holds
+``main``, or most of the words of the page's ``article`` and ``main`` elements, or most of all words where there are none.
 
 Results by case: null html is empty, and gives an empty text; pages without a positive run give an empty text; of equal runs
 the first counts; an element that is never closed hides nothing; without a labelled page the prior weights hold;
@@ -32,8 +33,9 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[
 # Element names of HTML, and names by which pages mark what is not the article.
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var wbr del ins".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head nav footer aside form button select option dialog svg math object audio video canvas menu fieldset".split())
-OUTSIDE_ONLY = {"header"}
+HIDDEN = set("head nav footer aside form button select option dialog svg fieldset".split())
+NEVER = set("head nav footer button select option svg".split())  # by words alone these wrap no article
+OUTSIDE_ONLY = {"header", "menu"}
 NOISE = set(
     "ad ads advert adverts advertisement advertising banner sidebar comment comments respond disqus cookie cookies consent notice notices "
     "alert menu nav navbar navigation footer promo promotion related share sharing social newsletter subscribe subscription "
@@ -41,8 +43,8 @@ NOISE = set(
 )
 NOISE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 FRAME = {"html", "body", "article", "main"}
-WORD_PRIOR, TAG_PRIOR, INNER_PRIOR = 1.0, 1.0, 0.05
-WORD_RANGE, TAG_RANGE = (0.05, 2.0), (0.02, 4.0)
+WORD_PRIOR, TAG_PRIOR, INNER_PRIOR, NOISE_PRIOR = 1.0, 1.0, 0.05, 2.0
+WORD_RANGE, TAG_RANGE, MARK_RANGE = (0.05, 2.0), (0.02, 4.0), (0.0, 4.0)
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -64,7 +66,7 @@ def marks(attributes: str) -> tuple[set[str], bool]:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names.update(re.split(r"[^a-z0-9]+", value))
+                names.update(filter(None, re.split(r"[^a-z0-9]+", value)))
             elif key == "role":
                 out |= value in NOISE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -74,8 +76,37 @@ def marks(attributes: str) -> tuple[set[str], bool]:
     return names, out
 
 
+def wrappers(found: list[tuple[str, str, str]], ends: dict[int, int]):
+    """Whether the element that opens at a place is a wrapper of the article."""
+    bounds = sorted((at, end) for at, end in ends.items() if found[at][1] in ("article", "main"))
+    words, until, near = [0], -1, iter([*bounds, (len(found), len(found))])
+    begin, end = next(near)
+    plain = [0]
+    for at, (kind, _, rest) in enumerate(found):
+        while begin <= at:
+            until = max(until, end)
+            begin, end = next(near)
+        n = len(rest.split()) if kind == "text" else 0
+        plain.append(plain[-1] + n)
+        words.append(words[-1] + n * (at < until))
+    mains = [at for at, _ in bounds if found[at][1] == "main"]
+    marked = words[-1] > 0
+
+    def wraps(at: int) -> bool:
+        last = ends[at]
+        if any(at < one < last for one in mains):
+            return True
+        if not marked and found[at][1] in NEVER:
+            return False
+        held = words if marked else plain
+        return 2 * (held[last] - held[at]) > held[-1]
+
+    return wraps
+
+
 def outline(page: str) -> list[tuple[str, str, str]]:
-    """The page as (kind, key, text) with everything hidden taken out. Of words the key is the innermost element."""
+    """The page as (kind, key, text) with everything hidden taken out. Of words the key is the innermost element, of an
+    opening tag its name and the tokens of its class and id, a space between."""
     found = tokens(page)
     opened: dict[str, list[int]] = {}
     ends: dict[int, int] = {}
@@ -85,6 +116,7 @@ def outline(page: str) -> list[tuple[str, str, str]]:
         elif kind == "close" and opened.get(name):
             ends[opened[name].pop()] = at
     made: list[tuple[str, str, str]] = []
+    wraps = wrappers(found, ends)
     inside, path, skip = 0, [], -1
     for at, (kind, name, rest) in enumerate(found):
         if at <= skip:
@@ -96,10 +128,11 @@ def outline(page: str) -> list[tuple[str, str, str]]:
         if kind == "open":
             names, out = marks(rest)
             noise = out or name in HIDDEN or bool(names & NOISE) or (name in OUTSIDE_ONLY and not inside)
-            if noise and name not in FRAME and name not in VOID and at in ends:
+            if noise and name not in FRAME and name not in VOID and at in ends and not wraps(at):
                 skip = ends[at]
                 made.append(("open", name, ""))
                 continue
+            key = " ".join([name, *sorted(names)])
             if at in ends and name not in INLINE:
                 path.append(name)
                 inside += name in ("article", "main")
@@ -111,19 +144,24 @@ def outline(page: str) -> list[tuple[str, str, str]]:
     return made
 
 
+def named(key: str) -> str:
+    return key.partition(" ")[0]
+
+
 def learning_rows(page: str) -> dict[tuple[str, bool], int]:
     """How often each key occurs inside and outside the one marked element; nothing for pages that mark none or several."""
     made = outline(page)
     for mark in ("article", "main"):
-        begins = [i for i, t in enumerate(made) if t[:2] == ("open", mark)]
+        begins = [i for i, t in enumerate(made) if t[0] == "open" and named(t[1]) == mark]
         closes = [i for i, t in enumerate(made) if t[:2] == ("close", mark)]
         if len(begins) == len(closes) == 1 and begins[0] < closes[0]:
             count: dict[tuple[str, bool], int] = {}
             for i, (kind, key, text) in enumerate(made):
                 n = len(text.split()) if kind == "text" else 1
                 if n:
-                    at = (f"{kind}:{key}", begins[0] < i < closes[0])
-                    count[at] = count.get(at, 0) + n
+                    inside = begins[0] < i < closes[0]
+                    for each in [f"{kind}:{named(key)}", *(f"mark:{token}" for token in key.split(" ")[1:])]:
+                        count[each, inside] = count.get((each, inside), 0) + n
             return count
     return {}
 
@@ -145,11 +183,15 @@ def learn(pages: DataFrame, sample: int = 500) -> dict[str, float]:
     weights = {}
     for key, (out, inner) in sorted(seen.items()):
         odds = float(np.log((inner + 1) / (out + 1)))
-        weights[key] = float(np.clip(odds, *WORD_RANGE)) if key.startswith("text:") else -float(np.clip(-odds, *TAG_RANGE))
+        bounds = MARK_RANGE if key.startswith("mark:") else TAG_RANGE
+        weights[key] = float(np.clip(odds, *WORD_RANGE)) if key.startswith("text:") else -float(np.clip(-odds, *bounds))
     return weights
 
 
 def weight(weights: dict[str, float], kind: str, key: str) -> float:
+    key, *tokens = key.split(" ")
+    if tokens:
+        return weight(weights, kind, key) + sum(weights.get(f"mark:{token}", -NOISE_PRIOR * (token in NOISE)) for token in tokens)
     found = weights.get(f"{kind}:{key}")
     if found is not None:
         return found
@@ -169,7 +211,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
         elif total > best:
             best, best_at = total, (begin, at + 1)
     pieces = [
-        decoded[at] if made[at][0] == "text" else ("" if made[at][1] in INLINE and made[at][1] != "wbr" else "\n")
+        decoded[at] if made[at][0] == "text" else ("" if named(made[at][1]) in INLINE and named(made[at][1]) != "wbr" else "\n")
         for at in range(*best_at)
     ]
     return " ".join("".join(pieces).split())
