@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -234,6 +235,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert dart.classes(frame.limit(0)).count() == 0
 
 
+def test_null_repeated_and_conflicting_ids(spark):
+    long = [" ".join(f"{letter}{i}" for i in range(60)) for letter in "pqrstu"]
+    near = long[1].replace("q59", "other")
+    rows = [
+        (1, long[0], "b"), (1, long[0], "a"), (1, long[0], "a"),  # one document, its least row stays
+        (None, long[2], "n"), (None, long[3], "n"), (None, long[3] + " ", "m"), (None, None, "w"),
+        (2, long[1], "x"), (3, long[4], "x"), (3, near, "x"),  # a text of 3 is a near copy of 2
+        (4, long[5], "x"), (None, long[5], "x"), (5, None, "x"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    for turn in (frame, frame.orderBy(F.desc("text"), "source").coalesce(1)):
+        kept = dart.keep_one(turn)
+        assert kept.columns == frame.columns
+        assert sorted(kept.collect(), key=str) == sorted(
+            [(1, long[0], "a"), (None, long[2], "n"), (None, long[3], "n"), (None, None, "w"), (2, long[1], "x"), (3, long[4], "x"), (4, long[5], "x"), (5, None, "x")], key=str
+        )
+    found = [(r["doc_id"], r["kept"]) for r in dart.classes(frame).collect()]
+    assert sorted(found, key=str) == sorted([(1, True), (None, True), (None, True), (None, True), (2, True), (3, True), (3, False), (4, True), (None, False), (5, True)], key=str)
+
+
 def test_signatures_estimate_weighted_similarity():
     random = np.random.default_rng(2)
     element = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)

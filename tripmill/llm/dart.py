@@ -19,17 +19,20 @@ meets nobody. (In both rounds pairs whose signatures agree in fewer than 65 % of
 standard deviations below 0.8, are left out too.) At a similarity of 0.8 the bands miss one pair in a million.
 
 Results by case: a text of one to four words has one run, all of them; null and wordless texts link with nothing; white
-space apart, equal texts are one class; ties of company go to the smaller id; repeated rows of one id are
-one document.
+space apart, equal texts are one class; ties of company go to the smaller id. A document is an id with a text:
+repeated rows of both are one document, of which ``keep_one`` keeps the least row; other texts of an id, and texts without
+an id, are documents of their own, numbered by a hash of both from ``OWN_NUMBERS`` on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tripmill.llm.common import components, map_texts, mix, saved, shingle_hashes, slices, text_bytes, word_hashes
 
@@ -40,6 +43,7 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 REGIONS = 40
 RARE, REMEMBERED, LESS = 32, 500, 0.15
+OWN_NUMBERS = 1 << 62
 NEXT = mix(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -98,10 +102,14 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return (short << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def sign_batch(texts: pa.Array, weighting: str) -> tuple[list, list]:
-    """Digest of the words, and bands, of every text; None for texts without words."""
-    from hashlib import blake2b
+def text_digest(text: bytes) -> bytes:
+    """Of the words of a text, white space apart; of the bytes of a text without words."""
+    words = text.split()
+    return blake2b(b" ".join(words) if words else text, digest_size=16, person=b"" if words else b"wordless").digest()
+
 
+def sign_batch(texts: pa.Array, weighting: str) -> tuple[list, list]:
+    """Digest, and bands, of every text; no bands for texts without words."""
     raw, offsets = text_bytes(texts)
     data = raw.tobytes()
     digests, bands = [], []
@@ -121,7 +129,7 @@ def sign_batch(texts: pa.Array, weighting: str) -> tuple[list, list]:
         made = bands_of(signatures(element, weight, owner, end - begin))
         for i in range(begin, end):
             some = first[i - begin + 1] > first[i - begin]
-            digests.append(blake2b(b" ".join(data[offsets[i] : offsets[i + 1]].split()), digest_size=16).digest() if some else None)
+            digests.append(text_digest(data[offsets[i] : offsets[i + 1]]))
             bands.append(made[i - begin].tolist() if some else None)
     return digests, bands
 
@@ -267,21 +275,69 @@ def links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return found.unionByName(verified(rest, involved, threshold))
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """(doc_id, class_id, kept): the class is named by its smallest id, which is kept."""
-    signed = saved(sign(docs, weighting), "signatures")
-    copies = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("twin")), "digests")
+def key_of(lead: str):
+    """The number of a document: its id, or one of its own where it has none or is not the first text of its id."""
+    own = F.lit(OWN_NUMBERS) + F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "digest").bitwiseAND(F.lit(OWN_NUMBERS - 1))
+    return F.when(F.col("doc_id").isNull() | (F.col(lead).isNotNull() & (F.col("digest") != F.col(lead))), own).otherwise(F.col("doc_id"))
+
+
+def conflicts(signed: DataFrame) -> DataFrame:
+    """(doc_id, lead) of the ids that have several texts."""
+    ends = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lead"), F.max("digest").alias("last"))
+    return saved(ends.filter("lead <> last").select("doc_id", "lead"), "conflicts")
+
+
+def keyed(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """The rows with their document's number, ``key``. Texts are digested only where the id is no number of its own."""
+    shape = StructType([*docs.schema.fields, StructField("digest", BinaryType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_digest((text.as_py() or "").encode()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "digest"])
+
+    plain = docs.filter("doc_id is not null").join(several, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    rest = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(several, "doc_id", "left_semi").select(docs.columns))
+    rest = rest.mapInArrow(add, shape).join(several, "doc_id", "left").withColumn("key", key_of("lead"))
+    return plain.select(*docs.columns, "key").unionByName(rest.select(*docs.columns, "key"))
+
+
+def keyed_classes(docs: DataFrame, threshold: float, weighting: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, class_id, kept) of every document, (doc_id, key) of every row, and the ids of several texts."""
+    first = saved(sign(docs, weighting), "signatures")
+    several = conflicts(first)
+    rows = first.join(several, "doc_id", "left").withColumn("key", key_of("lead"))
+    signed = rows.select(F.col("key").alias("doc_id"), "digest", "bands")
+    copies = saved(signed.filter("bands is not null").groupBy("digest").agg(F.min("doc_id").alias("twin")), "digests")
     named = saved(
         signed.join(copies, "digest", "left").groupBy("doc_id").agg(F.min(F.coalesce("twin", "doc_id")).alias("twin")), "twins"
     )
-    heads = signed.filter("digest is not null").join(copies.select(F.col("twin").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = signed.filter("bands is not null").join(copies.select(F.col("twin").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = saved(heads, "representatives")
-    part = saved(components(links(heads, docs, threshold)), "classes")
+    texts = keyed(docs.select("doc_id", "text"), several).select(F.col("key").alias("doc_id"), "text")
+    part = saved(components(links(heads, texts, threshold)), "classes")
     joined = named.join(part.withColumnRenamed("node", "twin"), "twin", "left")
-    return joined.select("doc_id", F.coalesce("component", "twin").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    found = joined.select(F.col("doc_id").alias("key"), F.coalesce("component", "twin").alias("class_id"))
+    return found.withColumn("kept", F.col("key") == F.col("class_id")), rows.select("doc_id", "key"), several
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """(doc_id, class_id, kept) of every document: the class is named by its smallest number, an id where it holds one, and
+    that document is kept."""
+    found, rows, _ = keyed_classes(docs, threshold, weighting)
+    own = rows.filter("doc_id is null or doc_id <> key").distinct().withColumn("own", F.lit(True))
+    own = saved(own.withColumnRenamed("doc_id", "named"), "own-numbers")
+    joined = found.join(own, "key", "left")
+    return joined.select(F.when(F.col("own"), F.col("named")).otherwise(F.col("key")).alias("doc_id"), "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class, and every document that links with nothing; all their columns."""
-    kept = classes(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """One row of each class, and of every document that links with nothing; all their columns. Of rows that repeat an id
+    with its text the least one, in the order of its columns, stays."""
+    found, rows, several = keyed_classes(docs, threshold, "set")
+    kept = found.filter("kept").select("key")
+    repeated = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
+    chosen = keyed(docs, several).join(kept, "key", "left_semi")
+    single = chosen.join(repeated, "key", "left_anti").select(docs.columns)
+    least = chosen.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(least.select("row.*"))
