@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import re
 import sys
@@ -255,6 +256,12 @@ def test_null_repeated_and_conflicting_ids(spark):
     assert sorted(found, key=str) == sorted([(1, True), (None, True), (None, True), (None, True), (2, True), (3, True), (3, False), (4, True), (None, False), (5, True)], key=str)
 
 
+def test_pruning_misses_less_than_the_bands():
+    n, least = dart.COORDINATES, int((dart.SIMILARITY - dart.LESS) * dart.COORDINATES)
+    tail = sum(math.comb(n, k) * dart.SIMILARITY**k * (1 - dart.SIMILARITY) ** (n - k) for k in range(least))
+    assert tail < (1 - dart.SIMILARITY**dart.ROWS) ** dart.BANDS
+
+
 def test_signatures_estimate_weighted_similarity():
     random = np.random.default_rng(2)
     element = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
