@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tripmill.operators.mart import filter_by
 from tripmill.operators import mart, reports, tiles
 from tripmill.plans import layers, warehouse
 from tripmill.plans.registry import QUERIES, TILES
@@ -86,3 +87,9 @@ def test_one_place_with_a_third_of_all_trips(spark, gold):
     )
     top = reports.top_zones(skewed, WORDS, k=1_000)
     assert {tuple(r) for r in top.collect()} == {tuple(r) for r in direct.collect()}
+
+
+def test_year_bounds_of_the_caller_hold_beside_year_month(spark):
+    rows = spark.createDataFrame([("1997", "1997-07"), ("1998", "1998-02"), ("1998", "1998-05")], "year string, year_month string")
+    found = filter_by(rows, ranges={"year": ("1998", "1998"), "year_month": ("1997-06", "1998-03")}).collect()
+    assert [tuple(r) for r in found] == [("1998", "1998-02")]

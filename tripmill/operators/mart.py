@@ -171,7 +171,10 @@ def filter_by(
     conditions: list[Column] = []
     if "year_month" in (ranges or {}) and "year" in df.columns:
         low, high = ranges["year_month"]
-        ranges = {**ranges, "year": (low and low[:4], high and high[:4]), "year_month": (low, high)}
+        if low is not None:
+            conditions.append(F.col("year") >= low[:4])
+        if high is not None:
+            conditions.append(F.col("year") <= high[:4])
     for name, values in (categories or {}).items():
         if values is None or values == ALL or ALL in values:
             continue
