@@ -193,3 +193,14 @@ def test_wrappers_do_not_lose_the_article():
     assert extraction.extract(f"<article>{article}{inner}{article}</article>", {}) == f"{plain} x y no sound an object soup {plain}"
     assert extraction.weight({"mark:rail": -3.0}, "open", "div rail wide") == -4.0
     assert extraction.weight({}, "open", "div sidebar") < extraction.weight({}, "open", "div wide")
+
+
+def test_threshold_is_a_quantile_of_all_learning_rows(spark):
+    random = np.random.default_rng(4)
+    good = random.integers(0, 2, 1200)
+    texts = [" ".join(random.choice(["word", "#", "two,", "Three", "4"], 60, p=[0.3, 0.3 - 0.06 * g, 0.2, 0.1 + 0.06 * g, 0.1])) for g in good]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    ranker = quality.learn(docs, labels, per_label=60)
+    below = (ranker.score(quality.matrix(texts)) < quality.CUT).mean()
+    assert abs(below - (good == 0).mean()) < 0.01

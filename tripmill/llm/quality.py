@@ -2,8 +2,8 @@
 
 A pair is a text labelled 1 preferred to a text labelled 0. The score of a text is linear in its features, and the
 probability that one is preferred to the other is the logistic function of the difference of their
-scores; the weights minimise the logistic loss on feature differences, by Newton steps. The threshold is a quantile
-of the learning scores: the share of label 0 among all learning rows. Scores are shifted so that
+scores; the weights minimise the logistic loss on feature differences, by Newton steps on a bounded sample. The threshold is
+a quantile of the scores of all learning rows: the share of label 0 among them, over a histogram of ``BINS``. Scores are shifted so that
 this quantile comes to ``CUT``, and squeezed into (0, 1).
 
 Results by case: null, empty or wordless texts get the score of an empty text; labels other than 0 and 1 and null
@@ -20,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tripmill.llm.common import bounded_sample, filter_texts, map_texts, residue
+from tripmill.llm.common import bounded_sample, filter_texts, map_texts, residue, saved
 
 CUT = 0.7
+BINS = 1 << 14
 SYMBOLS = [ord(c) for c in "#*$%&<>"]
 MARKS = [ord(c) for c in ".,;:?"]
 UPPER, LOWER, DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
@@ -73,8 +74,11 @@ class Ranker:
         x = np.clip((raw - self.middle) / self.spread, -4, 4)
         return np.concatenate([x, x * x], axis=1)
 
+    def strength(self, raw: np.ndarray) -> np.ndarray:
+        return self.expand(raw) @ self.weights
+
     def score(self, raw: np.ndarray) -> np.ndarray:
-        shifted = self.expand(raw) @ self.weights - self.threshold + np.log(CUT / (1 - CUT))
+        shifted = self.strength(raw) - self.threshold + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(shifted, -30, 30)))
 
 
@@ -122,7 +126,28 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> Ranker |
     rows = sample.mapInPandas(measure, "quality int, x array<double>").orderBy("x", "quality").collect()
     if not rows:
         return None
-    return fit(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), counts[0] / sum(counts.values()))
+    ranker = fit(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), counts[0] / sum(counts.values()))
+    if ranker:
+        ranker.threshold = threshold(docs, known, ranker)
+    return ranker
+
+
+def threshold(docs: DataFrame, known: DataFrame, ranker: Ranker) -> float:
+    """The score up to which as many of all learning rows lie as have label 0, half way to the next one. Scores, not texts,
+    meet their labels; the counts of ``BINS`` bins at most reach the driver."""
+
+    def work(columns, texts):
+        return pa.RecordBatch.from_arrays([columns["doc_id"], pa.array(ranker.strength(matrix(texts.to_pylist())))], names=["doc_id", "strength"])
+
+    scores = map_texts(docs, ["doc_id"], "doc_id bigint, strength double", work)
+    rows = saved(scores.join(known, "doc_id").select("strength", "quality"), "learning-scores")
+    low, high, bad = rows.agg(F.min("strength"), F.max("strength"), F.sum((F.col("quality") == 0).cast("bigint"))).first()
+    width = max((high - low) / BINS, 1e-12)
+    bins = rows.groupBy(F.floor((F.col("strength") - low) / width).alias("bin")).agg(F.count("*").alias("n"), F.min("strength").alias("low"), F.max("strength").alias("high"))
+    found = bins.orderBy("bin").collect()
+    edge = min(int(np.searchsorted(np.cumsum([r["n"] for r in found]), bad)), len(found) - 1)
+    after = min(edge + 1, len(found) - 1)
+    return (found[edge]["high"] + found[after]["low" if after > edge else "high"]) / 2
 
 
 def marks(ranker: Ranker | None, texts: pa.Array) -> np.ndarray:
