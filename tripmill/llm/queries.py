@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripmill.llm import chat, dart, extraction, forest, langid, licenses, linedup, mixing, outliers, packing, quality, repair
+from tripmill.llm import chat, dart, extraction, forest, hardneg, langid, licenses, linedup, mixing, outliers, packing, quality, repair
 from tripmill.llm.common import table
 
 
@@ -36,12 +36,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_outlier_rules": over("documents", outliers.judged),
     "op9_forest_near_dedup": over("embeddings", forest.near_duplicates),
     "op10_page_text": over("pages", extraction.extract_pages),
+    "op11_hard_negatives": over("embeddings", hardneg.mining_query),
     "op12_line_runs": over("documents", linedup.line_query),
     "op13_suffix_repair": over("conversations", repair.repair_query),
 }
 ORACLE: dict[str, str] = {
     "op5_chat_trees": chat.ORACLE_SQL,
     "op6_license_digests": licenses.oracle_sql(),
+    "op11_hard_negatives": hardneg.ORACLE_SQL,
     "op12_line_runs": linedup.ORACLE_SQL,
     "op13_suffix_repair": repair.ORACLE_SQL,
 }
