@@ -99,8 +99,9 @@ def meet(many: DataFrame, few: DataFrame, work: Callable[[pa.Table, pa.Table], p
     of ``few``, of which a value of ``by`` has a bounded number."""
     parts = saved(many.groupBy(by).agg(F.ceil(F.count("*") / at_once).cast("int").alias("parts")), "parts")
     left = many.join(parts, by).withColumn("part", F.pmod(F.xxhash64(salt), F.col("parts")).cast("int"))
-    right = few.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return left.groupBy(by, "part").cogroup(right.groupBy(by, "part")).applyInArrow(work, schema)
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("few_part")
+    right = few.join(parts, by).select(*(F.col(name).alias(name) for name in few.columns), F.col(by).alias("few_by"), each)
+    return left.groupBy(by, "part").cogroup(right.groupBy("few_by", "few_part")).applyInArrow(work, schema)
 
 
 # ---------------------------------------------------------------- the tree
