@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tripmill.functions import MONEY
 from tripmill.operators.contracts import Vocabulary
+from tripmill.operators.summary import KEYS as SUMMARY_KEYS, cents_name, valued_name
 
 Star = Mapping[str, DataFrame]
 ALL = "ALL"
+SUMMARY = "trip_summary"
+YEAR_MONTH = re.compile(r"[0-9]{4}-[0-9]{2}")
 
 
 @dataclass(frozen=True)
@@ -132,10 +138,39 @@ def as_text_period(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("string") for name in PERIOD_TEXT if name in df.columns})
 
 
+@dataclass(frozen=True)
+class Part:
+    """A partial of an additive measure: how the fact gives it, and how the states of its summary do."""
+
+    alias: str
+    of_fact: Column
+    of_summary: Column
+
+
+def trips_part(alias: str = "trips") -> Part:
+    return Part(alias, F.sum("trips"), F.sum("trips"))
+
+
+def tipped_part(alias: str) -> Part:
+    """Trips with a tip: its flag is a key of the summary."""
+    tipped = F.sum(F.when(F.col("tip_status_id") == 1, F.col("trips")).otherwise(F.lit(0)))
+    return Part(alias, tipped, tipped)
+
+
+def cents_part(measure: str, alias: str) -> Part:
+    """Sum of the amounts, each in whole cents."""
+    return Part(alias, F.sum(F.col(measure).try_cast(MONEY)), F.sum(cents_name(measure)))
+
+
+def valued_part(measure: str, alias: str) -> Part:
+    """Rows whose measure is an amount; NaN and amounts beyond the type have no part in a mean."""
+    return Part(alias, F.count(F.col(measure).try_cast(MONEY)), F.sum(valued_name(measure)))
+
+
 def summarised(
     star: Star,
     columns: Sequence[str],
-    partials: Sequence[Column],
+    partials: Sequence[Part | Column],
     where: Column | None = None,
     how: str = "left",
 ) -> DataFrame:
@@ -143,14 +178,18 @@ def summarised(
 
     The fact is aggregated by its keys first and the dimensions are joined to that small result.
     So the join sees one row per key combination, however many trips share one, and no dimension
-    needs to fit a broadcast. ``where`` is a condition on fact columns. Callers filter on the
+    needs to fit a broadcast. Where the star has a summary that holds all of the keys, and the partials are additive, the fact is
+    not read at all. ``where`` is a condition on keys: periods and flags. Callers filter on the
     labels and aggregate the partials again.
     """
     joins = [join for join in JOINS if set(columns) & set(join.outputs)]
     own = [name for name in columns if not any(name in join.outputs for join in joins)]
-    fact = star["fact_trip"] if where is None else star["fact_trip"].filter(where)
     keys = dict.fromkeys([*own, *(join.fact_key for join in joins)])
-    joined = join_dims(star, joins, how, fact.groupBy(*keys).agg(*partials))
+    small = SUMMARY in star and all(isinstance(part, Part) for part in partials) and set(keys) <= set(SUMMARY_KEYS)
+    source = star[SUMMARY] if small else star["fact_trip"]
+    chosen = source if where is None else source.filter(where)
+    merged = [(part.of_summary if small else part.of_fact).alias(part.alias) if isinstance(part, Part) else part for part in partials]
+    joined = join_dims(star, joins, how, chosen.groupBy(*keys).agg(*merged))
     wanted = {name for join in joins for name in join.outputs} - set(columns)
     return joined.drop(*wanted, *(key for key in keys if key not in columns))
 
@@ -160,6 +199,33 @@ def excluding(mart: DataFrame, excluded: DataFrame) -> DataFrame:
     return mart.join(excluded.select("trip_id").distinct(), "trip_id", "left_anti")
 
 
+def _chosen(values: Sequence[str] | str | None) -> list[str] | None:
+    """The values of a category filter; None for no filter."""
+    if values is None or values == ALL or ALL in values:
+        return None
+    return [values] if isinstance(values, str) else list(values)
+
+
+def period_condition(
+    categories: Mapping[str, Sequence[str] | str | None] | None = None,
+    ranges: Mapping[str, tuple[str | None, str | None]] | None = None,
+) -> Column | None:
+    """What dashboard filters say of the fact's year and month folders, as a condition on them, so that months outside are not
+    opened: years and months by value, and a range of ``year_month``. It only repeats the filters, never replaces them."""
+    conditions: list[Column] = []
+    for name in PERIOD_TEXT:
+        values = _chosen((categories or {}).get(name))
+        if values is not None and all(value.isdigit() for value in values):
+            conditions.append(F.col(name).isin(*map(int, values)))
+    low, high = (ranges or {}).get("year_month", (None, None))
+    number = F.col("year") * 100 + F.col("month")
+    if low is not None and YEAR_MONTH.fullmatch(low):
+        conditions.append(number >= int(low.replace("-", "")))
+    if high is not None and YEAR_MONTH.fullmatch(high):
+        conditions.append(number <= int(high.replace("-", "")))
+    return reduce(lambda one, other: one & other, conditions) if conditions else None
+
+
 def filter_by(
     df: DataFrame,
     categories: Mapping[str, Sequence[str] | str | None] | None = None,
@@ -176,10 +242,9 @@ def filter_by(
         if high is not None:
             conditions.append(F.col("year") <= high[:4])
     for name, values in (categories or {}).items():
-        if values is None or values == ALL or ALL in values:
-            continue
-        chosen = [values] if isinstance(values, str) else list(values)
-        conditions.append(F.col(name).isin(*chosen))
+        chosen = _chosen(values)
+        if chosen is not None:
+            conditions.append(F.col(name).isin(*chosen))
     for name, (low, high) in (ranges or {}).items():
         if low is not None:
             conditions.append(F.col(name) >= low)

@@ -6,28 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripmill.functions import MONEY, half_up, share
+from tripmill.functions import half_up, share
 from tripmill.operators.contracts import PlaceRules, Vocabulary
-from tripmill.operators.mart import JOINS, Star, join_dims, summarised
+from tripmill.operators.mart import JOINS, Star, cents_part, join_dims, summarised, tipped_part, trips_part, valued_part
 from tripmill.operators.sampling import hash_sample
 
 SERVICE = tuple(join for join in JOINS if join.fact_key == "service_id")
 INNER = "inner"
+POSITIVE = 1  # of a status flag: the amount is above 0
 
 Period = tuple[int, int]
 
 
-def _trips() -> Column:
-    return F.count(F.lit(1)).alias("trips")
-
-
-def _cents(measure: str) -> Column:
-    return F.sum(F.col(measure).try_cast(MONEY)).alias("cents")
-
-
-def _valued(measure: str) -> Column:
-    """Rows whose measure is an amount; NaN and amounts beyond the type have no part in a mean."""
-    return F.count(F.col(measure).try_cast(MONEY)).alias("valued")
+def _tipped() -> Column:
+    return F.col("tip_status_id") == POSITIVE
 
 
 def _total_trips() -> Column:
@@ -50,7 +42,7 @@ def _in_period(period: Period) -> Column:
 
 def market_share(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
     counts = (
-        summarised(star, ["year_month", "service_group"], [_trips()], how=INNER)
+        summarised(star, ["year_month", "service_group"], [trips_part()], how=INNER)
         .filter(_in_groups(words, groups))
         .groupBy("year_month", "service_group")
         .agg(_total_trips())
@@ -62,7 +54,7 @@ def market_share(star: Star, words: Vocabulary, groups: Sequence[str] | None = N
 
 def top_zones(star: Star, words: Vocabulary, k: int = 20, groups: Sequence[str] | None = None) -> DataFrame:
     return (
-        summarised(star, ["pickup_zone", "service_group"], [_trips()], how=INNER)
+        summarised(star, ["pickup_zone", "service_group"], [trips_part()], how=INNER)
         .filter(_in_groups(words, groups))
         .groupBy("pickup_zone", "service_group")
         .agg(_total_trips())
@@ -72,9 +64,8 @@ def top_zones(star: Star, words: Vocabulary, k: int = 20, groups: Sequence[str]
 
 
 def tip_probability(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
-    tipped = F.count_if(F.col("tip") > 0).alias("tipped")
     counts = (
-        summarised(star, ["service_group"], [_trips(), tipped], how=INNER)
+        summarised(star, ["service_group"], [trips_part(), tipped_part("tipped")], how=INNER)
         .filter(_in_groups(words, groups))
         .groupBy("service_group")
         .agg(_total_trips(), F.sum("tipped").alias("tipped_trips"))
@@ -84,7 +75,7 @@ def tip_probability(star: Star, words: Vocabulary, groups: Sequence[str] | None
 
 def tip_mean_paid(star: Star, words: Vocabulary, groups: Sequence[str] | None = None) -> DataFrame:
     return (
-        summarised(star, ["service_group"], [_valued("tip"), _cents("tip")], F.col("tip") > 0, INNER)
+        summarised(star, ["service_group"], [valued_part("tip", "valued"), cents_part("tip", "cents")], _tipped(), INNER)
         .filter(_in_groups(words, groups))
         .groupBy("service_group")
         .agg(half_up(_mean(), 2).alias("mean_tip"))
@@ -115,7 +106,7 @@ def tip_scatter(
 
 def monthly_volume(star: Star) -> DataFrame:
     return (
-        summarised(star, ["year_month", "service_group"], [_trips()], how=INNER)
+        summarised(star, ["year_month", "service_group"], [trips_part()], how=INNER)
         .groupBy("year_month", "service_group")
         .agg(_total_trips())
         .orderBy("year_month", "service_group")
@@ -130,7 +121,7 @@ def tip_by_era(star: Star, words: Vocabulary, during: tuple[str, str] = ("2020-0
         .otherwise(words.era_after)
     )
     return (
-        summarised(star, ["year_month", "service_group"], [_valued("tip"), _cents("tip")], F.col("tip") > 0, INNER)
+        summarised(star, ["year_month", "service_group"], [valued_part("tip", "valued"), cents_part("tip", "cents")], _tipped(), INNER)
         .groupBy("year_month", "service_group")
         .agg(half_up(_mean(), 2).alias("mean_tip"))
         .withColumn("era", era)
@@ -157,7 +148,7 @@ def _core_columns(rule: str) -> list[str]:
 def core_zone_volume(
     star: Star, words: Vocabulary, places: PlaceRules, period: Period, rule: str = "service_zone"
 ) -> DataFrame:
-    trips = summarised(star, ["service_group", *_core_columns(rule)], [_trips()], _in_period(period), INNER)
+    trips = summarised(star, ["service_group", *_core_columns(rule)], [trips_part()], _in_period(period), INNER)
     label = F.when(_inside_core(rule, places, words), words.zone_core).otherwise(words.zone_outside)
     return (
         trips.filter(F.col("pickup_district") == places.home_district)
@@ -168,9 +159,9 @@ def core_zone_volume(
 
 
 def fee_kpi(star: Star, period: Period) -> DataFrame:
-    charged = _in_period(period) & (F.col("core_zone_fee") > 0)
+    charged = _in_period(period) & (F.col("core_fee_status_id") == POSITIVE)
     return (
-        summarised(star, ["service_group"], [_valued("core_zone_fee"), _cents("core_zone_fee")], charged, INNER)
+        summarised(star, ["service_group"], [valued_part("core_zone_fee", "valued"), cents_part("core_zone_fee", "cents")], charged, INNER)
         .groupBy("service_group")
         .agg(
             half_up(F.sum("cents").cast("double"), 2).alias("total_fee"),
@@ -189,7 +180,7 @@ def before_after(
 ) -> DataFrame:
     """``before`` and ``after``: (label, (year, month))."""
     periods = _in_period(before[1]) | _in_period(after[1])
-    trips = summarised(star, ["year", "month", *_core_columns(rule)], [_trips()], periods, INNER)
+    trips = summarised(star, ["year", "month", *_core_columns(rule)], [trips_part()], periods, INNER)
     inside = F.when(_inside_core(rule, places, words), words.district_inside).otherwise(words.district_outside)
     return (
         trips.withColumn("period", F.when(_in_period(before[1]), before[0]).otherwise(after[0]))

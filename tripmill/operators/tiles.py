@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripmill.functions import MONEY
 from tripmill.operators.contracts import Vocabulary
-from tripmill.operators.mart import Star, as_text_period, filter_by, summarised
+from tripmill.operators.mart import Part, Star, as_text_period, cents_part, filter_by, period_condition, summarised, trips_part, valued_part
 
 
 @dataclass(frozen=True)
@@ -48,18 +48,12 @@ def dashboard_tiles(words: Vocabulary, core_years: Sequence[str]) -> dict[str, T
     }
 
 
-def _partial(tile: Tile) -> Column:
-    """Per key combination: trips, or cents of a money measure. The tip flag follows from the
-    joined label, so it needs no more than the trips."""
+def _partials(tile: Tile) -> list[Part]:
+    """Per key combination: trips, or cents of a money measure, and the rows that a mean divides by. The tip flag follows from
+    the joined label, so it needs no more than the trips."""
     if tile.measure in ("trips", "tip_flag"):
-        return F.sum("trips").alias("part")
-    return F.sum(F.col(tile.measure).try_cast(MONEY)).alias("part")
-
-
-def _rows(tile: Tile) -> Column:
-    """Rows that a mean divides by: those whose measure is an amount."""
-    counted = F.lit(1) if tile.measure in ("trips", "tip_flag") else F.col(tile.measure).try_cast(MONEY)
-    return F.count(counted).alias("rows")
+        return [trips_part("part"), trips_part("rows")]
+    return [cents_part(tile.measure, "part"), valued_part(tile.measure, "rows")]
 
 
 def _total(tile: Tile, words: Vocabulary) -> Column:
@@ -79,12 +73,14 @@ def build_tile(
     categories: Mapping[str, Sequence[str] | str | None] | None = None,
     ranges: Mapping[str, tuple[str | None, str | None]] | None = None,
 ) -> DataFrame:
-    """A tile under the dashboard-wide filters (``categories``, ``ranges``) and its own."""
+    """A tile under the dashboard-wide filters (``categories``, ``ranges``) and its own. What they say of periods reaches the
+    folders of the fact, or of its summary where the star has one."""
     used = [*tile.categories, *tile.filters, *(categories or {}), *(ranges or {})]
     if tile.measure == "tip_flag":
         used.append("tipped")
-    partials = [_partial(tile), _rows(tile)]
-    combinations = as_text_period(summarised(star, list(dict.fromkeys(used)), partials))
+    periods = [period_condition(categories, ranges), period_condition(tile.filters)]
+    where = reduce(lambda one, other: one & other, [each for each in periods if each is not None], F.lit(True))
+    combinations = as_text_period(summarised(star, list(dict.fromkeys(used)), _partials(tile), where))
     chosen = filter_by(filter_by(combinations, categories, ranges), tile.filters)
     result = chosen.groupBy(*tile.categories).agg(_total(tile, words).alias(tile.value))
     return result.orderBy(*tile.sort, *tile.categories) if tile.sort else result

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tripmill.operators.conform import align, conform
 from tripmill.operators.silver import dedup_with_counts, mark_valid
 from tripmill.plans import warehouse
-from tripmill.plans.pipeline import Layout, new_load_id, read_star, run_gold
+from tripmill.plans.pipeline import Layout, load_silver, new_load_id, read_star, run_gold, with_summary
 from tripmill.session import scratch_path
-from tripmill.sources.tables import read_silver, write_silver
+from tripmill.sources.tables import read_silver
 
 Layer = TypeVar("Layer")
 _OPENED: dict[tuple[str, str, str], object] = {}
@@ -58,9 +58,7 @@ def marked_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def build_silver(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
-    load_id = new_load_id()
-    for feed, marked in marked_feeds(spark, sf_dir).items():
-        write_silver(marked, f"{path}/{feed}", load_id)
+    load_silver(spark, Layout("", path, ""), marked_feeds(spark, sf_dir), new_load_id())
     contracts = warehouse.CONTRACTS.items()
     return {feed: read_silver(spark, f"{path}/{feed}", contract) for feed, contract in contracts}
 
@@ -81,9 +79,14 @@ def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def build_gold(spark: SparkSession, sf_dir: str, silver_path: str, path: str) -> dict[str, DataFrame]:
     layout = Layout(bronze="", silver=silver_path, gold=path)
     run_gold(spark, layout, warehouse.MODEL, warehouse.zones(spark, sf_dir))
-    return read_star(spark, path)
+    return with_summary(read_star(spark, path), spark, path)
 
 
-def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def star_and_summary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     root = silver_root(spark, sf_dir)
     return _opened(spark, sf_dir, "gold", lambda path: build_gold(spark, sf_dir, root, path))
+
+
+def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star alone: what is asked of it is worked out from the fact."""
+    return {name: df for name, df in star_and_summary(spark, sf_dir).items() if name != "trip_summary"}

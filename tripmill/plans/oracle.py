@@ -305,6 +305,27 @@ ORACLE |= {
 # What the composed run writes has the counts that the rows themselves have.
 ORACLE["landing_to_silver"] = ORACLE["silver_reconcile"]
 
+ORACLE |= {
+    "lake_run_repaired": f"""with {LANDING.replace(TRIPS, SILVER, 1)}, files as (select distinct feed, year, month from trips),
+        clean as (select feed, year, month, count(*) as n from silver group by all),
+        by_month as (select year, month, count(*) as n from silver group by all)
+        select e.feed, e.year, e.month,
+          case when f.feed is null then 'SKIP_404' when e.feed = 'b' and e.year = 1998 and e.month = 3 then 'FAIL' else 'OK' end
+            as first_status,
+          case when f.feed is null then 'SKIP_404' when (e.feed = 'b' and e.year = 1998 and e.month = 3) or c.n is null then 'OK'
+               else 'SKIP_EXISTS' end as second_status,
+          coalesce(c.n, 0) as clean, coalesce(m.n, 0) as month_trips
+        from expected e left join files f using (feed, year, month) left join clean c using (feed, year, month)
+        left join by_month m using (year, month)""",
+    "ledger_changed_months": f"""with {TRIPS} select distinct feed, year, month from trips
+        where (vendor = 6 and year = 1999) or (vendor = 7 and month = 12)
+        union select feed, year, month from trips where year = 2000 group by all
+        having count(*) filter (vendor = 5) > 0 and count(*) filter (vendor <> 5) > 0""",
+    "gold_by_delta": f"""with {SILVER} select year, month, count(*) as total_trips,
+        {money("fare")} as total_fare, cast(case when year = 1998 and month = 3 then 2 else 1 end as bigint) as build
+        from silver group by year, month""",
+}
+
 # ---------------------------------------------------------------- quality
 
 
@@ -450,6 +471,14 @@ def tile(categories: str, value: str, where: str = "true") -> str:
     return f"with {MART} select {categories}, {value} from mart where {where} group by all"
 
 
+# Reports and tiles that the summary answers as well.
+ADDITIVE = (
+    "r_market_share", "r_top_zones", "r_tip_probability", "r_tip_mean_paid", "r_monthly_volume", "r_tip_by_era",
+    "r_core_zone_volume", "r_fee_kpi", "r_before_after", "tile_volume", "tile_district_taxi", "tile_district_app",
+    "tile_time_band", "tile_tip_rate", "tile_tip_mean", "tile_tip_by_band_hour", "tile_tip_by_band_region", "tile_tip_era",
+    "tile_region_mix", "tile_core_volume",
+)
+
 TRIP_SUM = "cast(sum(trips) as bigint) as sum_trips"
 TIP_SUM = f"{money('tip')} as sum_tip"
 TIP_MEAN = f"{mean('tip')} as mean_tip"
@@ -494,3 +523,7 @@ ORACLE |= {
                count(*) filter (place_id is null and id = 0) as no_place_trips
         from roles left join place on id = place_id group by role""",
 }
+
+ORACLE |= {f"summary_{name}": sql for name, sql in ORACLE.items() if name in ADDITIVE}
+ORACLE["summary_states"] = f"""with {FACT} select year, service_id, count(*) as total_trips, {money("fare")} as total_fare,
+    count(tip) as valued_tips, {mean("tip")} as mean_tip from fact group by year, service_id"""

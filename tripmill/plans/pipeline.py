@@ -9,15 +9,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.operators import quality, star
+from tripmill.operators import quality, star, summary
 from tripmill.operators.conform import cast_losses, conform_variants
 from tripmill.operators.contracts import PERIOD, StarModel
-from tripmill.operators.silver import dedup_with_counts, mark_valid, pending_periods, reconcile
-from tripmill.sources import landing
+from tripmill.operators.silver import dedup_with_counts, mark_valid, reconcile, stage_counts
+from tripmill.sources import landing, ledger
 from tripmill.sources.bronze import footers, read_feed
 from tripmill.sources.landing import KEY, manifest
+from tripmill.sources.files import delete, folder_names
 from tripmill.sources.tables import (
     current_version,
+    expire_versions,
     loaded_periods,
     publish,
     read_load,
@@ -36,6 +38,8 @@ DIMS = (
     "dim_congestion_status",
 )
 TABLES = (*DIMS, "fact_trip")
+# The fact and its summary lie in folders by build and month; the published table of months says which build counts.
+MONTHS, FACT, SUMMARY, BATCH = "fact_months", "fact_trip", "trip_summary", "batch"
 
 
 @dataclass(frozen=True)
@@ -111,7 +115,8 @@ def run_silver(
     audit_casts: bool = False,
     gather: bool = True,
 ) -> SilverResult:
-    """One job per feed over all of its pending periods.
+    """One job per feed over all periods whose files are not those that were loaded (see ``ledger``). The run counts, in all
+    feeds at once, when its last step has recorded it.
 
     ``years`` restricts the run: a full load of very many periods can go year by year, so that one
     shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan. ``gather`` False saves a
@@ -121,12 +126,16 @@ def run_silver(
     files = manifest(spark, layout.bronze).filter(F.col("feed").isin(*model.contracts))
     if years is not None:
         files = files.filter(F.col("year").isin(*years))
-    loaded = loaded_periods(spark, layout.silver, list(model.contracts))
     valid = landing.present_periods(files).filter(landing.large_enough())  # too small is a failure in landing
-    work = files.join(pending_periods(valid, loaded, full_load), KEY, "left_semi")
-    written, unreadable, losses = {}, {}, []
+    work = files.join(valid.select(*KEY), KEY, "left_semi")
+    if not full_load:
+        changed = ledger.changed_months(work, ledger.loaded_files(spark, layout.silver))
+        work = work.join(changed, KEY, "left_semi")
+    work = ledger.begin(spark, layout.silver, work, load_id)
+    written, unreadable, losses, months = {}, {}, [], []
     for feed, contract in model.contracts.items():
-        read = read_feed(spark, layout.bronze, work.filter(F.col("feed") == feed), contract)
+        own = work.filter(F.col("feed") == feed)
+        read = read_feed(spark, layout.bronze, own, contract)
         unreadable[feed] = read.unreadable
         if read.frames:
             path = f"{layout.silver}/{feed}"
@@ -134,6 +143,12 @@ def run_silver(
             write_silver(marked, path, load_id, gather)
             written[feed] = read_load(spark, path, load_id)
             losses += [cast_losses(frame, contract) for frame in read.frames]
+            held = spark.createDataFrame([(path,) for path, _ in read.unreadable], "path string")
+            waiting = own.join(held, "path", "left_semi").select(*KEY)
+            taken = own.select(*KEY).distinct().join(waiting, KEY, "left_anti")
+            months.append(taken.join(stage_counts(written[feed], feed), KEY, "left"))
+    if months:
+        ledger.commit(spark, layout.silver, _union(months), load_id)
     return SilverResult(
         load_id,
         reconcile(written) if written else None,
@@ -142,6 +157,16 @@ def run_silver(
     )
 
 
+def load_silver(spark: SparkSession, layout: Layout, marked: Mapping[str, DataFrame], load_id: str) -> None:
+    """One committed load out of rows that are de-duplicated and judged already, whatever files they come from."""
+    months = []
+    for feed, rows in marked.items():
+        path = f"{layout.silver}/{feed}"
+        write_silver(rows, path, load_id)
+        months.append(stage_counts(read_load(spark, path, load_id), feed))
+    ledger.commit(spark, layout.silver, _union(months), load_id)
+
+
 def run_quality(
     spark: SparkSession, layout: Layout, model: StarModel, fail_on: frozenset[str] = frozenset()
 ) -> DataFrame:
@@ -178,33 +203,113 @@ def build_dims(
     }
 
 
+def changed_inputs(spark: SparkSession, layout: Layout, rebuild: bool) -> DataFrame:
+    """(year, month, inputs): the months whose loads, over all feeds, are not those that the fact was built from."""
+    load = F.struct("feed", ledger.LOAD)
+    months = ledger.current_months(spark, layout.silver).groupBy(*PERIOD).agg(F.array_sort(F.collect_list(load)).alias("inputs"))
+    if rebuild or not current_version(spark, layout.gold, MONTHS):
+        return months
+    built = read_table(spark, layout.gold, MONTHS).select(*PERIOD, F.col("inputs").alias("built"))
+    same = months.join(built, list(PERIOD)).filter(F.col("inputs") == F.col("built")).select(*PERIOD)
+    return months.join(same, list(PERIOD), "left_anti")
+
+
 def run_gold(
-    spark: SparkSession, layout: Layout, model: StarModel, zones: DataFrame, gather_fact: bool = False
+    spark: SparkSession,
+    layout: Layout,
+    model: StarModel,
+    zones: DataFrame,
+    gather_fact: bool = False,
+    rebuild: bool = False,
+    keep: int | None = None,
 ) -> dict[str, int]:
-    """Publish a new version of every gold table; returns the rows written to each.
+    """Publish a new version of every gold table; returns the rows that each has.
+
+    The fact is rebuilt by the month: only months of which a load has changed are read from silver and written, with
+    their summary, to folders of this build; operator names that they bring are appended to the dimension. The table of
+    months, published last, says which build of each month counts, so readers see all of a run or nothing. ``rebuild``
+    writes every month, for a changed model. ``keep`` expires all but that many versions.
 
     The dimensions are written first, so Spark knows their size. Under its broadcast threshold the
     operator lookup leaves the fact a map over silver, written without any shuffle, since silver
     files already hold one period each. Above it the join is by sort and merge, with the skew handling of
     adaptive execution; ``gather_fact`` then gathers the rows by period before the write.
     """
-    silver, _ = tolerant_silver(spark, layout.silver, model.contracts)
+    batch = f"b{new_load_id()}"
+    publish(changed_inputs(spark, layout, rebuild).withColumn(BATCH, F.lit(batch)), layout.gold, "fact_work")
+    work = read_table(spark, layout.gold, "fact_work")  # written: every step takes the same months
+    silver, _ = tolerant_silver(spark, layout.silver, model.contracts, work)
     unified = star.unify(silver, model)
     written: dict[str, int] = {}
-
-    def write(table: str, df: DataFrame, partition_by: tuple[str, ...] = (), gather: bool = True) -> None:
-        path = publish(df, layout.gold, table, partition_by, gather)
-        written[table] = spark.read.parquet(path).count()  # from the file footers
-
     for table, df in build_dims(spark, model, zones, star.operator_names(silver, model), layout.gold).items():
-        write(table, df)
+        written[table] = spark.read.parquet(publish(df, layout.gold, table)).count()  # from the file footers
     operators = read_table(spark, layout.gold, "dim_operator")
-    write("fact_trip", star.fact_trip(unified, operators, model), PERIOD, gather=gather_fact)
+    fact = star.fact_trip(unified, operators, model).withColumn(BATCH, F.lit(batch))
+    gathered = fact.hint("rebalance", *PERIOD) if gather_fact else fact
+    gathered.write.mode("append").partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{FACT}")
+    counts = spark.createDataFrame([], "year int, month int, n bigint")
+    if batch_folder(spark, layout.gold, FACT, batch):
+        new = _read_batches(spark, layout.gold, FACT).filter(F.col(BATCH) == batch)
+        summed = summary.summarise(new).withColumn(BATCH, F.lit(batch))
+        summed.hint("rebalance", *PERIOD).write.mode("append").partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{SUMMARY}")
+        counts = new.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("n"))
+    months = work.join(counts, list(PERIOD), "left").select(*PERIOD, "inputs", BATCH, F.coalesce("n", F.lit(0)).alias("n"))
+    if current_version(spark, layout.gold, MONTHS):
+        before = read_table(spark, layout.gold, MONTHS)
+        months = months.unionByName(before.join(work.select(*PERIOD), list(PERIOD), "left_anti"))
+    publish(months, layout.gold, MONTHS)
+    written[FACT] = read_table(spark, layout.gold, MONTHS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if keep is not None:
+        expire(spark, layout, keep)
     return written
 
 
+def batch_folder(spark: SparkSession, gold: str, table: str, batch: str) -> bool:
+    return f"{BATCH}={batch}" in folder_names(spark, f"{gold}/{table}")
+
+
+def _read_batches(spark: SparkSession, gold: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{gold}/{table}")
+
+
+def read_months(spark: SparkSession, gold: str, table: str) -> DataFrame:
+    """The fact, or its summary: of every month the build that counts; other folders are not opened."""
+    keys = ledger.folder_keys(read_table(spark, gold, MONTHS), BATCH)
+    return ledger.in_folders(_read_batches(spark, gold, table), keys, BATCH).drop(BATCH)
+
+
+def expire(spark: SparkSession, layout: Layout, keep: int) -> list[str]:
+    """Delete all but the ``keep`` newest versions of the gold tables, and the builds of months and the loads of silver that none
+    of them refers to. Returns the deleted folders. Readers that hold an older version lose it."""
+    if keep < 1:
+        raise ValueError("one version at least stays")
+    gone = [f"{t}/{v}" for t in (*DIMS, "fact_work", MONTHS) for v in expire_versions(spark, layout.gold, t, keep)]
+    kept = [v for v in folder_names(spark, f"{layout.gold}/{MONTHS}") if v.startswith("version=")]
+    states = [spark.read.parquet(f"{layout.gold}/{MONTHS}/{v}") for v in kept if "_SUCCESS" in folder_names(spark, f"{layout.gold}/{MONTHS}/{v}")]
+    months = _union(states)
+    builds = {row[0] for row in months.select(BATCH).distinct().collect()}  # one per run at most
+    for table in (FACT, SUMMARY):
+        old = [name for name in folder_names(spark, f"{layout.gold}/{table}") if name.startswith(f"{BATCH}=") and name[len(BATCH) + 1 :] not in builds]
+        gone += [f"{table}/{name}" for name in old]
+        for name in old:
+            delete(spark, f"{layout.gold}/{table}/{name}")
+    used = months.select(F.explode("inputs").alias("input")).select("input.load_id")
+    used = {row[0] for row in used.unionByName(ledger.current_months(spark, layout.silver).select(ledger.LOAD)).distinct().collect()}
+    for feed in folder_names(spark, layout.silver):
+        for name in folder_names(spark, f"{layout.silver}/{feed}"):
+            if name.startswith(f"{ledger.LOAD}=") and name.partition("=")[2] not in used:
+                delete(spark, f"{layout.silver}/{feed}/{name}")
+                gone.append(f"{feed}/{name}")
+    return gone
+
+
 def read_star(spark: SparkSession, gold: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, gold, table) for table in TABLES}
+    return {**{table: read_table(spark, gold, table) for table in DIMS}, FACT: read_months(spark, gold, FACT)}
+
+
+def with_summary(star_tables: Mapping[str, DataFrame], spark: SparkSession, gold: str) -> dict[str, DataFrame]:
+    """The star with its summary, from which tiles and additive reports are then answered."""
+    return {**star_tables, SUMMARY: read_months(spark, gold, SUMMARY)}
 
 
 def register_views(star_tables: Mapping[str, DataFrame]) -> None:
@@ -230,7 +335,8 @@ def run(
     full_load: bool = False,
     fail_on: frozenset[str] = frozenset(),
 ) -> RunResult:
-    """Landing, silver, quality (not blocking by default), gold. Safe to run again."""
+    """Landing, silver, quality (not blocking by default), gold. Safe to run again: a run that stopped anywhere has no effect on
+    what readers see, and the next one takes the same work."""
     landed = run_landing(spark, layout, model, expected, source)
     silver = run_silver(spark, layout, model, full_load)
     card = run_quality(spark, layout, model, fail_on)

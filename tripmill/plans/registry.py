@@ -7,11 +7,11 @@ from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tripmill.operators import checks, conform, mart, quality, reports, silver, star, tiles
+from tripmill.operators import checks, conform, mart, quality, reports, silver, star, summary, tiles
 from tripmill.operators.contracts import PERIOD
 from tripmill.plans import layers, pipeline, warehouse
 from tripmill.session import reachable, scratch_path
-from tripmill.sources import landing, tables
+from tripmill.sources import files, landing, ledger, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +267,71 @@ def landing_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.run_silver(spark, layout, MODEL).stages
 
 
+@register
+def lake_run_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing, silver, gold twice over written files, one of them broken and repaired between the runs: per expected period
+    what landing said each time, and the trips that silver and the fact have in the end."""
+    reachable(spark)
+    lake = scratch_path(spark, "lake")
+    layout = pipeline.Layout(f"{lake}/bronze", f"{lake}/silver", f"{lake}/gold")
+    for feed in warehouse.FEEDS:
+        raw = layers.raw_feed(spark, sf_dir, feed)
+        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
+    expected, zones = _calendar(spark, sf_dir), warehouse.zones(spark, sf_dir)
+    broken = f"{layout.bronze}/b/year=1998/month=3/broken.parquet"
+    files.write_bytes(spark, broken, b"no table at all " * 200)
+    first = pipeline.run(spark, layout, MODEL, expected, zones, "source").landing.status
+    files.delete(spark, broken)
+    second = pipeline.run(spark, layout, MODEL, expected, zones, "source").landing.status
+    clean = ledger.current_months(spark, layout.silver).select(*KEY, "clean")
+    trips = tables.read_table(spark, layout.gold, pipeline.MONTHS).select(*PERIOD, F.col("n").alias("month_trips"))
+    told = first.select(*KEY, F.col("status").alias("first_status")).join(second.select(*KEY, F.col("status").alias("second_status")), KEY)
+    joined = told.join(clean, KEY, "left").join(trips, list(PERIOD), "left")
+    return joined.select(*KEY, "first_status", "second_status", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("clean", "month_trips")))
+
+
+@register
+def ledger_changed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work after a second listing of one file per feed, month and vendor: late files (vendor 6 in 1999), replaced ones (vendor 7 in
+    every December) and files that are gone (vendor 5 in 2000). A load that never committed took them all and counts for nothing."""
+    listed = layers.landed(spark, sf_dir).groupBy(*KEY, "vendor").agg((F.count(F.lit(1)) * BYTES_PER_ROW).alias("length"))
+    path = F.concat_ws("/", *KEY, F.col("vendor").cast("string")).alias("path")
+    replaced = F.when(F.expr("vendor = 7 and month = 12"), F.col("length") + BYTES_PER_ROW).otherwise(F.col("length"))
+    modified = F.lit("2024-01-01").cast("timestamp").alias("modified")
+    before = listed.filter("not (vendor = 6 and year = 1999)").select(path, "length", modified, *KEY)
+    now = listed.filter("not (vendor = 5 and year = 2000)").select(path, replaced.alias("length"), modified, *KEY)
+    root = scratch_path(spark, "ledger")
+    taken = ledger.begin(spark, root, before, "1")
+    rows = (F.sum("length") / BYTES_PER_ROW).cast("bigint")
+    ledger.commit(spark, root, taken.groupBy(*KEY).agg(*(rows.alias(stage) for stage in ledger.STAGES)), "1")
+    ledger.begin(spark, root, now, "2")
+    return ledger.changed_months(now, ledger.loaded_files(spark, root))
+
+
+@register
+def gold_by_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver in two loads, the second with the whole of March 1998 of feed c, of which the first had the short trips; gold after
+    each. Per month the trips and fares of the fact, and the build that wrote it."""
+    lake = scratch_path(spark, "lake")
+    layout = pipeline.Layout("", f"{lake}/silver", f"{lake}/gold")
+    zones, late = warehouse.zones(spark, sf_dir), F.expr("year = 1998 and month = 3")
+    judged = {
+        feed: rows.withColumns({"copies": F.lit(1).cast("bigint"), "accepted": F.lit(True)})
+        for feed, rows in layers.silver(spark, sf_dir).items()
+    }
+    early = {**judged, "c": judged["c"].filter(~late | (F.col("distance_mi") < 10))}
+    pipeline.load_silver(spark, layout, early, pipeline.new_load_id())
+    pipeline.run_gold(spark, layout, MODEL, zones)
+    pipeline.load_silver(spark, layout, {"c": judged["c"].filter(late)}, pipeline.new_load_id())
+    pipeline.run_gold(spark, layout, MODEL, zones)
+    months = tables.read_table(spark, layout.gold, pipeline.MONTHS)
+    first = months.agg(F.min(pipeline.BATCH)).first()[0]
+    builds = months.select(*PERIOD, F.when(F.col(pipeline.BATCH) == first, 1).otherwise(2).alias("build"))
+    fare = F.sum(F.col("fare").cast(warehouse.MONEY)).cast("double").alias("total_fare")
+    fact = pipeline.read_months(spark, layout.gold, pipeline.FACT).groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("total_trips"), fare)
+    return fact.join(builds, list(PERIOD))
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -486,3 +551,37 @@ def tile_tip_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _report("check_row_counts", checks.row_counts)
 _report("check_recent_months", lambda gold: checks.recent_months(gold, warehouse.SCATTER_YEAR))
 _report("check_orphans", checks.orphans)
+
+
+# ---------------------------------------------------------------- the same, out of the summary
+
+ADDITIVE: dict[str, Callable[[mart.Star], DataFrame]] = {
+    "r_market_share": lambda gold: reports.market_share(gold, WORDS),
+    "r_top_zones": lambda gold: reports.top_zones(gold, WORDS),
+    "r_tip_probability": lambda gold: reports.tip_probability(gold, WORDS),
+    "r_tip_mean_paid": lambda gold: reports.tip_mean_paid(gold, WORDS),
+    "r_monthly_volume": reports.monthly_volume,
+    "r_tip_by_era": lambda gold: reports.tip_by_era(gold, WORDS, warehouse.ERA),
+    "r_core_zone_volume": lambda gold: reports.core_zone_volume(gold, WORDS, PLACES, warehouse.FEE_PERIOD),
+    "r_fee_kpi": lambda gold: reports.fee_kpi(gold, warehouse.FEE_PERIOD),
+    "r_before_after": lambda gold: reports.before_after(gold, WORDS, PLACES, *warehouse.COMPARED_PERIODS),
+    **{name: (lambda gold, tile=tile: tiles.build_tile(gold, WORDS, tile)) for name, tile in TILES.items()},
+}
+
+
+def _summary_query(build: Callable[[mart.Star], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(layers.star_and_summary(spark, sf_dir))
+
+
+for _additive, _build in ADDITIVE.items():
+    _register(f"summary_{_additive}", _summary_query(_build))
+
+
+@register
+def summary_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the months merged to years and services: trips, fare in cents, valued tips and their mean."""
+    states = summary.merge(layers.star_and_summary(spark, sf_dir)[mart.SUMMARY], "year", "service_id")
+    return states.select(
+        "year", "service_id", F.col("trips").alias("total_trips"), F.col("fare_cents").alias("total_fare"),
+        F.col("tip_valued").alias("valued_tips"), summary.mean("tip").alias("mean_tip"),
+    )

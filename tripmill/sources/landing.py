@@ -49,19 +49,20 @@ def calendar(ranges: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with size and period. File contents are not read; Spark leaves out
+    """Files below ``root`` with size, time of change and period. File contents are not read; Spark leaves out
     files of zero bytes, which therefore count as not there."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(root)
-        .select("path", "length")
+        .select("path", "length", F.col("modificationTime").alias("modified"))
     )
     layout = r"/([^/]+)/year=(\d{4})/month=(\d{1,2})/[^/]+$"
     return listing.filter(F.col("path").rlike(layout)).select(
         "path",
         "length",
+        "modified",
         F.regexp_extract("path", layout, 1).alias("feed"),
         F.regexp_extract("path", layout, 2).cast("int").alias("year"),
         F.regexp_extract("path", layout, 3).cast("int").alias("month"),

@@ -7,24 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.operators.contracts import PERIOD, FeedContract
+from tripmill.sources import ledger
+from tripmill.sources.files import claim, delete, folder_names, path_exists
+from tripmill.sources.ledger import LOAD
 
 VERSION = "version="
-
-
-def _filesystem(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    filesystem, hadoop_path = _filesystem(spark, path)
-    return filesystem.exists(hadoop_path)
+CLAIM = "_CLAIMED"
 
 
 # ---------------------------------------------------------------- silver
 
 
-ACCEPTED, LOAD = "accepted", "load_id"
+ACCEPTED = "accepted"
 
 
 def overwrite_periods(
@@ -46,27 +40,38 @@ def overwrite_periods(
 
 
 def write_silver(marked: DataFrame, path: str, load_id: str, gather: bool = True) -> None:
-    """Write de-duplicated rows with their verdict: the accepted ones are the silver table. Both sides of
-    a month lie in its one partition, so a reload replaces the month whole. One job, and afterwards every stage count can be read off the written
-    rows, which (unlike metrics gathered while writing) stay right when tasks are run again.
+    """Write de-duplicated rows with their verdict, below a folder of the load: the accepted ones of the loads that count are
+    the silver table. Both sides of a month lie in its one partition, so a reload replaces the month whole. One job, and
+    afterwards every stage count can be read off the written rows, which (unlike metrics gathered while writing) stay
+    right when tasks are run again.
 
     ``gather`` False saves the second shuffle after the one that de-duplicates: right for a load of a few
     periods, where a file per task and period still has a good size.
     """
-    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, PERIOD, gather)
+    overwrite_periods(marked.withColumn(LOAD, F.lit(load_id)), path, (LOAD, *PERIOD), gather)
 
 
 def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
-    """Verdict and copies of the rows of one load; reads three narrow columns."""
-    ddl = f"copies bigint, {LOAD} string, {ACCEPTED} boolean, year int, month int"
+    """Verdict and copies of the rows of one load; reads two narrow columns of its own folder."""
+    ddl = f"copies bigint, {ACCEPTED} boolean, {LOAD} string, year int, month int"
     return spark.read.schema(ddl).parquet(path).filter(F.col(LOAD) == load_id)
 
 
-def read_silver(spark: SparkSession, path: str, contract: FeedContract) -> DataFrame:
-    """Accepted rows under the contract's current schema. Files written before a column joined
-    the contract read it as null; no footer merging is needed."""
-    rows = spark.read.schema(f"{contract.ddl}, {ACCEPTED} boolean").parquet(path)
-    return rows.filter(ACCEPTED).drop(ACCEPTED)
+def read_silver(spark: SparkSession, path: str, contract: FeedContract, months: DataFrame | None = None) -> DataFrame:
+    """Accepted rows of the loads that count, under the contract's current schema. Files written before a column joined
+    the contract read it as null; no footer merging is needed. ``months`` (year, month) restricts the read to their folders.
+    A table without a record of runs is read as it lies."""
+    root, _, feed = path.rstrip("/").rpartition("/")
+    if not ledger.has_runs(spark, root):
+        rows = spark.read.schema(f"{contract.ddl}, {ACCEPTED} boolean").parquet(path)
+        chosen = rows if months is None else rows.join(F.broadcast(months.select(*PERIOD)), list(PERIOD), "left_semi")
+        return chosen.filter(ACCEPTED).select(*contract.columns, *PERIOD)
+    current = ledger.current_months(spark, root).filter(F.col("feed") == feed)
+    if months is not None:
+        current = current.join(months.select(*PERIOD), list(PERIOD), "left_semi")
+    rows = spark.read.schema(f"{contract.ddl}, {ACCEPTED} boolean, {LOAD} string").parquet(path)
+    counted = ledger.in_folders(rows, ledger.folder_keys(current, LOAD), LOAD)
+    return counted.filter(ACCEPTED).select(*contract.columns, *PERIOD)
 
 
 def read_periods(spark: SparkSession, path: str, contract: FeedContract) -> DataFrame:
@@ -75,14 +80,14 @@ def read_periods(spark: SparkSession, path: str, contract: FeedContract) -> Data
 
 
 def tolerant_silver(
-    spark: SparkSession, root: str, contracts: Mapping[str, FeedContract]
+    spark: SparkSession, root: str, contracts: Mapping[str, FeedContract], months: DataFrame | None = None
 ) -> tuple[dict[str, DataFrame], list[str]]:
     """Every feed that has a silver table, and the names of those that have none."""
     found, missing = {}, []
     for feed, contract in contracts.items():
         path = f"{root}/{feed}"
         if path_exists(spark, path):
-            found[feed] = read_silver(spark, path, contract)
+            found[feed] = read_silver(spark, path, contract, months)
         else:
             missing.append(feed)
     if not found:
@@ -91,23 +96,16 @@ def tolerant_silver(
 
 
 def loaded_periods(spark: SparkSession, root: str, feeds: Sequence[str]) -> DataFrame:
-    """Periods of which the silver tables hold an accepted row; reads one narrow column besides the folder names."""
-    loaded = spark.createDataFrame([], "feed string, year int, month int")
-    for feed in feeds:
-        if path_exists(spark, path := f"{root}/{feed}"):
-            rows = spark.read.schema(f"{ACCEPTED} boolean, year int, month int").parquet(path).filter(ACCEPTED)
-            loaded = loaded.unionByName(rows.select(F.lit(feed).alias("feed"), *PERIOD).distinct())
-    return loaded
+    """Periods of which silver holds an accepted row, as the ledger has them; silver is not read."""
+    months = ledger.current_months(spark, root).filter(F.col("feed").isin(*feeds))
+    return months.filter(F.col("clean") > 0).select("feed", *PERIOD)
 
 
 # ---------------------------------------------------------------- gold
 
 
 def _versions(spark: SparkSession, table_path: str) -> list[tuple[int, str]]:
-    filesystem, hadoop_path = _filesystem(spark, table_path)
-    if not filesystem.exists(hadoop_path):
-        return []
-    names = [status.getPath().getName() for status in filesystem.listStatus(hadoop_path)]
+    names = folder_names(spark, table_path)
     return sorted((int(name[len(VERSION):]), name) for name in names if name.startswith(VERSION))
 
 
@@ -120,18 +118,25 @@ def current_version(spark: SparkSession, root: str, table: str) -> str | None:
     return None
 
 
+def next_version(spark: SparkSession, root: str, table: str) -> str:
+    """Folder of a version that is this caller's alone: the number is claimed by creating a file, and whoever comes second takes
+    the next one."""
+    versions = _versions(spark, f"{root}/{table}")
+    number = versions[-1][0] + 1 if versions else 1
+    while not claim(spark, f"{root}/{table}/{VERSION}{number:06d}/{CLAIM}"):
+        number += 1
+    return f"{root}/{table}/{VERSION}{number:06d}"
+
+
 def publish(
     df: DataFrame, root: str, table: str, partition_by: Sequence[str] = (), gather: bool = True
 ) -> str:
     """Write the next version of a table. Readers see the old version until this one has
     committed, and the new one after; nothing is replaced in place. ``gather`` False skips the
     shuffle by partition, for rows that already lie in partition order."""
-    spark = df.sparkSession
-    versions = _versions(spark, f"{root}/{table}")
-    number = versions[-1][0] + 1 if versions else 1
-    path = f"{root}/{table}/{VERSION}{number:06d}"
+    path = next_version(df.sparkSession, root, table)
     gathered = df.hint("rebalance", *partition_by) if gather else df
-    gathered.write.partitionBy(*partition_by).parquet(path)
+    gathered.write.mode("append").partitionBy(*partition_by).parquet(path)
     return path
 
 
@@ -142,5 +147,17 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def expire_versions(spark: SparkSession, root: str, table: str, keep: int) -> list[str]:
+    """Delete all but the ``keep`` newest complete versions and what is newer than those; returns their folders."""
+    names = [name for _, name in _versions(spark, f"{root}/{table}")]
+    complete = [name for name in names if path_exists(spark, f"{root}/{table}/{name}/_SUCCESS")]
+    if keep < 1 or len(complete) <= keep:
+        return []
+    old = names[: names.index(complete[-keep])]
+    for name in old:
+        delete(spark, f"{root}/{table}/{name}")
+    return old
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
