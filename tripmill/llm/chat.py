@@ -12,7 +12,8 @@ newline becomes backslash n. The output is a list of segments with a loss flag:
 formatted text, the flagged ones are the text of assistant turns.
 
 Results by case: null role or text is empty; rows that share a turn follow one another by role and text; a row whose
-parent is missing is a root; ties of score go to the smaller leaf; an empty table gives no rows.
+parent is missing is a root; of rows that repeat a node the least stays, and rows without a node, on a circle of parents or below
+one, are in no branch (``format_trees``); ties of score go to the smaller leaf; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,8 +53,25 @@ def linear_trees(turns: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def sound(nodes: DataFrame) -> DataFrame:
+    """Trees of any rows: of rows that repeat a node the least one in the order of its columns, and no row on a circle of
+    parents or below one. A path without a circle has fewer rows than the table, which ends the doubling."""
+    row = F.struct("parent", "role", "text", "score")
+    rows = nodes.groupBy("conv_id", "node").agg(F.min(row).alias("row")).filter("node is not null")
+    rows = saved(rows.select("conv_id", "node", "row.*"), "nodes")
+    most = rows.count()
+    jump, step = rows.filter("parent is not null").select("conv_id", "node", F.col("parent").alias("above")), 1
+    jump = saved(jump.join(rows.select("conv_id", F.col("node").alias("above")), ["conv_id", "above"], "left_semi"), "jump")
+    while step <= most and not jump.isEmpty():
+        on = jump.select("conv_id", F.col("node").alias("above"), F.col("above").alias("higher"))
+        jump = saved(jump.join(on, ["conv_id", "above"]).select("conv_id", "node", F.col("higher").alias("above")), "jump")
+        step *= 2
+    return rows.join(jump.select("conv_id", "node"), ["conv_id", "node"], "left_anti")
+
+
 def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
-    """(conv_id, leaf, node, up): the rows of the ``top`` best branches of every conversation; ``up`` counts from the leaf."""
+    """(conv_id, leaf, node, up): the rows of the ``top`` best branches of every conversation; ``up`` counts from the leaf. The
+    nodes must be ``sound``."""
     narrow = nodes.select("conv_id", "node", "parent", "score")
     known = narrow.select("conv_id", F.col("node").alias("parent"))
     links = narrow.join(known, ["conv_id", "parent"], "left_semi").select("conv_id", "node", F.col("parent").alias("above"))
@@ -83,8 +101,13 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     return paths.join(chosen, ["conv_id", "leaf"])
 
 
+def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
+    """``formatted`` for trees of any rows."""
+    return formatted(saved(sound(nodes), "sound"), top)
+
+
 def formatted(nodes: DataFrame, top: int = 1) -> DataFrame:
-    """(conv_id, leaf, segments): the chosen branches; a segment is (text, loss)."""
+    """(conv_id, leaf, segments): the chosen branches of ``sound`` nodes; a segment is (text, loss)."""
     rows = branches(nodes, top).join(nodes.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turn = F.struct(

@@ -30,9 +30,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with all columns but ``keep`` under names of our own, so that none meets a working column, and the columns
+    that bring it back."""
+    names = {name: name if name in keep else f"aside_{i}" for i, name in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{name}`").alias(own) for name, own in names.items())), [F.col(own).alias(name) for name, own in names.items()]
+
+
 def residue(key: str, modulus: int) -> Column:
-    """crc32 of the id as text, modulo ``modulus``."""
-    return F.crc32(F.col(key).cast("string")) % modulus
+    """crc32 of the id as text, modulo ``modulus``; -1 where there is no id."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus, F.lit(-1))
 
 
 def hash_share(*columns: str) -> Column:
@@ -71,6 +78,13 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def by_the_megabyte(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``BYTES_AT_ONCE`` bytes of ``column`` at a time, one row at least; nothing is copied."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for begin, end in slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
+        yield batch.slice(begin, end - begin)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers (the finaliser constants of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))
@@ -128,12 +142,12 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
 
 
 def map_texts(df: DataFrame, keep: list[str], schema: str, work) -> DataFrame:
-    """``work(columns, texts)`` over Arrow batches; ``columns`` are the kept ones as Arrow arrays."""
+    """``work(columns, texts)`` over about a megabyte of texts at once; ``columns`` are the kept ones as Arrow arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work({name: batch.column(name) for name in keep}, batch.column("text"))
+            for part in by_the_megabyte(batch):
+                yield work({name: part.column(name) for name in keep}, part.column("text"))
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 
@@ -143,8 +157,8 @@ def filter_texts(df: DataFrame, passes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(passes(batch.column("text")), pa.bool_()))
+            for part in by_the_megabyte(batch):
+                yield part.filter(pa.array(passes(part.column("text")), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

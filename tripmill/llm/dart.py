@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tripmill.llm.common import components, map_texts, mix, saved, shingle_hashes, slices, text_bytes, word_hashes
+from tripmill.llm.common import aside, components, map_texts, mix, saved, shingle_hashes, slices, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -332,12 +332,13 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "se
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each class, and of every document that links with nothing; all their columns. Of rows that repeat an id
-    with its text the least one, in the order of its columns, stays."""
-    found, rows, several = keyed_classes(docs, threshold, "set")
+    """One row of each class, and of every document that links with nothing; all their columns, whatever their names. Of rows
+    that repeat an id with its text the least one, in the order of its columns, stays."""
+    hidden, back = aside(docs, "doc_id", "text")
+    found, rows, several = keyed_classes(hidden.select("doc_id", "text"), threshold, "set")
     kept = found.filter("kept").select("key")
     repeated = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
-    chosen = keyed(docs, several).join(kept, "key", "left_semi")
-    single = chosen.join(repeated, "key", "left_anti").select(docs.columns)
-    least = chosen.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(least.select("row.*"))
+    chosen = keyed(hidden, several).join(kept, "key", "left_semi")
+    single = chosen.join(repeated, "key", "left_anti").select(hidden.columns)
+    least = chosen.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*hidden.columns)).alias("row"))
+    return single.unionByName(least.select("row.*")).select(*back)

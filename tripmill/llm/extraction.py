@@ -8,27 +8,27 @@ or id is not the article has no words to score, also inside the run, unless it i
 ``main``, or most of the words of the page's ``article`` and ``main`` elements, or most of all words where there are none.
 
 Results by case: null html is empty, and gives an empty text; pages without a positive run give an empty text; of equal runs
-the first counts; an element that is never closed hides nothing; without a labelled page the prior weights hold;
-repeated pages are extracted alike.
+the first counts; an element that is never closed hides nothing, and a tag that never ends is text; without a labelled page
+the prior weights hold; repeated pages are extracted alike; time and memory are linear in a page, however long.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tripmill.llm.common import hash_share
+from tripmill.llm.common import by_the_megabyte, hash_share
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+RAW = re.compile(r"<(script|style|textarea|title|noscript|template|iframe)\b", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+LONG_REFERENCE = re.compile(r"&#[0-9]{4000,};?")  # more digits than an int may be read from
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 # Element names of HTML, and names by which pages mark what is not the article.
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var wbr del ins".split())
@@ -47,33 +47,89 @@ WORD_PRIOR, TAG_PRIOR, INNER_PRIOR, NOISE_PRIOR = 1.0, 1.0, 0.05, 2.0
 WORD_RANGE, TAG_RANGE, MARK_RANGE = (0.05, 2.0), (0.02, 4.0), (0.0, 4.0)
 
 
+def tag_ends(page: str):
+    """Where the tag ends whose name ends at a place: the first ``>`` outside quotes, or -1. Worked out once for all places, from
+    the end, so a tag that never ends costs no more than its own length."""
+    spots = [(m.start(), m.group()) for m in re.finditer("[>\"']", page)]
+    places = [at for at, _ in spots]
+    ends, following = [-1] * (len(spots) + 1), {">": len(spots), '"': len(spots), "'": len(spots)}
+    for i in range(len(spots) - 1, -1, -1):
+        at, mark = spots[i]
+        ends[i] = at if mark == ">" else ends[min(following[mark] + 1, len(spots))]
+        following[mark] = i
+    return lambda at: ends[bisect_left(places, at)]
+
+
 def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, name, rest): kind ``text``, ``open`` or ``close``; comments and raw elements are left out."""
-    found = []
-    for match in TOKEN.finditer(page):
-        whole = match.group()
-        if match.group(3):
-            found.append(("close" if match.group(2) else "open", match.group(3).lower(), match.group(4)))
-        elif not whole.startswith(("<!", "<?")) and not match.group(1):
-            found.append(("text", "", whole))
+    """(kind, name, rest): kind ``text``, ``open`` or ``close``; comments and raw elements are left out. Linear in the page."""
+    found: list[tuple[str, str, str]] = []
+    plain: list[str] = []
+    end_of, last = tag_ends(page), page.rfind(">")
+    closing: dict[str, re.Pattern] = {}
+    at = 0
+
+    def say() -> None:
+        if plain:
+            found.append(("text", "", "".join(plain)))
+            plain.clear()
+
+    while at < len(page):
+        less = page.find("<", at)
+        if less < 0:
+            less = len(page)
+        if less > at:
+            plain.append(page[at:less])
+            at = less
+            continue
+        if page.startswith("<!--", at):
+            say()
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if at > last:  # no tag can end any more
+            plain.append(page[at:])
+            break
+        raw = RAW.match(page, at)
+        if raw:
+            say()
+            name = raw.group(1).lower()
+            close = closing.setdefault(name, re.compile(rf"</{name}\s*>", re.I)).search(page, page.find(">", at) + 1)
+            at = close.end() if close else len(page)
+            continue
+        if page.startswith(("<!", "<?"), at):
+            say()
+            at = page.find(">", at) + 1
+            continue
+        tag = TAG.match(page, at)
+        end = end_of(tag.end()) if tag else -1
+        if end < 0:
+            plain.append("<")
+            at += 1
+            continue
+        say()
+        found.append(("close" if tag.group(1) else "open", tag.group(2).lower(), page[tag.end() : end]))
+        at = end + 1
+    say()
     return found
 
 
-def marks(attributes: str) -> tuple[set[str], bool]:
-    """Names in class and id, and whether the element is hidden or has a role beside the article."""
-    names, out = set(), False
+def marks(attributes: str) -> tuple[set[str], set[str], set[str], bool]:
+    """The words in class and in id, the class names as they are, and whether the element is hidden or has a role beside the
+    article."""
+    classes, ids, whole, out = set(), set(), set(), False
     if "=" in attributes or "hidden" in attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names.update(filter(None, re.split(r"[^a-z0-9]+", value)))
+                (classes if key == "class" else ids).update(filter(None, re.split(r"[^a-z0-9]+", value)))
+                whole.update(value.split() if key == "class" else ())
             elif key == "role":
                 out |= value in NOISE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 out = True
             elif key == "style":
                 out |= "display:none" in value.replace(" ", "")
-    return names, out
+    return classes, ids, whole, out
 
 
 def wrappers(found: list[tuple[str, str, str]], ends: dict[int, int]):
@@ -94,7 +150,7 @@ def wrappers(found: list[tuple[str, str, str]], ends: dict[int, int]):
 
     def wraps(at: int) -> bool:
         last = ends[at]
-        if any(at < one < last for one in mains):
+        if bisect_right(mains, at) < bisect_left(mains, last):
             return True
         if not marked and found[at][1] in NEVER:
             return False
@@ -106,7 +162,8 @@ def wrappers(found: list[tuple[str, str, str]], ends: dict[int, int]):
 
 def outline(page: str) -> list[tuple[str, str, str]]:
     """The page as (kind, key, text) with everything hidden taken out. Of words the key is the innermost element, of an
-    opening tag its name and the tokens of its class and id, a space between."""
+    opening tag its name and the tokens of its class and id, a space between. Inside a marked article ids are slugs and parts
+    of class names are words: there an element goes only by a whole class name, and ids do not count."""
     found = tokens(page)
     opened: dict[str, list[int]] = {}
     ends: dict[int, int] = {}
@@ -118,6 +175,7 @@ def outline(page: str) -> list[tuple[str, str, str]]:
     made: list[tuple[str, str, str]] = []
     wraps = wrappers(found, ends)
     inside, path, skip = 0, [], -1
+    depth: Counter[str] = Counter()
     for at, (kind, name, rest) in enumerate(found):
         if at <= skip:
             continue
@@ -126,7 +184,8 @@ def outline(page: str) -> list[tuple[str, str, str]]:
             continue
         key = name
         if kind == "open":
-            names, out = marks(rest)
+            names, ids, whole, out = marks(rest)
+            names = whole if inside else names | ids
             noise = out or name in HIDDEN or bool(names & NOISE) or (name in OUTSIDE_ONLY and not inside)
             if noise and name not in FRAME and name not in VOID and at in ends and not wraps(at):
                 skip = ends[at]
@@ -135,11 +194,14 @@ def outline(page: str) -> list[tuple[str, str, str]]:
             key = " ".join([name, *sorted(names)])
             if at in ends and name not in INLINE:
                 path.append(name)
+                depth[name] += 1
                 inside += name in ("article", "main")
-        elif name in path:
-            while path and path.pop() != name:
-                pass
-            inside -= name in ("article", "main")
+        elif depth[name]:
+            gone = ""
+            while gone != name:
+                gone = path.pop()
+                depth[gone] -= 1
+                inside -= gone in ("article", "main")
         made.append((kind, key, ""))
     return made
 
@@ -202,7 +264,7 @@ def weight(weights: dict[str, float], kind: str, key: str) -> float:
 
 def extract(page: str, weights: dict[str, float]) -> str:
     made = outline(page)
-    decoded = [html.unescape(text) if kind == "text" else "" for kind, _, text in made]
+    decoded = [html.unescape(LONG_REFERENCE.sub("\ufffd", text)) if kind == "text" else "" for kind, _, text in made]
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for at, (kind, key, _) in enumerate(made):
         total += weight(weights, kind, key) * (len(decoded[at].split()) if kind == "text" else 1)
@@ -222,10 +284,9 @@ def extract_pages(pages: DataFrame, sample: int = 500) -> DataFrame:
     weights = learn(pages, sample)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                texts = [extract(page or "", weights) for page in batch.column("html").to_pylist()]
-                sizes = pa.array([len(text) for text in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
+        for part in (part for batch in batches for part in by_the_megabyte(batch, "html")):
+            texts = [extract(page or "", weights) for page in part.column("html").to_pylist()]
+            sizes = pa.array([len(text) for text in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

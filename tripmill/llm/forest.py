@@ -12,10 +12,13 @@ the table. Equal vectors are one class before anything is split, so a common vec
 A pair is counted once, in the first of the leaves that both share, so link counts need no list of pairs; for components
 every leaf hands on a spanning forest, at most one edge per row, not its links. A leaf whose rows are too many to compare in one
 go is compared block by block, each pair of blocks a group of its own: a group in whose sample more than ``DENSE`` of all
-pairs link is such a leaf, as is one that no hyperplane divides, for splits would part what belongs together.
+pairs link is such a leaf, as is one that no hyperplane divides, for splits would part what belongs together. Their exact link
+counts take time with the square of such a group.
 
 Results by case: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
-nothing; vectors of another length than the partner's are not linked; repeated ids are one vector each row.
+nothing; vectors of another length than the partner's are not linked; rows that share an id, and rows without one, are
+vectors of their own; a component is named by its smallest id, and by null where none of its rows has one, and the rows
+that have the name of their component are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from tripmill.llm.common import components, hash_share, saved
 
 THRESHOLD = 0.98
-TREES, SPILL, LEAF, SAMPLE, LEVELS = 8, 0.06, 128, 2048, 4
-DENSE, BLOCK = 0.02, 1024
+TREES, SPILL, LEAF, SAMPLE, LEVELS, ROUNDS = 8, 0.06, 128, 2048, 4, 30
+DENSE, BLOCK, TOGETHER = 0.02, 1024, 0.75
 
 
 def direction(seed: int, size: int) -> np.ndarray:
@@ -48,7 +51,7 @@ def seed_of(group: int, node: int) -> int:
 
 def fit_group(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Split bounds of ``LEVELS`` levels below one group, from its sample: per inner node the two projections between
-    which rows go to both sides. Empty bounds for a group that isn't to be split."""
+    which rows go to both sides. Empty bounds for a group that isn't to be split: a dense one, or one whose rows stay together."""
     group, x = int(frame["grp"].iloc[0]), unit(frame["vector"])
     near = x[:512] @ x[:512].T >= threshold
     if len(near) > 1 and (near.sum() - len(near)) / (len(near) * (len(near) - 1)) > DENSE:
@@ -62,6 +65,8 @@ def fit_group(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             along = x[rows] @ direction(seed_of(group, node), x.shape[1])
             low[node], high[node] = np.quantile(along, 0.5 - SPILL), np.quantile(along, 0.5 + SPILL)
             members[2 * node], members[2 * node + 1] = rows[along <= high[node]], rows[along >= low[node]]
+    if max(map(len, members.values())) > TOGETHER * len(x):
+        return pd.DataFrame({"grp": [group], "low": [[]], "high": [[]]})
     return pd.DataFrame({"grp": [group], "low": [low.tolist()], "high": [high.tolist()]})
 
 
@@ -85,14 +90,12 @@ def grow(vectors: DataFrame, threshold: float) -> DataFrame:
     """(id, grp, n): the leaves that every vector of (id, family, vector) falls into, over all trees, and their sizes."""
     planted = vectors.select("id", "family", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"))
     places = saved(planted.select("id", F.xxhash64("family", "tree").alias("grp")), "trees")
-    leaves, largest = None, None
-    while True:
+    leaves = None
+    for round_ in range(ROUNDS + 1):
         sizes = saved(places.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
         sized = places.join(sizes, "grp").select("id", "grp", "n")
-        top = sizes.agg(F.max("n")).first()[0] or 0
-        if top <= LEAF or top == largest:  # nothing is left to split, or the largest group can't be
-            return sized if leaves is None else leaves.unionByName(sized)
-        largest = top
+        if round_ == ROUNDS or sizes.filter(F.col("n") > LEAF).isEmpty():  # what is left is compared block by block
+            break
         open_rows = sized.filter(F.col("n") > LEAF).join(vectors.select("id", "vector"), "id")
         sample = open_rows.filter(hash_share("id", "grp") < F.lit(float(SAMPLE)) / F.col("n")).select("grp", "vector")
         fit = lambda frame: fit_group(frame, threshold)
@@ -103,6 +106,7 @@ def grow(vectors: DataFrame, threshold: float) -> DataFrame:
         split = open_rows.select("id", "grp", "vector").join(fitted.filter(F.size("low") > 0), "grp")
         dealt = split.mapInPandas(deal, "id bigint, grp bigint, leaf bigint")
         places = saved(dealt.select("id", F.xxhash64("grp", "leaf").alias("grp")).distinct(), "branches")
+    return sized if leaves is None else leaves.unionByName(sized)
 
 
 def in_blocks(leaves: DataFrame) -> DataFrame:
@@ -146,14 +150,15 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept) of (vec_id, embedding, label), one row for each of theirs."""
     rows = table.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
     usable = usable & F.forall("vector", number) & F.exists("vector", lambda v: v != 0)
     marked = saved(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "marked")
     good = marked.filter("usable").select("vec_id", "label", "vector")
-    kinds = saved(good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "kinds")
+    kinds = good.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    kinds = saved(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")  # written, so that the numbers stay
     vectors = saved(kinds.select("id", "copies", F.xxhash64("label", F.size("vector")).alias("family"), "vector"), "vectors")
     leaves = saved(grow(vectors, threshold), "leaves")
     shelf = leaves.groupBy("id").agg(F.collect_set("grp").alias("leaves"))
@@ -162,10 +167,13 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     found = saved(met.groupBy("grp", "one", "two").applyInPandas(check, "a bigint, b bigint, n bigint"), "leaf-links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("partners"))
     part = components(found.filter("b is not null").select("a", "b"))
-    judged = vectors.select("id", "copies").join(counts, "id", "left").join(part.withColumnRenamed("node", "id"), "id", "left")
+    ends = part.join(kinds.select(F.col("id").alias("node"), "least"), "node")
+    names = ends.groupBy("component").agg(F.min("least").alias("name"))
+    named = part.join(names, "component").select(F.col("node").alias("id"), F.lit(True).alias("linked"), "name")
+    judged = kinds.select("id", "least", "copies").join(counts, "id", "left").join(named, "id", "left")
     judged = saved(judged.select(
-        "id", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+        "id", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id")
     ), "judged")
-    named = good.join(kinds.select("label", "vector", "id"), ["label", "vector"]).join(judged, "id").select("vec_id", "n_links", "component_id")
+    found = good.join(kinds.select("label", "vector", "id"), ["label", "vector"]).join(judged, "id").select("vec_id", "n_links", "component_id")
     alone = marked.filter("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

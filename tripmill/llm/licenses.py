@@ -3,12 +3,12 @@
 A text is brought to a canonical form (case, punctuation, list bullets, white space, copyright lines and equivalent
 spellings folded) and the digest of the whole form is looked up among those of known licence texts and
 notices. The known texts are a table, the caller's or ``known_texts``: notices, and the full texts in ``license_texts``
-with the headings and wordings in use, each as it is wrapped there and with a paragraph to a line. Their digests are small
-(one row per known text), so the lookup broadcasts them and no document is shuffled for it.
+with the headings and wordings in use, each as it is wrapped there and with a paragraph to a line. Their digests are a written
+table, one row per known text, that Spark broadcasts where it is small; no text is shuffled.
 
 Besides the whole text every line is looked up, as a text of its own: licence notices stand on a line of their own in
-other prose. Results by case: null and empty texts, and texts of copyright lines alone, match nothing; repeated
-rows are scanned alike.
+other prose. Results by case: null and empty texts, and texts of copyright lines alone, match nothing; rows that share an id,
+or have none, are scanned each for itself; repeated rows are scanned alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tripmill.llm.common import saved
+
 # Notices and short licence texts by SPDX identifier.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
@@ -149,14 +151,19 @@ def known_digests(texts: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Every document: doc_id, digest of the canonical whole text, license_id that the whole text is (or null), and
     notices, the distinct identifiers found on lines of their own, in order, comma between (or null). ``texts`` (license_id, text) are
-    looked up instead of ``known_texts``."""
-    known = F.broadcast(known_digests(known_texts(docs.sparkSession) if texts is None else texts))
-    forms = docs.select("doc_id", canonical_lines(F.col("text")).alias("form"))
-    whole = forms.select("doc_id", digest(F.col("form")).alias("digest")).join(known, F.col("digest") == F.col("known"), "left")
-    lines = forms.select("doc_id", F.explode(F.split("form", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("line"))
-    found = lines.join(known, F.col("line") == F.col("known")).select(F.col("doc_id").alias("owner"), "license_id").distinct()
-    notices = found.groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    return whole.join(notices, F.col("doc_id") == F.col("owner"), "left").select("doc_id", "digest", "license_id", "notices")
+    looked up instead of ``known_texts``. Canonical forms are worked out once, and written as digests; a row is known by
+    128 bits of its id and text."""
+    known = saved(known_digests(known_texts(docs.sparkSession) if texts is None else texts), "known-digests")
+    row = [F.xxhash64("doc_id", "text").alias("t1"), F.xxhash64(F.lit("t"), "doc_id", "text").alias("t2")]
+    forms = docs.select("doc_id", *row, canonical_lines(F.col("text")).alias("form"))
+    cut = forms.select("doc_id", "t1", "t2", digest(F.col("form")).alias("digest"), F.split("form", "\n").alias("lines"))
+    lined = cut.select("doc_id", "t1", "t2", "digest", F.posexplode_outer("lines").alias("place", "line"))
+    lined = saved(lined.select("doc_id", "t1", "t2", "digest", "place", digest(F.col("line")).alias("line")), "line-digests")
+    named = known.withColumnRenamed("license_id", "name")
+    found = lined.select("t1", "t2", "line").join(named, F.col("line") == F.col("known"))
+    notices = found.groupBy("t1", "t2").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
+    whole = lined.filter("coalesce(place, 0) = 0").select("doc_id", "t1", "t2", "digest").join(known, F.col("digest") == F.col("known"), "left")
+    return whole.join(notices, ["t1", "t2"], "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def _quoted(text: str) -> str:
@@ -170,20 +177,23 @@ def oracle_sql() -> str:
     form = f"' ' || replace(regexp_replace({form}, {_quoted(OTHER)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for one, other in SPELLINGS:
         form = f"replace({form}, ' {one} ', ' {other} ')"
-    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in dict.fromkeys(KNOWN + full_texts()))
     tidy = "trim(regexp_replace({}, '[ \n]+', ' ', 'g'))"
     return f"""
 with known as (
-  select license_id, sha256({tidy.format("form")}) as known from (select license_id, {form} as form from (values {rows}) as t(license_id, text))
-), forms as (select doc_id, {form} as form from documents
+  select min(license_id) as license_id, known from (
+    select license_id, sha256({tidy.format("form")}) as known from (select license_id, {form} as form from (values {rows}) as t(license_id, text))
+    where {tidy.format("form")} <> ''
+  ) group by known
+), forms as (select row_number() over () as row_id, doc_id, {form} as form from documents
 ), whole as (
-  select doc_id, case when {tidy.format("form")} <> '' then sha256({tidy.format("form")}) end as digest from forms
+  select row_id, doc_id, case when {tidy.format("form")} <> '' then sha256({tidy.format("form")}) end as digest from forms
 ), lines as (
-  select doc_id, {tidy.format("line")} as line from (select doc_id, unnest(string_split(form, chr(10))) as line from forms)
+  select row_id, {tidy.format("line")} as line from (select row_id, unnest(string_split(form, chr(10))) as line from forms)
 ), notices as (
-  select doc_id, string_agg(license_id, ',' order by license_id) as notices
-  from (select distinct doc_id, license_id from lines join known on sha256(line) = known where line <> '') group by doc_id
+  select row_id, string_agg(license_id, ',' order by license_id) as notices
+  from (select distinct row_id, license_id from lines join known on sha256(line) = known where line <> '') group by row_id
 )
 select whole.doc_id, digest, license_id, notices
-from whole left join known on digest = known left join notices on whole.doc_id = notices.doc_id
+from whole left join known on digest = known left join notices on whole.row_id = notices.row_id
 """

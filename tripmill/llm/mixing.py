@@ -13,7 +13,8 @@ are counted in two levels (hash buckets, then inside a bucket), so a size that a
 is no single task's.
 
 Results by case: null text has size 0; a null source is a source of its own, the last; sources without words get target
-0; an empty table gives no rows; rows that repeat an id are rows of their own.
+0; an empty table gives no rows; rows that repeat an id, or have none, are rows of their own; columns of any other name pass
+through ``mixed`` unchanged.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripmill.llm.common import WORD, saved
+from tripmill.llm.common import WORD, aside, saved
 from tripmill.operators.star import dense_keys
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 UNIT = 1 << 20
-ROUNDS = 80
+ROUNDS, COARSE = 80, 1e-6
 OFFSETS = 32
 
 
@@ -112,9 +113,13 @@ def multipliers(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-9) -
         state = saved(
             moved.select("source", "source_size", "target", "scale", "full", after.alias("multiplier"), "low", "high", "off"), "multipliers"
         )
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        off = state.agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
             break
         state = state.drop("off")
+    else:
+        if off > COARSE:
+            raise ArithmeticError(f"the rates miss a target by a share of {off} after {ROUNDS} rounds")
     return state.select("source", "source_size", "target", "scale", "full", "multiplier")
 
 
@@ -179,14 +184,22 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The mixed corpus: every row as often as it has copies, columns as given. Rows that repeat an id share its copies
-    as evenly as whole copies allow."""
-    spread = plan(docs, weights, share).groupBy("doc_id").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_rows"))
-    spread = saved(spread.select(F.col("doc_id").alias("plan_id"), "all_copies", "all_rows"), "copies")
-    joined = docs.join(spread, docs["doc_id"].eqNullSafe(spread["plan_id"]))
-    once, more = joined.filter("all_rows = 1"), joined.filter("all_rows > 1")
-    turn = F.row_number().over(Window.partitionBy("plan_id").orderBy("text"))
-    more = more.withColumn("turn", turn).withColumn("times", F.expr("all_copies div all_rows + int(turn <= all_copies % all_rows)")).drop("turn")
-    both = once.withColumn("times", F.col("all_copies")).unionByName(more)
+    """The mixed corpus: every row as often as it has copies, columns as given. A row is known by a digest of its id, text and
+    source; rows equal in these share their copies as evenly as whole copies allow, numbered where they lie and then over
+    their partitions, so a row that a third of the table repeats is no single task's."""
+    hidden, back = aside(docs, "doc_id", "text", "source")
+    keyed = hidden.withColumn("row_key", F.xxhash64("doc_id", "text", F.lit("source"), "source"))
+    planned = plan(keyed.select(F.col("row_key").alias("doc_id"), "text", "source"), weights, share)
+    spread = planned.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_rows"))
+    joined = keyed.join(saved(spread, "copies"), "row_key")
+    once = joined.filter("all_rows = 1").withColumn("times", F.col("all_copies"))
+    more = saved(joined.filter("all_rows > 1").withColumn("part", F.spark_partition_id()), "repeated-rows")
+    counts = more.groupBy("row_key", "part").agg(F.count("*").alias("in_part"))
+    before = Window.partitionBy("row_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("row_key", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start"))
+    turn = F.col("start") + F.row_number().over(Window.partitionBy("row_key", "part").orderBy("row_key"))
+    more = more.join(counts, ["row_key", "part"]).withColumn("turn", turn)
+    more = more.withColumn("times", F.expr("all_copies div all_rows + int(turn <= all_copies % all_rows)"))
+    both = once.unionByName(more.drop("part", "start", "turn"))
     copied = both.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return copied.select(*docs.columns)
+    return copied.select(*back)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tripmill.llm.common import text_bytes
+from tripmill.llm.common import by_the_megabyte, text_bytes
 
 CAPACITY = 4096
 SEPARATOR = 2
@@ -45,7 +45,7 @@ def tokenizer_file() -> str:
 
 class Encoder:
     """Token ids of whole texts. The vocabulary's rules never look across ASCII white space, so a text's ids are those of
-    its words, one after the other, and words are remembered. Two generations of ``remember`` words at most
+    its words, one after the other, and words are remembered. Two generations of about ``remember`` bytes at most
     are kept: when the younger is full it becomes the older, and what is still used moves over.
 
     New words are encoded many at a time. A word of letters is one unit of the vocabulary's rules and ends in its only
@@ -56,12 +56,15 @@ class Encoder:
     MARK = b"\x01"
     CLOSING = string.punctuation
 
-    def __init__(self, path: str, remember: int = 600_000):
+    ENTRY = 190  # bytes of a remembered word besides its text and ids, about
+
+    def __init__(self, path: str, remember: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
         self.young: dict[bytes, bytes] = {}
+        self.weight = 0
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         (self.mark,) = self.plain(self.MARK.decode())
@@ -79,9 +82,13 @@ class Encoder:
     def remember_cut(self, words: list[bytes], coded: np.ndarray, ends: list[int], gap: int) -> None:
         begin, data = 0, coded.tobytes()
         for word, end in zip(words, ends, strict=True):
-            self.young[word] = data[4 * begin : 4 * end]
+            self.keep(word, data[4 * begin : 4 * end])
             begin = end + gap
 
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.weight += len(word) + len(ids) + self.ENTRY
+
     def add(self, words: list[bytes]) -> None:
         lettered, others = [], []
         for word in words:
@@ -99,14 +106,14 @@ class Encoder:
         for word, core, tail in lettered:
             if tail not in self.tails:
                 self.tails[tail] = np.array(self.plain(tail), np.uint32).tobytes()
-            self.young[word] = self.recall(core) + self.tails[tail]
+            self.keep(word, self.recall(core) + self.tails[tail])
         together = [word for word in others if self.MARK not in word]
         if together:
             coded = np.array(self.plain((b" %s " % self.MARK).join(together).decode()), np.uint32)
             self.remember_cut(together, coded, np.append(np.flatnonzero(coded == self.mark), len(coded)).tolist(), 1)
         for word in others:
             if self.MARK in word:
-                self.young[word] = np.array(self.plain(word.decode()), np.uint32).tobytes()
+                self.keep(word, np.array(self.plain(word.decode()), np.uint32).tobytes())
 
     def ids(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -115,14 +122,14 @@ class Encoder:
         for word in dict.fromkeys(words):
             if word not in young:
                 if (coded := self.old.get(word)) is not None:
-                    young[word] = coded
+                    self.keep(word, coded)
                 else:
                     new.append(word)
         for begin in range(0, len(new), 10_000):
             self.add(new[begin : begin + 10_000])
         found = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
-        if len(young) > self.remember:
-            self.old, self.young = young, {}
+        if self.weight > self.remember:
+            self.old, self.young, self.weight = young, {}, 0
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
         return found
@@ -174,7 +181,8 @@ class Bins:
         start, total = 0, len(ids)
         for length, kind in cuts(total, self.capacity, slack):
             waiting = self.open.setdefault(kind, [])
-            waiting.append((doc, start, total, ids[start : start + length]))
+            piece = ids[start : start + length]
+            waiting.append((doc, start, total, piece if kind == 1 else piece.copy()))  # a view would keep the whole document
             start += length
             if len(waiting) == kind:
                 yield from self.close(self.open.pop(kind), kind)
@@ -218,10 +226,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
             rows.clear()
             return made
 
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
+        for part in (part for batch in batches for part in by_the_megabyte(batch)):
+            raw, offsets = text_bytes(part.column("text"))
             data, ends = raw.tobytes(), offsets.tolist()
-            for doc, begin, end in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+            for doc, begin, end in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
                 ids = np.append(words.ids(data[begin:end]), np.uint32(separator))
                 rows.extend(bins.put(doc, ids, slack))
                 if len(rows) >= ROWS_PER_BATCH:

@@ -11,10 +11,16 @@ from tripmill.llm import chat, dart, extraction, forest, hardneg, langid, licens
 from tripmill.llm.common import table
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver does. On a cluster it is shipped or
-    installed (README)."""
+    """Let Python workers on this machine import the package from where the driver does (on a cluster it is shipped or
+    installed, README), and have texts sent to them a few megabytes at a time, unless the session asks for less."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if int(spark.conf.get(ARROW_BYTES).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def over(name: str, build: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
