@@ -96,3 +96,35 @@ def test_zone_file(spark, tmp_path):
     last = zones.filter("place_id = 265").first()
     assert tuple(last) == (265, "N/A", "Outside Area", "N/A")
     assert zones.filter(F.col("service_zone").contains("\r")).count() == 0
+
+
+def test_every_file_is_accounted_for(spark, tmp_path):
+    good = tmp_path / "yellow/year=2024/month=03"
+    spark.range(5000).coalesce(1).write.parquet(str(good))
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/yellow/elsewhere")
+    spark.range(3000).coalesce(1).write.parquet(f"{tmp_path}/yellow/year=2024/month=04")
+    (tmp_path / "yellow/year=2024/month=04/broken.parquet").write_bytes(b"x" * 3000)
+    (tmp_path / "yellow/year=2024/month=05").mkdir()
+    (tmp_path / "yellow/year=2024/month=05/tiny.parquet").write_bytes(b"x")
+    (tmp_path / "yellow/notes.txt").write_bytes(b"x")
+    (tmp_path / "unknown/year=2024/month=05").mkdir(parents=True)
+    (tmp_path / "unknown/year=2024/month=05/a.parquet").write_bytes(b"x" * 3000)
+    taken = landing.manifest(spark, str(tmp_path)).filter("month = 3").select("path", "length", "modified")
+    rows = landing.accounted(spark, str(tmp_path), ["yellow"], taken).collect()
+    assert sorted(((r["reason"], r["month"], r["rows"]) for r in rows), key=str) == sorted([
+        (None, 3, 5000), (landing.OUTSIDE, None, 4), (landing.HELD_BACK, 4, 3000), (landing.UNREADABLE, 4, None),
+        (landing.TOO_SMALL, 5, None), (landing.NO_PARQUET, None, None), (landing.OUTSIDE, None, None),
+    ], key=str)
+
+
+def test_zone_lines_that_do_not_parse_are_kept_aside(spark, tmp_path):
+    path = tmp_path / "zones.csv"
+    path.write_text('"LocationID","Borough","Zone","service_zone"\n1,"A","B","C"\nx,"A","B","C"\n,"A","B","C"\n2,"A","B"\n3,"D","E","F"\n')
+    from tripmill.sources.places import split_zones
+
+    zones, rejected = split_zones(spark, str(path))
+    assert sorted(r["place_id"] for r in zones.collect()) == [1, 3]
+    assert sorted((r["line"], r["reason"]) for r in rejected.collect()) == [
+        ('2,"A","B"', "does not parse"), ("A,B,C", "no place id"), ('x,"A","B","C"', "does not parse"),
+    ]
+    assert rejected.count() == 3

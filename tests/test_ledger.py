@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import time
 from pathlib import Path
 
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 import tripdata
 from tripmill.operators import mart, reports, summary, tiles
 from tripmill.operators.contracts import PERIOD
+from tripmill.operators.star import operator_dim
 from tripmill.plans import pipeline, trips
 from tripmill.sources import ledger, tables
 from tripmill.sources.landing import manifest
@@ -130,6 +133,30 @@ def test_versions_are_claimed_by_one_writer(spark, tmp_path):
     assert path not in taken and tables.read_table(spark, root, "t").count() == 3
 
 
+def test_writers_at_once_build_on_each_other(spark, tmp_path):
+    root, bases = str(tmp_path), []
+
+    def add(names):
+        def build(known):
+            bases.append(0 if known is None else known.count())
+            time.sleep(1.0)
+            return operator_dim(spark.createDataFrame([(n,) for n in names], "operator string"), known)
+
+        tables.publish_after(spark, root, "dim_operator", build, pause=0.1)
+
+    writers = [threading.Thread(target=add, args=(names,)) for names in (["B", "D"], ["A", "C", "D"])]
+    for writer in writers:
+        writer.start()
+    for writer in writers:
+        writer.join()
+    found = tables.read_table(spark, root, "dim_operator").collect()
+    assert sorted(r["operator_id"] for r in found) == [1, 2, 3, 4] and {r["operator"] for r in found} == set("ABCD")
+    assert sorted(bases)[0] == 0 and sorted(bases)[1] in (2, 3)
+    tables.next_version(spark, root, "dim_operator")  # a writer that dies
+    tables.publish_after(spark, root, "dim_operator", lambda known: known, patience=0.2, pause=0.1)
+    assert tables.read_table(spark, root, "dim_operator").count() == 4
+
+
 @pytest.fixture(scope="module")
 def stars(spark, sf_dir):
     from tripmill.plans import layers
@@ -205,3 +232,65 @@ def test_silver_reads_only_folders_that_count(spark, stars, sf_dir):
     assert part.count() == whole.filter("year = 1998 and month = 3").count()
     assert reports.monthly_volume(stars[0]).count() > 0
     assert whole.agg(F.count("*")).first()[0] == layers.silver(spark, sf_dir)["c"].count()
+
+
+def test_a_type_that_changes_between_loads_reads_right(spark, tmp_path):
+    layout, contract = lake(tmp_path), trips.CONTRACTS["fhv"]
+    names = {c: contract.type_of(c) for c in contract.columns}
+    number = next(c for c, kind in names.items() if kind == "int")
+
+    def load(month, value, kind, drop=()):
+        columns = [F.lit(value).cast(kind).alias(c) if c == number else F.lit(None).cast(t).alias(c) for c, t in names.items() if c not in drop]
+        rows = spark.range(1).select(*columns, F.lit(2024).alias("year"), F.lit(month).alias("month"), F.lit(1).cast("bigint").alias("copies"), F.lit(True).alias("accepted"))
+        pipeline.load_silver(spark, layout, {"fhv": rows}, pipeline.new_load_id())
+
+    load(1, 7, "int")
+    load(2, 8.0, "double")
+    load(3, "9", "string", drop=[c for c, kind in names.items() if kind == "timestamp_ntz"])
+    found = read_silver(spark, f"{layout.silver}/fhv", contract)
+    assert dict(found.dtypes)[number] == "int" and found.columns == [*contract.columns, *PERIOD]
+    assert sorted((r["month"], r[number]) for r in found.collect()) == [(1, 7), (2, 8), (3, 9)]
+
+
+def test_quality_states_merge_to_the_scorecard(spark, stars, sf_dir, tmp_path):
+    from tripmill.operators import quality
+    from tripmill.operators.contracts import Rule
+    from tripmill.plans import layers, warehouse
+
+    rows = layers.silver(spark, sf_dir)["a"]
+    rules = [*warehouse.QUALITY["a"], Rule("at_least", "absent", 0), Rule("between", "fare", 0, 1)]
+    card = sorted(map(tuple, quality.evaluate(rows, "a", rules).collect()))
+    assert sorted(map(tuple, quality.score(quality.states(rows, rules, PERIOD), "a", rules).collect())) == card
+    none = rows.filter("false")
+    assert sorted(map(tuple, quality.score(quality.states(none, rules, PERIOD), "a", rules, columns=rows.columns).collect())) == sorted(
+        map(tuple, quality.evaluate(none, "a", rules).collect())
+    )
+
+
+def test_a_load_measures_its_own_months_only(spark, tmp_path):
+    layout = lake(tmp_path)
+    bronze = Path(layout.bronze)
+    tripdata.write_bronze(spark, bronze)
+    pipeline.run_silver(spark, layout, trips.MODEL)
+    card = sorted(map(tuple, pipeline.scored(spark, layout, trips.MODEL).collect()))
+    states = lambda: spark.read.parquet(f"{layout.gold}/dq_states")
+    before = states().count()
+    tripdata.write_month(spark, bronze, "fhv", (2025, 3), [row("2025-03-05")])
+    pipeline.run_silver(spark, layout, trips.MODEL)
+    again = sorted(map(tuple, pipeline.scored(spark, layout, trips.MODEL).collect()))
+    assert states().count() == before + len(trips.QUALITY["fhv"]) and len(again) == len(card) == 33
+    assert states().filter("year = 2025 and month = 3").count() == len(trips.QUALITY["fhv"])
+    months = pipeline.scored(spark, layout, trips.MODEL, PERIOD).filter("table_name = 'fhv'")
+    assert months.count() == 2 * len(trips.QUALITY["fhv"])
+
+
+def test_exclusions_with_months_meet_only_those(spark, stars):
+    from tripmill.plans.warehouse import WORDS as WAREHOUSE
+
+    whole = mart.trip_mart(stars[0], WAREHOUSE, ["trip_id", "fare", *PERIOD])
+    listed = whole.filter("year = '1998' and month in ('2', '3')").limit(5).select("trip_id", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
+    listed = spark.createDataFrame(listed.collect(), listed.schema)
+    left = mart.excluding(whole, listed)
+    assert left.count() == whole.count() - 5 and mart.excluding(whole, listed.limit(0)).count() == whole.count()
+    assert sorted(map(str, left.collect())) == sorted(map(str, mart.excluding(whole, listed.select("trip_id")).collect()))
+    assert re.search(r"PartitionFilters: \[[^\]]*1998", plan(left))

@@ -195,8 +195,15 @@ def summarised(
 
 
 def excluding(mart: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Drop the trips whose id is listed in a table of exclusions."""
-    return mart.join(excluded.select("trip_id").distinct(), "trip_id", "left_anti")
+    """Drop the trips whose id is listed in a table of exclusions. Where both carry year and month, only the months that the
+    list names meet it: the list's months come to the driver (one per month at most), the other months pass by, and the
+    names of folders decide which is which."""
+    listed = excluded.select("trip_id").distinct()
+    if not {"trip_id", *PERIOD_TEXT} <= set(excluded.columns) or not set(PERIOD_TEXT) <= set(mart.columns):
+        return mart.join(listed, "trip_id", "left_anti")
+    months = sorted((int(row[0]), int(row[1])) for row in excluded.select(*PERIOD_TEXT).dropna().distinct().collect())
+    named = reduce(lambda one, other: one | other, ((F.col("year") == y) & (F.col("month") == m) for y, m in months), F.lit(False))
+    return mart.filter(~named).unionByName(mart.filter(named).join(listed, "trip_id", "left_anti"))
 
 
 def _chosen(values: Sequence[str] | str | None) -> list[str] | None:

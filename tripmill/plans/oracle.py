@@ -305,7 +305,13 @@ ORACLE |= {
 # What the composed run writes has the counts that the rows themselves have.
 ORACLE["landing_to_silver"] = ORACLE["silver_reconcile"]
 
+REJECTED = "(feed = 'd' and vendor = 5) or (feed = 'b' and year = 1998 and month = 3)"
+KEPT_SILVER = SILVER.replace(TRIPS, f"{TRIPS},\nkept as (select * from trips where not ({REJECTED}))", 1).replace("  from trips\n", "  from kept\n")
+
 ORACLE |= {
+    "reject_balance": f"""with {KEPT_SILVER}, clean as (select feed, count(*) as clean from silver group by feed),
+        landed as (select feed, count(*) as raw, count(*) filter ({REJECTED}) as rejected from trips group by feed)
+        select feed, raw, clean, raw - rejected - clean as removed, rejected from landed join clean using (feed)""",
     "lake_run_repaired": f"""with {LANDING.replace(TRIPS, SILVER, 1)}, files as (select distinct feed, year, month from trips),
         clean as (select feed, year, month, count(*) as n from silver group by all),
         by_month as (select year, month, count(*) as n from silver group by all)
@@ -321,6 +327,9 @@ ORACLE |= {
         where (vendor = 6 and year = 1999) or (vendor = 7 and month = 12)
         union select feed, year, month from trips where year = 2000 group by all
         having count(*) filter (vendor = 5) > 0 and count(*) filter (vendor <> 5) > 0""",
+    "silver_type_change": f"""with {SILVER} select feed, year, count(*) as total_rows,
+        {money("case when year < 1998 then floor(fare) else fare end")} as total_fare
+        from silver where feed is not null group by all""",
     "gold_by_delta": f"""with {SILVER} select year, month, count(*) as total_trips,
         {money("fare")} as total_fare, cast(case when year = 1998 and month = 3 then 2 else 1 end as bigint) as build
         from silver group by year, month""",
@@ -329,8 +338,8 @@ ORACLE |= {
 # ---------------------------------------------------------------- quality
 
 
-def rule_sql(feed: str, rule: Rule) -> str:
-    """One scorecard row as SQL."""
+def rule_sql(feed: str, rule: Rule, by_month: bool = False) -> str:
+    """One scorecard row as SQL, or one per month."""
     rows = f"from silver where feed = '{feed}'"
     if rule.column == "no_such_column":
         values = "cast(null as double), cast(null as bigint), 'ERROR'"
@@ -345,6 +354,8 @@ def rule_sql(feed: str, rule: Rule) -> str:
             broken += f" or {rule.column} > {rule.high}"
         bad = f"count(*) filter ({broken})"
         values = f"cast(min({rule.column}) as double), {bad}, case when {bad} = 0 then 'PASS' else 'FAIL' end"
+    if by_month:
+        return f"select '{feed}', year, month, '{rule.label}', {values} {rows} group by year, month"
     return f"select '{feed}', '{rule.label}', {values} {rows}"
 
 
@@ -352,6 +363,10 @@ _rules = " union all ".join(rule_sql(feed, rule) for feed, rules in QUALITY.item
 _scorecard = f"scorecard(table_name, rule, metric, bad_rows, outcome) as ({_rules})"
 # A rule on a missing column has no rows to aggregate over: keep one.
 ORACLE["dq_scorecard"] = f"with {SILVER}, {_scorecard} select distinct * from scorecard"
+ORACLE["dq_scorecard_merged"] = ORACLE["dq_scorecard"]
+_months = " union all ".join(rule_sql(feed, rule, True) for feed, rules in QUALITY.items() for rule in rules)
+ORACLE["dq_scorecard_by_month"] = f"""with {SILVER}, scorecard(table_name, year, month, rule, metric, bad_rows, outcome) as ({_months})
+    select * from scorecard"""
 
 # ---------------------------------------------------------------- star
 
@@ -392,6 +407,8 @@ ORACLE |= {
     "mart_trip": f"with {MART} select {MART_OUTPUT} from mart",
     "mart_trip_excluding": f"""with {MART} select distance_band, cast(sum(trips) as bigint) as total_trips,
         {money("fare")} as total_fare from mart where not (distance_mi >= 20 and fare > 90000) group by distance_band""",
+    "mart_trip_excluding_by_month": f"""with {MART} select distance_band, year, cast(sum(trips) as bigint) as total_trips,
+        {money("fare")} as total_fare from mart where not (year = '1998' and fare > 90000) group by all""",
     "mart_core_fee": f"""with {MART} select service_group, congestion_charged, core_fee_charged,
         cast(sum(trips) as bigint) as total_trips from mart group by all""",
     "mart_filtered": f"""with {MART} select service_group, pickup_district, pickup_zone, year, month,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,13 +17,15 @@ from tripmill.operators.silver import dedup_with_counts, mark_valid, reconcile,
 from tripmill.sources import landing, ledger
 from tripmill.sources.bronze import footers, read_feed
 from tripmill.sources.landing import KEY, manifest
-from tripmill.sources.files import delete, folder_names
+from tripmill.sources.files import delete, folder_names, path_exists
 from tripmill.sources.tables import (
     current_version,
     expire_versions,
     loaded_periods,
     publish,
+    publish_after,
     read_load,
+    read_silver,
     read_table,
     tolerant_silver,
     write_silver,
@@ -132,7 +135,7 @@ def run_silver(
         changed = ledger.changed_months(work, ledger.loaded_files(spark, layout.silver))
         work = work.join(changed, KEY, "left_semi")
     work = ledger.begin(spark, layout.silver, work, load_id)
-    written, unreadable, losses, months = {}, {}, [], []
+    written, unreadable, losses, months, schemas = {}, {}, [], [], {}
     for feed, contract in model.contracts.items():
         own = work.filter(F.col("feed") == feed)
         read = read_feed(spark, layout.bronze, own, contract)
@@ -141,6 +144,7 @@ def run_silver(
             path = f"{layout.silver}/{feed}"
             marked = mark_valid(dedup_with_counts(conform_variants(read.frames, contract)))
             write_silver(marked, path, load_id, gather)
+            schemas[feed] = ledger.schema_of(marked)
             written[feed] = read_load(spark, path, load_id)
             losses += [cast_losses(frame, contract) for frame in read.frames]
             held = spark.createDataFrame([(path,) for path, _ in read.unreadable], "path string")
@@ -148,7 +152,7 @@ def run_silver(
             taken = own.select(*KEY).distinct().join(waiting, KEY, "left_anti")
             months.append(taken.join(stage_counts(written[feed], feed), KEY, "left"))
     if months:
-        ledger.commit(spark, layout.silver, _union(months), load_id)
+        ledger.commit(spark, layout.silver, _union(months), load_id, schemas)
     return SilverResult(
         load_id,
         reconcile(written) if written else None,
@@ -159,21 +163,88 @@ def run_silver(
 
 def load_silver(spark: SparkSession, layout: Layout, marked: Mapping[str, DataFrame], load_id: str) -> None:
     """One committed load out of rows that are de-duplicated and judged already, whatever files they come from."""
-    months = []
+    months, schemas = [], {}
     for feed, rows in marked.items():
         path = f"{layout.silver}/{feed}"
         write_silver(rows, path, load_id)
+        schemas[feed] = ledger.schema_of(rows)
         months.append(stage_counts(read_load(spark, path, load_id), feed))
-    ledger.commit(spark, layout.silver, _union(months), load_id)
+    ledger.commit(spark, layout.silver, _union(months), load_id, schemas)
+
+
+def run_rejects(spark: SparkSession, layout: Layout, model: StarModel) -> DataFrame:
+    """The table of what bronze holds and silver does not, and why (see ``landing.accounted``), published anew."""
+    taken = ledger.loaded_files(spark, layout.silver)
+    files = landing.accounted(spark, layout.bronze, list(model.contracts), taken)
+    publish(files.filter("reason is not null"), layout.gold, "rejected_files")
+    return read_table(spark, layout.gold, "rejected_files")
+
+
+def row_balance(spark: SparkSession, layout: Layout, model: StarModel) -> DataFrame:
+    """Per feed every row of every readable file that lies in the feed's folder: raw = clean + removed + rejected."""
+    files = landing.accounted(spark, layout.bronze, list(model.contracts), ledger.loaded_files(spark, layout.silver))
+    folder = F.coalesce("feed", F.regexp_extract("path", f"/({'|'.join(model.contracts)})/", 1))
+    loaded = F.col("reason").isNull()
+    rows = files.groupBy(folder.alias("feed")).agg(
+        F.sum("rows").alias("raw"), F.sum(F.when(~loaded, F.col("rows")).otherwise(0)).alias("rejected"), F.count_if(~loaded).alias("rejected_files")
+    )
+    clean = ledger.current_months(spark, layout.silver).groupBy("feed").agg(F.sum("clean").alias("clean"))
+    joined = rows.join(clean, "feed", "left").withColumns({name: F.coalesce(name, F.lit(0)) for name in ("raw", "rejected", "clean")})
+    return joined.select("feed", "raw", "clean", (F.col("raw") - F.col("rejected") - F.col("clean")).alias("removed"), "rejected", "rejected_files")
+
+
+STATE_DDL = (
+    "table_name string, rules bigint, load_id string, year int, month int, "
+    "rule string, rows bigint, filled bigint, bad bigint, least double"
+)
+
+
+def refresh_states(spark: SparkSession, layout: Layout, model: StarModel) -> DataFrame:
+    """The quality states of every month that counts: those that are missing are measured and appended, so a load costs its own
+    months. A month is known by its load and the rules it was measured by."""
+    path = f"{layout.gold}/dq_states"
+
+    def known() -> DataFrame:
+        return spark.read.schema(STATE_DDL).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], STATE_DDL)
+
+    current = ledger.current_months(spark, layout.silver).filter(F.col("clean") > 0)
+    wanted = []
+    for feed, contract in model.contracts.items():
+        rules = model.quality.get(feed, ())
+        if not rules or not path_exists(spark, f"{layout.silver}/{feed}"):
+            continue
+        mark = zlib.crc32("\n".join(rule.label for rule in rules).encode())
+        months = current.filter(F.col("feed") == feed).select(F.lit(feed).alias("table_name"), F.lit(mark).cast("bigint").alias("rules"), ledger.LOAD, *PERIOD)
+        wanted.append(months)
+        fresh = months.join(known(), months.columns, "left_anti")
+        if not fresh.isEmpty():
+            rows = read_silver(spark, f"{layout.silver}/{feed}", contract, fresh)
+            measured = quality.states(rows, rules, PERIOD).join(fresh, list(PERIOD))
+            measured.select("table_name", "rules", ledger.LOAD, *PERIOD, "rule", *quality.STATE).hint("rebalance").write.mode("append").parquet(path)
+    keys = ["table_name", "rules", ledger.LOAD, *PERIOD]
+    states = known().dropDuplicates([*keys, "rule"])  # two runs may have measured a month at once
+    return states.join(_union(wanted), keys, "left_semi") if wanted else states
+
+
+def scored(spark: SparkSession, layout: Layout, model: StarModel, by: Sequence[str] = ()) -> DataFrame:
+    """Scorecard of every table that exists, as a whole or per month, out of merged states."""
+    found = refresh_states(spark, layout, model)
+    cards = []
+    for feed, contract in model.contracts.items():
+        if model.quality.get(feed) and path_exists(spark, f"{layout.silver}/{feed}"):
+            own = found.filter(F.col("table_name") == feed)
+            cards.append(quality.score(own, feed, model.quality[feed], by, [*contract.columns, *PERIOD]))
+    if not cards:
+        raise FileNotFoundError(f"no silver table below {layout.silver}")
+    return _union(cards)
 
 
 def run_quality(
     spark: SparkSession, layout: Layout, model: StarModel, fail_on: frozenset[str] = frozenset()
 ) -> DataFrame:
-    """Scorecard, appended to a table. Never blocks unless ``fail_on`` names outcomes that should."""
-    tables, _ = tolerant_silver(spark, layout.silver, model.contracts)
+    """Scorecard out of the months' states, appended to a table. Never blocks unless ``fail_on`` names outcomes that should."""
     path, run_id = f"{layout.gold}/dq_scorecard", new_load_id()
-    card = quality.scorecard(tables, model.quality).withColumn("run_id", F.lit(run_id))
+    card = scored(spark, layout, model).withColumn("run_id", F.lit(run_id))
     card.hint("rebalance").write.mode("append").parquet(path)
     latest = spark.read.parquet(path).filter(F.col("run_id") == run_id)
     if fail_on:
@@ -184,17 +255,11 @@ def run_quality(
     return latest
 
 
-def build_dims(
-    spark: SparkSession, model: StarModel, zones: DataFrame, operators: DataFrame, gold: str
-) -> dict[str, DataFrame]:
-    """The seven dimensions; operator ids continue those of the current gold version."""
+def fixed_dims(spark: SparkSession, model: StarModel, zones: DataFrame) -> dict[str, DataFrame]:
+    """The six dimensions that do not depend on the trips."""
     words = model.words
-    known = None
-    if current_version(spark, gold, "dim_operator"):
-        known = read_table(spark, gold, "dim_operator")
     return {
         "dim_service": star.service_dim(spark, words),
-        "dim_operator": star.operator_dim(operators, known),
         "dim_place": star.place_dim(zones, model.places, words),
         "dim_distance_band": star.distance_dim(spark, words),
         "dim_time_band": star.time_dim(spark, words),
@@ -236,14 +301,17 @@ def run_gold(
     adaptive execution; ``gather_fact`` then gathers the rows by period before the write.
     """
     batch = f"b{new_load_id()}"
-    publish(changed_inputs(spark, layout, rebuild).withColumn(BATCH, F.lit(batch)), layout.gold, "fact_work")
-    work = read_table(spark, layout.gold, "fact_work")  # written: every step takes the same months
+    work = publish(changed_inputs(spark, layout, rebuild).withColumn(BATCH, F.lit(batch)), layout.gold, "fact_work")
+    work = spark.read.parquet(work)  # written: every step takes the same months
     silver, _ = tolerant_silver(spark, layout.silver, model.contracts, work)
     unified = star.unify(silver, model)
     written: dict[str, int] = {}
-    for table, df in build_dims(spark, model, zones, star.operator_names(silver, model), layout.gold).items():
+    for table, df in fixed_dims(spark, model, zones).items():
         written[table] = spark.read.parquet(publish(df, layout.gold, table)).count()  # from the file footers
-    operators = read_table(spark, layout.gold, "dim_operator")
+    names = star.operator_names(silver, model)
+    path = publish_after(spark, layout.gold, "dim_operator", lambda known: star.operator_dim(names, known))
+    operators = spark.read.parquet(path)
+    written["dim_operator"] = operators.count()
     fact = star.fact_trip(unified, operators, model).withColumn(BATCH, F.lit(batch))
     gathered = fact.hint("rebalance", *PERIOD) if gather_fact else fact
     gathered.write.mode("append").partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{FACT}")
@@ -254,11 +322,12 @@ def run_gold(
         summed.hint("rebalance", *PERIOD).write.mode("append").partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{SUMMARY}")
         counts = new.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("n"))
     months = work.join(counts, list(PERIOD), "left").select(*PERIOD, "inputs", BATCH, F.coalesce("n", F.lit(0)).alias("n"))
-    if current_version(spark, layout.gold, MONTHS):
-        before = read_table(spark, layout.gold, MONTHS)
-        months = months.unionByName(before.join(work.select(*PERIOD), list(PERIOD), "left_anti"))
-    publish(months, layout.gold, MONTHS)
-    written[FACT] = read_table(spark, layout.gold, MONTHS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def with_others(before: DataFrame | None) -> DataFrame:
+        return months if before is None else months.unionByName(before.join(work.select(*PERIOD), list(PERIOD), "left_anti"))
+
+    path = publish_after(spark, layout.gold, MONTHS, with_others)
+    written[FACT] = spark.read.parquet(path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if keep is not None:
         expire(spark, layout, keep)
     return written

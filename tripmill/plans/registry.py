@@ -254,6 +254,22 @@ def silver_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, totals)
 
 
+@register
+def silver_type_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feed in two loads whose fares are whole numbers up to 1997 and amounts after; read together under today's contract."""
+    layout = pipeline.Layout("", scratch_path(spark, "types"), "")
+    judged = {
+        feed: rows.withColumns({"copies": F.lit(1).cast("bigint"), "accepted": F.lit(True)})
+        for feed, rows in layers.silver(spark, sf_dir).items()
+    }
+    early = {feed: rows.filter("year < 1998").withColumn("fare", F.floor("fare").cast("int")) for feed, rows in judged.items()}
+    pipeline.load_silver(spark, layout, early, pipeline.new_load_id())
+    pipeline.load_silver(spark, layout, {feed: rows.filter("year >= 1998") for feed, rows in judged.items()}, pipeline.new_load_id())
+    read, _ = tables.tolerant_silver(spark, layout.silver, MODEL.contracts)
+    fare = F.sum(F.col("fare").cast(warehouse.MONEY)).cast("double").alias("total_fare")
+    return _every_feed(read).groupBy("feed", "year").agg(F.count(F.lit(1)).alias("total_rows"), fare)
+
+
 @register
 def landing_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composed run over written files: every feed in its own spelling, one folder a month, taken to
@@ -290,6 +306,24 @@ def lake_run_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*KEY, "first_status", "second_status", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("clean", "month_trips")))
 
 
+@register
+def reject_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows landed: those of vendor 5 in feed d outside the layout, and March 1998 of feed b beside a broken file, so held
+    back; what silver took, removed and left."""
+    reachable(spark)
+    lake = scratch_path(spark, "lake")
+    layout = pipeline.Layout(f"{lake}/bronze", f"{lake}/silver", f"{lake}/gold")
+    trips = layers.landed(spark, sf_dir)
+    stray = F.expr("feed = 'd' and vendor = 5")
+    for feed in warehouse.FEEDS:
+        raw = warehouse.raw_feed(trips.filter(~stray), feed)
+        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
+    warehouse.raw_feed(trips.filter(stray), "d").write.parquet(f"{layout.bronze}/d/late")
+    files.write_bytes(spark, f"{layout.bronze}/b/year=1998/month=3/broken.parquet", b"no table at all " * 200)
+    pipeline.run_silver(spark, layout, MODEL)
+    return pipeline.row_balance(spark, layout, MODEL).drop("rejected_files")
+
+
 @register
 def ledger_changed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work after a second listing of one file per feed, month and vendor: late files (vendor 6 in 1999), replaced ones (vendor 7 in
@@ -340,6 +374,18 @@ def dq_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scorecard(layers.silver(spark, sf_dir), MODEL.quality)
 
 
+def _scored(by: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layout = pipeline.Layout("", layers.silver_root(spark, sf_dir), scratch_path(spark, "quality"))
+        return pipeline.scored(spark, layout, MODEL, by)
+
+    return query
+
+
+_register("dq_scorecard_merged", _scored(()))
+_register("dq_scorecard_by_month", _scored(PERIOD))
+
+
 # ---------------------------------------------------------------- star
 
 
@@ -443,6 +489,17 @@ def mart_trip_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def mart_trip_excluding_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a list that knows its months: trips of 1998 with a fare over 90,000. Other months are not joined."""
+    gold = layers.gold(spark, sf_dir)
+    listed = gold["fact_trip"].filter("year = 1998 and fare > 90000").select("trip_id", *PERIOD)
+    whole = mart.trip_mart(gold, WORDS, ["trip_id", "distance_band", "trips", "fare", *PERIOD])
+    return mart.excluding(whole, listed).groupBy("distance_band", "year").agg(
+        F.sum("trips").alias("total_trips"), F.sum(F.col("fare").cast(warehouse.MONEY)).cast("double").alias("total_fare")
+    )
+
+
 @register
 def mart_core_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips by the two fee flags, which are apart: congestion and core zone."""

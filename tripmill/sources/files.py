@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -33,6 +35,12 @@ def claim(spark: SparkSession, path: str) -> bool:
     return bool(found.createNewFile(hadoop_path))
 
 
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file was last changed, by the clock of this machine."""
+    found, hadoop_path = filesystem(spark, path)
+    return time.time() - found.getFileStatus(hadoop_path).getModificationTime() / 1000
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     found, hadoop_path = filesystem(spark, path)
     stream = found.create(hadoop_path, True)

@@ -48,25 +48,67 @@ def calendar(ranges: DataFrame) -> DataFrame:
     return dated.select(*KEY, storage_key().alias("storage_key"))
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with size, time of change and period. File contents are not read; Spark leaves out
+LAYOUT = r"/([^/]+)/year=(\d{4})/month=(\d{1,2})/[^/]+\.parquet$"
+OUTSIDE, NO_PARQUET, TOO_SMALL, UNREADABLE, HELD_BACK = (
+    "outside the layout", "no parquet file", "too small", "cannot be read", "held back with its month",
+)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root`` with size and time of change. File contents are not read; Spark leaves out
     files of zero bytes, which therefore count as not there."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(root)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
-    layout = r"/([^/]+)/year=(\d{4})/month=(\d{1,2})/[^/]+$"
-    return listing.filter(F.col("path").rlike(layout)).select(
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root`` that lie where a feed's month belongs, with their period."""
+    return listing(spark, root).filter(F.col("path").rlike(LAYOUT)).select(
         "path",
         "length",
         "modified",
-        F.regexp_extract("path", layout, 1).alias("feed"),
-        F.regexp_extract("path", layout, 2).cast("int").alias("year"),
-        F.regexp_extract("path", layout, 3).cast("int").alias("month"),
+        F.regexp_extract("path", LAYOUT, 1).alias("feed"),
+        F.regexp_extract("path", LAYOUT, 2).cast("int").alias("year"),
+        F.regexp_extract("path", LAYOUT, 3).cast("int").alias("month"),
+    )
+
+
+def rows_by_file(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rows) of the Parquet files that can be read, from their footers: a scan that asks for no column and passes over
+    what is broken."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true")
+    paths = reader.schema("no_such_column string").parquet(root).select(F.col("_metadata.file_path").alias("path"))
+    return paths.groupBy(same_path("path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def same_path(name: str) -> Column:
+    """One spelling for the paths of local files, which Spark's sources spell with one slash or three."""
+    return F.regexp_replace(name, "^file:/+", "file:/")
+
+
+def accounted(spark: SparkSession, root: str, feeds: list[str], taken: DataFrame) -> DataFrame:
+    """Every file below ``root``: path, length, feed and period where it has them, rows where it can be read, and ``reason``, why
+    it was not taken, null for those that were. ``taken``: the files behind the months that count (path, length, modified).
+    A month below the minimum size is too small as a whole; a good file of a month with a bad one is held back with it."""
+    part = lambda number: F.regexp_extract("path", LAYOUT, number)
+    inside = F.col("path").rlike(LAYOUT) & part(1).isin(*feeds)
+    files = listing(spark, root).select(
+        same_path("path").alias("path"), "length", "modified", *(
+            F.when(inside, value).alias(name) for name, value in (("feed", part(1)), ("year", part(2).cast("int")), ("month", part(3).cast("int")))
+        ),
+    )
+    months = files.filter("feed is not null").groupBy(*KEY).agg(F.sum("length").alias("month_length"))
+    loaded = taken.select(same_path("path").alias("path"), "length", "modified", F.lit(True).alias("loaded"))
+    told = files.join(rows_by_file(spark, root), "path", "left").join(months, KEY, "left").join(loaded, ["path", "length", "modified"], "left")
+    reason = (
+        F.when(F.col("loaded"), None)
+        .when(~F.col("path").endswith(".parquet"), NO_PARQUET)
+        .when(F.col("feed").isNull(), OUTSIDE)
+        .when(F.col("month_length") < MIN_FILE_BYTES, TOO_SMALL)
+        .when(F.col("rows").isNull(), UNREADABLE)
+        .otherwise(HELD_BACK)
     )
+    return told.select("path", "length", *KEY, "rows", reason.alias("reason"))
 
 
 def large_enough() -> Column:

@@ -12,6 +12,8 @@ string per month of a feed, to prune the scan by folder.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.operators.contracts import PERIOD
@@ -20,11 +22,12 @@ from tripmill.sources.files import path_exists
 KEY = ["feed", *PERIOD]
 LOAD = "load_id"
 FINGERPRINT = ["path", "length", "modified"]
-FILES, PERIODS, RUNS = "load_files", "load_periods", "load_runs"
+FILES, PERIODS, RUNS, SCHEMAS = "load_files", "load_periods", "load_runs", "load_schemas"
 STAGES = ("raw", "dedup", "clean")
 
 FILE_DDL = f"path string, length bigint, modified timestamp, feed string, year int, month int, {LOAD} string"
 PERIOD_DDL = f"feed string, year int, month int, raw bigint, dedup bigint, clean bigint, {LOAD} string"
+SCHEMA_DDL = f"feed string, ddl string, {LOAD} string"
 RUN_DDL = f"{LOAD} string, months bigint, clean bigint"
 
 
@@ -49,8 +52,16 @@ def begin(spark: SparkSession, silver: str, files: DataFrame, load_id: str) -> D
     return _read(spark, silver, FILES, FILE_DDL).filter(F.col(LOAD) == load_id).select(*columns)
 
 
-def commit(spark: SparkSession, silver: str, months: DataFrame, load_id: str) -> None:
-    """``months``: feed, year, month and stage counts of all that the run has written. The run counts from here on."""
+def schema_of(written: DataFrame) -> str:
+    """The types that a load wrote, as a schema to read it by."""
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in written.schema.fields if field.name != LOAD)
+
+
+def commit(spark: SparkSession, silver: str, months: DataFrame, load_id: str, schemas: Mapping[str, str] | None = None) -> None:
+    """``months``: feed, year, month and stage counts of all that the run has written. ``schemas``: feed to the types it was
+    written with, by which it will be read, whatever its contract says then. The run counts from here on."""
+    if schemas:
+        _append(spark.createDataFrame([(feed, ddl, load_id) for feed, ddl in schemas.items()], SCHEMA_DDL), silver, SCHEMAS)
     counts = (F.coalesce(stage, F.lit(0)).cast("bigint").alias(stage) for stage in STAGES)
     _append(months.select(*KEY, *counts, F.lit(load_id).alias(LOAD)), silver, PERIODS)
     own = _read(spark, silver, PERIODS, PERIOD_DDL).filter(F.col(LOAD) == load_id)
@@ -80,6 +91,16 @@ def changed_months(files: DataFrame, loaded: DataFrame) -> DataFrame:
     return fresh.unionByName(gone).distinct()
 
 
+def keys_by_schema(spark: SparkSession, silver: str, current: DataFrame) -> dict[str | None, list[str]]:
+    """``folder_keys`` of months of one feed, apart by the schema of their load; None where a load has none on record."""
+    schemas = _read(spark, silver, SCHEMAS, SCHEMA_DDL).dropDuplicates(["feed", LOAD])
+    rows = current.join(schemas, ["feed", LOAD], "left").select(F.concat_ws("/", LOAD, *PERIOD), "ddl").collect()
+    found: dict[str | None, list[str]] = {}
+    for key, ddl in sorted(map(tuple, rows), key=lambda row: row[0]):
+        found.setdefault(ddl, []).append(key)
+    return found
+
+
 def folder_keys(months: DataFrame, batch: str) -> list[str]:
     """One short string per month, ``batch/year/month``."""
     return sorted(row[0] for row in months.select(F.concat_ws("/", batch, *PERIOD)).collect())

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripmill.operators.contracts import PERIOD, FeedContract
 from tripmill.sources import ledger
-from tripmill.sources.files import claim, delete, folder_names, path_exists
+from tripmill.sources.files import age, claim, delete, folder_names, path_exists
 from tripmill.sources.ledger import LOAD
 
 VERSION = "version="
@@ -58,8 +60,8 @@ def read_load(spark: SparkSession, path: str, load_id: str) -> DataFrame:
 
 
 def read_silver(spark: SparkSession, path: str, contract: FeedContract, months: DataFrame | None = None) -> DataFrame:
-    """Accepted rows of the loads that count, under the contract's current schema. Files written before a column joined
-    the contract read it as null; no footer merging is needed. ``months`` (year, month) restricts the read to their folders.
+    """Accepted rows of the loads that count, under the contract's current schema. Loads are read by the schema they were
+    written with and lifted to it, so a column may join, leave or change its type between loads; no footer merging is needed. ``months`` (year, month) restricts the read to their folders.
     A table without a record of runs is read as it lies."""
     root, _, feed = path.rstrip("/").rpartition("/")
     if not ledger.has_runs(spark, root):
@@ -69,9 +71,24 @@ def read_silver(spark: SparkSession, path: str, contract: FeedContract, months:
     current = ledger.current_months(spark, root).filter(F.col("feed") == feed)
     if months is not None:
         current = current.join(months.select(*PERIOD), list(PERIOD), "left_semi")
-    rows = spark.read.schema(f"{contract.ddl}, {ACCEPTED} boolean, {LOAD} string").parquet(path)
-    counted = ledger.in_folders(rows, ledger.folder_keys(current, LOAD), LOAD)
-    return counted.filter(ACCEPTED).select(*contract.columns, *PERIOD)
+    parts = []
+    for ddl, keys in (ledger.keys_by_schema(spark, root, current) or {None: []}).items():
+        rows = spark.read.schema(f"{ddl or f'{contract.ddl}, {ACCEPTED} boolean'}, {LOAD} string").parquet(path)
+        parts.append(lifted(ledger.in_folders(rows, keys, LOAD).filter(ACCEPTED), contract))
+    return reduce(lambda left, right: left.unionByName(right), parts)
+
+
+def lifted(rows: DataFrame, contract: FeedContract) -> DataFrame:
+    """Rows of an older schema under the current contract: types widened by a lenient cast, absent columns null."""
+    types = dict(rows.dtypes)
+
+    def column(name: str) -> Column:
+        wanted = contract.type_of(name)
+        if name not in types:
+            return F.lit(None).cast(wanted).alias(name)
+        return F.col(name) if types[name] == wanted else F.col(name).try_cast(wanted).alias(name)
+
+    return rows.select(*map(column, contract.columns), *PERIOD)
 
 
 def read_periods(spark: SparkSession, path: str, contract: FeedContract) -> DataFrame:
@@ -140,6 +157,35 @@ def publish(
     return path
 
 
+def publish_after(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    build: Callable[[DataFrame | None], DataFrame],
+    patience: float = 600.0,
+    pause: float = 0.5,
+) -> str:
+    """Write the version that follows the current one and is made from it by ``build`` (which gets None where there is none).
+
+    Only who claims the next number builds on the current version; whoever finds it claimed waits for it and builds on what
+    it brought, so of several writers none loses what another has added. A claim older than ``patience`` seconds without a
+    version is taken for that of a writer that died, and passed over.
+    """
+    passed = 0
+    while True:
+        base = current_version(spark, root, table)
+        number = max(passed, int(base.rpartition(VERSION)[2]) if base else 0) + 1
+        path = f"{root}/{table}/{VERSION}{number:06d}"
+        if claim(spark, f"{path}/{CLAIM}"):
+            build(spark.read.parquet(base) if base else None).hint("rebalance").write.mode("append").parquet(path)
+            return path
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            if age(spark, f"{path}/{CLAIM}") > patience:
+                passed = number
+            else:
+                time.sleep(pause)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     path = current_version(spark, root, table)
     if path is None:
