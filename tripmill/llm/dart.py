@@ -338,7 +338,8 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     found, rows, several = keyed_classes(hidden.select("doc_id", "text"), threshold, "set")
     kept = found.filter("kept").select("key")
     repeated = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
-    chosen = keyed(hidden, several).join(kept, "key", "left_semi")
+    # What is kept grows with the documents, so it is never broadcast: texts are shuffled once, at any size.
+    chosen = keyed(hidden, several).join(kept.hint("merge"), "key", "left_semi")
     single = chosen.join(repeated, "key", "left_anti").select(hidden.columns)
     least = chosen.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*hidden.columns)).alias("row"))
     return single.unionByName(least.select("row.*")).select(*back)

@@ -191,9 +191,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     keyed = hidden.withColumn("row_key", F.xxhash64("doc_id", "text", F.lit("source"), "source"))
     planned = plan(keyed.select(F.col("row_key").alias("doc_id"), "text", "source"), weights, share)
     spread = planned.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_rows"))
-    joined = keyed.join(saved(spread, "copies"), "row_key")
-    once = joined.filter("all_rows = 1").withColumn("times", F.col("all_copies"))
-    more = saved(joined.filter("all_rows > 1").withColumn("part", F.spark_partition_id()), "repeated-rows")
+    spread = saved(spread, "copies")
+    # Keys grow with the documents, so those of single rows are never broadcast; repeated ones are joined apart, texts shuffled once.
+    once = keyed.join(spread.filter("all_rows = 1").hint("merge"), "row_key").withColumn("times", F.col("all_copies"))
+    repeated = saved(spread.filter("all_rows > 1"), "repeated-keys")
+    more = saved(keyed.join(repeated, "row_key").withColumn("part", F.spark_partition_id()), "repeated-rows")
     counts = more.groupBy("row_key", "part").agg(F.count("*").alias("in_part"))
     before = Window.partitionBy("row_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("row_key", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start"))
