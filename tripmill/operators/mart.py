@@ -147,14 +147,23 @@ class Part:
     of_summary: Column
 
 
+@dataclass(frozen=True)
+class Condition:
+    """A condition in the columns of the fact, where the scan can apply it, and in the keys of the summary."""
+
+    of_fact: Column
+    of_summary: Column
+
+
 def trips_part(alias: str = "trips") -> Part:
-    return Part(alias, F.sum("trips"), F.sum("trips"))
+    """Rows of the fact, each of which is one trip."""
+    return Part(alias, F.count(F.lit(1)), F.sum("trips"))
 
 
 def tipped_part(alias: str) -> Part:
-    """Trips with a tip: its flag is a key of the summary."""
-    tipped = F.sum(F.when(F.col("tip_status_id") == 1, F.col("trips")).otherwise(F.lit(0)))
-    return Part(alias, tipped, tipped)
+    """Trips with a tip, whose flag is a key of the summary."""
+    flagged = F.sum(F.when(F.col("tip_status_id") == 1, F.col("trips")).otherwise(F.lit(0)))
+    return Part(alias, F.count_if(F.col("tip") > 0), flagged)
 
 
 def cents_part(measure: str, alias: str) -> Part:
@@ -171,7 +180,7 @@ def summarised(
     star: Star,
     columns: Sequence[str],
     partials: Sequence[Part | Column],
-    where: Column | None = None,
+    where: Column | Condition | None = None,
     how: str = "left",
 ) -> DataFrame:
     """``partials`` per combination of mart ``columns``, not yet merged where labels coincide.
@@ -179,7 +188,7 @@ def summarised(
     The fact is aggregated by its keys first and the dimensions are joined to that small result.
     So the join sees one row per key combination, however many trips share one, and no dimension
     needs to fit a broadcast. Where the star has a summary that holds all of the keys, and the partials are additive, the fact is
-    not read at all. ``where`` is a condition on keys: periods and flags. Callers filter on the
+    not read at all. ``where`` is a condition on keys (periods and flags), or one for either source. Callers filter on the
     labels and aggregate the partials again.
     """
     joins = [join for join in JOINS if set(columns) & set(join.outputs)]
@@ -187,6 +196,8 @@ def summarised(
     keys = dict.fromkeys([*own, *(join.fact_key for join in joins)])
     small = SUMMARY in star and all(isinstance(part, Part) for part in partials) and set(keys) <= set(SUMMARY_KEYS)
     source = star[SUMMARY] if small else star["fact_trip"]
+    if isinstance(where, Condition):
+        where = where.of_summary if small else where.of_fact
     chosen = source if where is None else source.filter(where)
     merged = [(part.of_summary if small else part.of_fact).alias(part.alias) if isinstance(part, Part) else part for part in partials]
     joined = join_dims(star, joins, how, chosen.groupBy(*keys).agg(*merged))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripmill.functions import half_up, share
 from tripmill.operators.contracts import PlaceRules, Vocabulary
-from tripmill.operators.mart import JOINS, Star, cents_part, join_dims, summarised, tipped_part, trips_part, valued_part
+from tripmill.operators.mart import JOINS, Condition, Star, cents_part, join_dims, summarised, tipped_part, trips_part, valued_part
 from tripmill.operators.sampling import hash_sample
 
 SERVICE = tuple(join for join in JOINS if join.fact_key == "service_id")
@@ -18,8 +18,8 @@ POSITIVE = 1  # of a status flag: the amount is above 0
 Period = tuple[int, int]
 
 
-def _tipped() -> Column:
-    return F.col("tip_status_id") == POSITIVE
+def _tipped() -> Condition:
+    return Condition(F.col("tip") > 0, F.col("tip_status_id") == POSITIVE)
 
 
 def _total_trips() -> Column:
@@ -159,7 +159,8 @@ def core_zone_volume(
 
 
 def fee_kpi(star: Star, period: Period) -> DataFrame:
-    charged = _in_period(period) & (F.col("core_fee_status_id") == POSITIVE)
+    paid, flagged = F.col("core_zone_fee") > 0, F.col("core_fee_status_id") == POSITIVE
+    charged = Condition(_in_period(period) & paid, _in_period(period) & flagged)
     return (
         summarised(star, ["service_group"], [valued_part("core_zone_fee", "valued"), cents_part("core_zone_fee", "cents")], charged, INNER)
         .groupBy("service_group")

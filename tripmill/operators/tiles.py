@@ -52,7 +52,7 @@ def _partials(tile: Tile) -> list[Part]:
     """Per key combination: trips, or cents of a money measure, and the rows that a mean divides by. The tip flag follows from
     the joined label, so it needs no more than the trips."""
     if tile.measure in ("trips", "tip_flag"):
-        return [trips_part("part"), trips_part("rows")]
+        return [Part("part", F.sum("trips"), F.sum("trips")), trips_part("rows")]
     return [cents_part(tile.measure, "part"), valued_part(tile.measure, "rows")]
 
 
