@@ -58,7 +58,7 @@ class Encoder:
 
     ENTRY = 190  # bytes of a remembered word besides its text and ids, about
 
-    def __init__(self, path: str, remember: int = 32 << 20):
+    def __init__(self, path: str, remember: int = 80 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
