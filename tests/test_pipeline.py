@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 import tripdata
 from tripmill.operators import checks, mart, reports, tiles
-from tripmill.operators.conform import conform
+from tripmill.operators.conform import conform, conform_variants
 from tripmill.operators.contracts import PERIOD
 from tripmill.plans import pipeline, trips
 from tripmill.plans.original_names import register_original_views
-from tripmill.sources.bronze import read_feed
+from tripmill.sources.bronze import AMBIGUOUS, probed, read_feed
 from tripmill.sources.landing import manifest
 from tripmill.sources.places import read_zones
 from tripmill.sources.tables import export_csv, loaded_periods, read_silver, tolerant_silver
@@ -205,7 +205,7 @@ def test_landing_tells_unreadable_from_absent_and_remembers_failures(spark, tmp_
     first = pipeline.run_landing(spark, layout, trips.MODEL, expected, SOURCE)
     found = outcomes(first)
     assert found[2024, 12] == ("OK", "") and found[2025, 3] == ("SKIP_404", "")
-    assert found[2025, 1][0] == found[2025, 2][0] == "FAIL" and "Arrow" in found[2025, 1][1]
+    assert found[2025, 1][0] == found[2025, 2][0] == "FAIL" and found[2025, 1][1] == "RuntimeExcep"
     urls = {r["url"].rsplit("/", 1)[1] for r in first.pending.collect()}
     assert urls == {"fhv_tripdata_2025-01.parquet", "fhv_tripdata_2025-02.parquet"}
     (broken / "fhv_tripdata_2025-01.parquet").unlink()
@@ -258,6 +258,50 @@ def test_names_equal_up_to_case_in_one_file(spark, tmp_path):
     assert not refused.frames and "caseSensitive" in refused.unreadable[0][1]
 
 
+def test_files_of_one_month_that_disagree_are_read_apart(spark, tmp_path):
+    import pandas as pd
+
+    contract = trips.CONTRACTS["yellow"]
+
+    def write(month, name, **columns):
+        folder = tmp_path / f"yellow/year=2024/month={month:02d}"
+        folder.mkdir(parents=True, exist_ok=True)
+        pd.DataFrame(columns).to_parquet(folder / f"{name}.parquet", index=False)
+
+    for month in range(1, 7):  # types alternate, so no halving of the year agrees
+        write(month, "a", VendorID=[1] if month % 2 else [1.0])
+    write(2, "b", vendorid=[2], other=["x"])
+    write(3, "none", VendorID=pd.Series([], dtype="int64"))  # no rows, yet readable
+    write(4, "unrelated", other=[1])
+    write(5, "broken", VendorID=[1])
+    broken = tmp_path / "yellow/year=2024/month=05/broken.parquet"
+    broken.write_bytes(broken.read_bytes()[:-30])
+    write(6, "twice", VendorID=[1], vendorid=[2])
+    files = manifest(spark, str(tmp_path))
+    read = read_feed(spark, str(tmp_path), files, contract)
+    assert {path.rsplit("/", 1)[1] for path, _ in read.unreadable} == {"broken.parquet", "twice.parquet"}
+    assert dict((path.rsplit("/", 1)[1], error) for path, error in read.unreadable)["twice.parquet"] == AMBIGUOUS
+    assert read.periods == 4  # months 5 and 6 wait
+    kinds = sorted(str(sorted(f.name + " " + f.dataType.simpleString() for f in frame.schema if f.name not in PERIOD)) for frame in read.frames)
+    assert kinds == ["['VendorID bigint']", "['VendorID double']", "['vendorid bigint']"]
+    rows = conform_variants(read.frames, contract).select("month", "operator_code").collect()
+    expected = [(1, "1"), (2, "1.0"), (2, "2"), (3, "1"), (4, "1.0"), (4, "None")]
+    assert sorted((m, str(v)) for m, v in rows) == expected
+    (strange := tmp_path / "green/year=2024/month=01").mkdir(parents=True)
+    pd.DataFrame({"other": [1, 2]}).to_parquet(strange / "a.parquet", index=False)
+    green = read_feed(spark, str(tmp_path), manifest(spark, str(tmp_path)).filter("feed = 'green'"), trips.CONTRACTS["green"])
+    assert conform_variants(green.frames, trips.CONTRACTS["green"]).filter("operator_code is null").count() == 2
+    errors = {r["path"].rsplit("/", 1)[1] for r in probed(files, contract).filter("error is not null").collect()}
+    assert errors == {"broken.parquet", "twice.parquet"}
+
+
+def test_a_file_that_is_gone_stops_the_run(spark, tmp_path):
+    tripdata.write_month(spark, tmp_path, "fhv", (2024, 12), [tripdata.dispatch("2024-12-30 10:00:00", "2024-12-30 10:10:00")])
+    files = manifest(spark, str(tmp_path)).withColumn("path", F.regexp_replace("path", "month=12", "month=11"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_feed(spark, str(tmp_path), files, trips.CONTRACTS["fhv"])
+
+
 def test_no_silver_at_all_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tolerant_silver(spark, str(tmp_path), trips.CONTRACTS)

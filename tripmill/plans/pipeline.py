@@ -15,7 +15,7 @@ from tripmill.operators.conform import cast_losses, conform_variants
 from tripmill.operators.contracts import PERIOD, StarModel
 from tripmill.operators.silver import dedup_with_counts, mark_valid, reconcile, stage_counts
 from tripmill.sources import landing, ledger
-from tripmill.sources.bronze import footers, read_feed
+from tripmill.sources.bronze import probed, read_feed
 from tripmill.sources.landing import KEY, manifest
 from tripmill.sources.files import delete, folder_names, path_exists
 from tripmill.sources.tables import (
@@ -96,9 +96,9 @@ def run_landing(
     files = manifest(spark, layout.bronze)
     before = loaded_periods(spark, layout.silver, list(model.contracts))
     fresh = files.join(before, KEY, "left_anti")
-    probed = _union([footers(fresh.filter(F.col("feed") == feed), c) for feed, c in model.contracts.items()])
+    tried = _union([probed(fresh.filter(F.col("feed") == feed), c) for feed, c in model.contracts.items()])
     # One row per period; written, so that what follows does not probe the footers again.
-    publish(landing.status(expected, before, landing.attempts(probed)), layout.gold, "landing_status")
+    publish(landing.status(expected, before, landing.attempts(tried)), layout.gold, "landing_status")
     status = read_table(spark, layout.gold, "landing_status")
     letters = f"{layout.gold}/dead_letter"
     failed = landing.failures(status, source, F.lit(new_load_id()))

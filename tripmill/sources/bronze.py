@@ -1,70 +1,138 @@
-"""Reading bronze files whose physical schema drifts from month to month."""
+"""Reading bronze files whose physical schema drifts from month to month, by Spark's own Parquet reader."""
 
 from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tripmill.operators.contracts import PERIOD, FeedContract
+from tripmill.sources.landing import ERROR_CHARS, rows_by_file, same_path
+
+# What Spark says of files that it reached but cannot read, or whose schemas do not go together.
+FORMAT_PROBLEMS = ("CANNOT_MERGE_SCHEMAS", "CANNOT_READ_FILE_FOOTER", "PARQUET_TYPE_", "PARQUET_COLUMN_")
+AMBIGUOUS = "columns equal up to case need spark.sql.caseSensitive=true"
+
+
+def _format_problem(failure: Exception) -> str | None:
+    """What is wrong with the content of the files; None where they could not be reached."""
+    cause = getattr(failure, "java_exception", None)
+    if cause is None:
+        text = str(failure)
+        return text[:ERROR_CHARS] if any(word in text for word in FORMAT_PROBLEMS) else None
+    told, name, message = False, "", ""
+    while cause is not None:
+        name, message = cause.getClass().getName(), cause.getMessage() or ""
+        told |= any(word in message for word in FORMAT_PROBLEMS)
+        cause = cause.getCause()
+    unreached = name.startswith(("java.io.", "java.net.", "java.nio.")) and name != "java.io.EOFException"
+    return f"{name.rsplit('.', 1)[-1]}: {message}"[:ERROR_CHARS] if told and not unreached else None
+
+
+def _probing(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` that keeps spellings apart, so that they are seen."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.caseSensitive", "true")
+    return session
+
+
+def _schema(session: SparkSession, paths: Sequence[str], wanted: frozenset[str], folds_case: bool) -> StructType | str:
+    """The wanted columns that files have in common types and spellings, or why they cannot be read as one. Spark merges
+    the footers in a job."""
+    try:
+        found = session.read.options(mergeSchema=True, ignoreCorruptFiles=False).parquet(*paths).schema
+    except (Py4JJavaError, PySparkException) as failure:
+        problem = _format_problem(failure)
+        if problem is None:  # one that can't be reached now is a crash, not a bad file
+            raise
+        return problem
+    fields = sorted((f for f in found if f.name.lower() in wanted), key=lambda f: f.name)
+    if folds_case and len({f.name.lower() for f in fields}) < len(fields):
+        return AMBIGUOUS
+    return StructType([StructField(f.name, f.dataType) for f in fields])
 
-# Schemes that Hadoop and Arrow name differently.
-ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def _open(path: str):
-    from pyarrow import fs
-
-    scheme, separator, rest = path.partition(":")
-    if not separator or scheme == "file":
-        return fs.LocalFileSystem(), "/" + (rest if separator else path).lstrip("/")
-    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
-
-
-def _footers(wanted: frozenset[str], case_sensitive: bool):
-    """Per batch of paths: the spelling and type of the wanted columns in each file's footer."""
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            variants: list[str | None] = []
-            errors: list[str | None] = []
-            for path in batch["path"]:
-                try:
-                    filesystem, name = _open(path)
-                    schema = pq.read_schema(name, filesystem=filesystem)
-                    lower = [name.lower() for name in schema.names]
-                    if len(set(lower)) < len(lower) and not case_sensitive:
-                        raise ValueError("columns equal up to case need spark.sql.caseSensitive=true")
-                    fields = sorted([f.name, str(f.type)] for f in schema if f.name.lower() in wanted)
-                    variants.append(json.dumps(fields))
-                    errors.append(None)
-                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ValueError, OSError) as failure:
-                    # A file of a bad format is a result; one that can't be reached now is a crash.
-                    if isinstance(failure, OSError) and "thrift" not in str(failure):
-                        raise
-                    variants.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}"[:200])
-            yield batch.assign(variant=variants, error=errors)
-
-    return probe
-
-
-def footers(files: DataFrame, contract: FeedContract) -> DataFrame:
-    """``files`` (a manifest) with ``variant`` and ``error``. Footers are read inside tasks;
-    columns outside the contract do not split variants."""
-    case_sensitive = files.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
-    probe = _footers(frozenset(contract.renames), case_sensitive)
-    columns = "path string, length bigint, feed string, year int, month int"
-    return files.select("path", "length", "feed", *PERIOD).mapInPandas(
-        probe, f"{columns}, variant string, error string"
-    )
+
+@dataclass(frozen=True)
+class Inspection:
+    """``variants``: paths by schema (as JSON). ``unreadable``: error by path. ``folders``: bytes by period folder that can be read
+    whole."""
+
+    variants: dict[str, list[str]]
+    unreadable: dict[str, str]
+    folders: dict[str, int]
+
+
+def inspect(files: DataFrame, contract: FeedContract) -> Inspection:
+    """Which files of a manifest cannot be read, and which can be read together. A period with an unreadable file is held back
+    whole: were its other files loaded, it would count as loaded and never be completed.
+
+    Broken files are those that a tolerant scan of the footers does not return. The folders that are left are halved until the
+    footers of each part merge; months drift seldom, so v variants of n months take about v log n small jobs. Columns
+    outside the contract do not tell variants apart in the end. The driver holds a path per period folder, and file paths
+    only of folders whose own files disagree and of broken files.
+    """
+    spark = files.sparkSession
+    session, wanted = _probing(spark), frozenset(contract.renames)
+    folds_case = spark.conf.get("spark.sql.caseSensitive") != "true"
+
+    def agreeing(paths: Iterable[str]) -> tuple[dict[str, list[str]], dict[str, str]]:
+        together, refused = defaultdict(list), {}
+        parts = [list(paths)]
+        while parts:
+            part = parts.pop()
+            if not part:
+                continue
+            found = _schema(session, part, wanted, folds_case)
+            if isinstance(found, StructType):
+                together[found.json()] += part
+            elif len(part) == 1:
+                refused[part[0]] = found
+            else:
+                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+        return together, refused
+
+    located = files.select("path", "length", *PERIOD, F.regexp_replace("path", r"/[^/]+$", "").alias("folder"))
+    by_folder = located.groupBy("folder", *PERIOD).agg(F.sum("length").alias("length")).collect()
+    folders = {row["folder"]: row["length"] for row in sorted(by_folder, key=lambda row: (row["year"], row["month"], row["folder"]))}
+    if not folders:
+        return Inspection({}, {}, {})
+    seen = rows_by_file(spark, *folders).select("path")
+    unseen = located.withColumn("key", same_path("path")).join(seen.withColumnRenamed("path", "key"), "key", "left_anti")
+    _, unreadable = agreeing(row["path"] for row in unseen.select("path").collect())  # files without rows can be read
+
+    def folder_of(path: str) -> str:
+        return path.rpartition("/")[0]
+
+    held_back = {folder_of(path) for path in unreadable}
+    variants, disagreeing = agreeing(folder for folder in folders if folder not in held_back)
+    if disagreeing:
+        inside = defaultdict(list)
+        for row in located.filter(F.col("folder").isin(*disagreeing)).select("folder", "path").collect():
+            inside[row["folder"]].append(row["path"])
+        for paths in inside.values():
+            parts, refused = agreeing(sorted(paths))
+            unreadable |= refused
+            if not refused:
+                for schema, some in parts.items():
+                    variants[schema] += some
+        held_back = {folder_of(path) for path in unreadable}
+    return Inspection(dict(variants), unreadable, {f: size for f, size in folders.items() if f not in held_back})
+
+
+def probed(files: DataFrame, contract: FeedContract) -> DataFrame:
+    """``files`` (a manifest) with the ``error`` of those that cannot be read."""
+    bad = list(inspect(files, contract).unreadable.items())
+    errors = files.sparkSession.createDataFrame(bad, "path string, error string")
+    return files.select("path", "length", "feed", *PERIOD).join(errors, "path", "left")
 
 
 @dataclass(frozen=True)
@@ -79,38 +147,15 @@ class BronzeRead:
 
 
 def read_feed(spark: SparkSession, root: str, files: DataFrame, contract: FeedContract) -> BronzeRead:
-    """One multi-path read per schema variant over the given manifest rows. A period with an unreadable file is held back
-    whole: were its other files loaded, it would count as loaded and never be completed.
-
-    Only paths come to the driver, which needs them to declare the scan: one per period folder
-    whose files agree, single files otherwise.
-    """
-    folder = F.regexp_replace("path", r"/[^/]+$", "")
-    # Used twice below; a handful of short strings per file.
-    probed = footers(files, contract).withColumn("folder", folder).persist()
-    try:
-        mixed = F.count_if(F.col("error").isNotNull()) > 0
-        folders = probed.groupBy("folder").agg(
-            F.min("variant").alias("variant"),
-            F.sum("length").alias("length"),
-            (mixed | (F.min("variant") != F.max("variant"))).alias("mixed"),
-        )
-        uniform = folders.filter(~F.col("mixed")).select(
-            "variant", F.col("folder").alias("path"), "folder", "length", F.lit(None).cast("string").alias("error")
-        )
-        single = probed.join(folders.filter("mixed").select("folder"), "folder", "left_semi")
-        listed = uniform.unionByName(single.select("variant", "path", "folder", "length", "error")).collect()
-    finally:
-        probed.unpersist()
-    held_back = {row["folder"] for row in listed if row["error"] is not None}
-    good = [row for row in listed if row["folder"] not in held_back]
-    paths: dict[str, list[str]] = defaultdict(list)
-    for row in good:
-        paths[row["variant"]].append(row["path"])
+    """One multi-path read per schema variant over the given manifest rows (see ``inspect``)."""
+    found = inspect(files, contract)
     reader = spark.read.option("basePath", f"{root.rstrip('/')}/{contract.feed}")
     return BronzeRead(
-        frames=[reader.parquet(*sorted(group)) for _, group in sorted(paths.items())],
-        periods=len({row["folder"] for row in good}),
-        size=sum(row["length"] for row in good),
-        unreadable=[(row["path"], row["error"]) for row in listed if row["error"] is not None],
+        frames=[
+            reader.schema(StructType.fromJson(json.loads(schema))).parquet(*sorted(paths))
+            for schema, paths in sorted(found.variants.items())
+        ],
+        periods=len(found.folders),
+        size=sum(found.folders.values()),
+        unreadable=sorted(found.unreadable.items()),
     )

@@ -73,11 +73,11 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def rows_by_file(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rows) of the Parquet files that can be read, from their footers: a scan that asks for no column and passes over
-    what is broken."""
+def rows_by_file(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, rows) of the Parquet files below some folders that have rows and can be read, from their footers: a scan that asks
+    for no column and passes over what is broken."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true")
-    paths = reader.schema("no_such_column string").parquet(root).select(F.col("_metadata.file_path").alias("path"))
+    paths = reader.schema("no_such_column string").parquet(*roots).select(F.col("_metadata.file_path").alias("path"))
     return paths.groupBy(same_path("path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
 
 
