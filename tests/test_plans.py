@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripmill.operators.mart import filter_by
-from tripmill.operators import mart, reports, tiles
+from tripmill import session
+from tripmill.operators import mart, reports, star, tiles
 from tripmill.plans import layers, warehouse
 from tripmill.plans.registry import QUERIES, TILES
 
@@ -93,3 +94,29 @@ def test_year_bounds_of_the_caller_hold_beside_year_month(spark):
     rows = spark.createDataFrame([("1997", "1997-07"), ("1998", "1998-02"), ("1998", "1998-05")], "year string, year_month string")
     found = filter_by(rows, ranges={"year": ("1998", "1998"), "year_month": ("1997-06", "1998-03")}).collect()
     assert [tuple(r) for r in found] == [("1998", "1998-02")]
+
+
+def test_line_items_are_shuffled_by_their_order_alone(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(warehouse.derive_trips(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(l_suppkey" not in plan
+    by_customer = plan.split("hashpartitioning(o_custkey")
+    assert len(by_customer) == 2 and "l_orderkey" not in by_customer[1].split("hashpartitioning(c_custkey")[0]
+
+
+def test_the_fact_is_a_map_while_operators_are_few(spark, sf_dir, gold, monkeypatch):
+    unified = star.unify(layers.silver(spark, sf_dir), warehouse.MODEL)
+    fact = lambda: star.fact_trip(unified, session.lookup(gold["dim_operator"]), warehouse.MODEL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = fact()
+        assert "SortMergeJoin" not in physical(few) and "hashpartitioning" not in physical(few)
+        monkeypatch.setattr(session, "FEW_ROWS", 0)
+        many = fact()
+        assert "SortMergeJoin" in physical(many)
+        assert few.exceptAll(many).count() == 0 and few.count() == many.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,7 +4,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tripmill.operators import silver
 from tripmill.operators.silver import (
+    dedup_by_month,
     dedup_with_counts,
     keep_valid,
     mark_valid,
@@ -113,3 +115,25 @@ def test_scratch_folder_must_be_named_off_local_mode():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(SimpleNamespace(sparkContext=context))
+
+
+@pytest.mark.parametrize("slice_rows", [1, 500_000])
+def test_months_are_dealt_once_and_copies_meet(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(silver, "SLICE_ROWS", slice_rows)
+    rows = frame(spark, ROWS).withColumn("fare", F.lit(0.0))
+    odd = rows.withColumn("fare", F.lit(-0.0)).unionByName(rows.withColumn("year", F.lit(None).cast("int")))
+    several = rows.unionByName(odd).unionByName(rows.withColumn("fare", F.lit(float("nan"))))
+    dealt = dedup_by_month(several)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, dedup_with_counts(several).collect()))
+    plan = mark_valid(dealt)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(year" in plan
+    assert dedup_by_month(several.limit(0)).count() == 0
+
+
+def test_months_lie_together_after_a_load(spark, tmp_path):
+    rows = spark.range(4_000).select(F.col("id"), F.lit(2024).alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+    marked = dedup_by_month(rows.unionByName(rows).repartition(16)).withColumn("accepted", F.lit(True))
+    write_silver(marked, f"{tmp_path}/x", "first", gather=False)
+    files = list((tmp_path / "x").glob("load_id=first/year=*/month=*/*.parquet"))
+    assert len(files) == 12 and all(".zstd." in f.name for f in files)
+    assert read_load(spark, f"{tmp_path}/x", "first").filter("copies = 2").count() == 4_000

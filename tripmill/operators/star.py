@@ -212,8 +212,8 @@ def operator_dim(operators: DataFrame, existing: DataFrame | None = None) -> Dat
 def fact_trip(unified: DataFrame, operators: DataFrame, model: StarModel) -> DataFrame:
     """One row per silver row. Year and month are those of the pickup: silver keeps no other row.
 
-    ``operators`` should be read from its written table, whose size the optimizer knows: it
-    broadcasts it below the threshold and otherwise joins by sort and merge.
+    ``operators`` should be read from its written table and passed by ``lookup``: without it the optimizer joins by sort and
+    merge above its broadcast threshold, which shuffles every trip by a name that a few operators share.
     """
     keyed = unified.join(operators.select("operator", "operator_id"), "operator", "left")
     words = model.words

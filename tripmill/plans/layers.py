@@ -12,11 +12,11 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 
 from tripmill.operators.conform import align, conform
-from tripmill.operators.silver import dedup_with_counts, mark_valid
+from tripmill.operators.silver import dedup_by_month, dedup_with_counts, mark_valid
 from tripmill.plans import warehouse
 from tripmill.plans.pipeline import Layout, load_silver, new_load_id, read_star, run_gold, with_summary
 from tripmill.session import scratch_path
-from tripmill.sources.tables import read_silver
+from tripmill.sources.tables import CODEC, read_silver
 
 Layer = TypeVar("Layer")
 _OPENED: dict[tuple[str, str, str], object] = {}
@@ -35,7 +35,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip records of all feeds, one folder per feed."""
 
     def build(path: str) -> DataFrame:
-        warehouse.derive_trips(spark, sf_dir).write.partitionBy("feed").parquet(path)
+        warehouse.derive_trips(spark, sf_dir).write.option("compression", CODEC).partitionBy("feed").parquet(path)
         return spark.read.parquet(path)
 
     return _opened(spark, sf_dir, "landed", build)
@@ -50,15 +50,15 @@ def conformed_feed(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
     return align(conform(raw_feed(spark, sf_dir, feed), contract), contract)
 
 
-def marked_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def marked_feeds(
+    spark: SparkSession, sf_dir: str, dedup: Callable[[DataFrame], DataFrame] = dedup_with_counts
+) -> dict[str, DataFrame]:
     """De-duplicated rows with copies and verdict, per feed, not yet written."""
-    return {
-        feed: mark_valid(dedup_with_counts(conformed_feed(spark, sf_dir, feed))) for feed in warehouse.FEEDS
-    }
+    return {feed: mark_valid(dedup(conformed_feed(spark, sf_dir, feed))) for feed in warehouse.FEEDS}
 
 
 def build_silver(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
-    load_silver(spark, Layout("", path, ""), marked_feeds(spark, sf_dir), new_load_id())
+    load_silver(spark, Layout("", path, ""), marked_feeds(spark, sf_dir, dedup_by_month), new_load_id(), gather=False)
     contracts = warehouse.CONTRACTS.items()
     return {feed: read_silver(spark, f"{path}/{feed}", contract) for feed, contract in contracts}
 

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tripmill.operators import quality, star, summary
 from tripmill.operators.conform import cast_losses, conform_variants
 from tripmill.operators.contracts import PERIOD, StarModel
-from tripmill.operators.silver import dedup_with_counts, mark_valid, reconcile, stage_counts
+from tripmill.operators.silver import dedup_by_month, dedup_with_counts, mark_valid, reconcile, stage_counts
+from tripmill.session import lookup
 from tripmill.sources import landing, ledger
 from tripmill.sources.bronze import probed, read_feed
 from tripmill.sources.landing import KEY, manifest
 from tripmill.sources.files import delete, folder_names, path_exists
 from tripmill.sources.tables import (
+    CODEC,
     current_version,
     expire_versions,
     loaded_periods,
@@ -122,8 +124,8 @@ def run_silver(
     feeds at once, when its last step has recorded it.
 
     ``years`` restricts the run: a full load of very many periods can go year by year, so that one
-    shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan. ``gather`` False saves a
-    shuffle when few periods are pending (see ``write_silver``).
+    shuffle never holds all of history. ``audit_casts`` counts lost values, in one more scan. ``gather`` False deals
+    the rows by their hash alone when few periods are pending (see ``write_silver``).
     """
     load_id = new_load_id()
     files = manifest(spark, layout.bronze).filter(F.col("feed").isin(*model.contracts))
@@ -142,8 +144,9 @@ def run_silver(
         unreadable[feed] = read.unreadable
         if read.frames:
             path = f"{layout.silver}/{feed}"
-            marked = mark_valid(dedup_with_counts(conform_variants(read.frames, contract)))
-            write_silver(marked, path, load_id, gather)
+            conformed = conform_variants(read.frames, contract)
+            marked = mark_valid(dedup_by_month(conformed) if gather else dedup_with_counts(conformed))
+            write_silver(marked, path, load_id, False)  # either way after one shuffle
             schemas[feed] = ledger.schema_of(marked)
             written[feed] = read_load(spark, path, load_id)
             losses += [cast_losses(frame, contract) for frame in read.frames]
@@ -161,12 +164,13 @@ def run_silver(
     )
 
 
-def load_silver(spark: SparkSession, layout: Layout, marked: Mapping[str, DataFrame], load_id: str) -> None:
-    """One committed load out of rows that are de-duplicated and judged already, whatever files they come from."""
+def load_silver(spark: SparkSession, layout: Layout, marked: Mapping[str, DataFrame], load_id: str, gather: bool = True) -> None:
+    """One committed load out of rows that are de-duplicated and judged already, whatever files they come from. ``gather`` False
+    for rows whose months lie together already."""
     months, schemas = [], {}
     for feed, rows in marked.items():
         path = f"{layout.silver}/{feed}"
-        write_silver(rows, path, load_id)
+        write_silver(rows, path, load_id, gather)
         schemas[feed] = ledger.schema_of(rows)
         months.append(stage_counts(read_load(spark, path, load_id), feed))
     ledger.commit(spark, layout.silver, _union(months), load_id, schemas)
@@ -295,10 +299,10 @@ def run_gold(
     months, published last, says which build of each month counts, so readers see all of a run or nothing. ``rebuild``
     writes every month, for a changed model. ``keep`` expires all but that many versions.
 
-    The dimensions are written first, so Spark knows their size. Under its broadcast threshold the
-    operator lookup leaves the fact a map over silver, written without any shuffle, since silver
-    files already hold one period each. Above it the join is by sort and merge, with the skew handling of
-    adaptive execution; ``gather_fact`` then gathers the rows by period before the write.
+    The dimensions are written first, so their size is known. While operators are few (``lookup``) the fact is
+    a map over silver, written without any shuffle, since silver files already hold one period each. Above that the join is
+    Spark's choice, by sort and merge with the skew handling of adaptive execution; ``gather_fact`` then gathers the rows by
+    period before the write.
     """
     batch = f"b{new_load_id()}"
     work = publish(changed_inputs(spark, layout, rebuild).withColumn(BATCH, F.lit(batch)), layout.gold, "fact_work")
@@ -312,9 +316,9 @@ def run_gold(
     path = publish_after(spark, layout.gold, "dim_operator", lambda known: star.operator_dim(names, known))
     operators = spark.read.parquet(path)
     written["dim_operator"] = operators.count()
-    fact = star.fact_trip(unified, operators, model).withColumn(BATCH, F.lit(batch))
+    fact = star.fact_trip(unified, lookup(operators, written["dim_operator"]), model).withColumn(BATCH, F.lit(batch))
     gathered = fact.hint("rebalance", *PERIOD) if gather_fact else fact
-    gathered.write.mode("append").partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{FACT}")
+    gathered.write.mode("append").option("compression", CODEC).partitionBy(BATCH, *PERIOD).parquet(f"{layout.gold}/{FACT}")
     counts = spark.createDataFrame([], "year int, month int, n bigint")
     if batch_folder(spark, layout.gold, FACT, batch):
         new = _read_batches(spark, layout.gold, FACT).filter(F.col(BATCH) == batch)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tripmill.operators import checks, conform, mart, quality, reports, silver, star, summary, tiles
 from tripmill.operators.contracts import PERIOD
 from tripmill.plans import layers, pipeline, warehouse
-from tripmill.session import reachable, scratch_path
+from tripmill.session import lookup, reachable, scratch_path
 from tripmill.sources import files, landing, ledger, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,7 +459,7 @@ for _name, _key in (
 
 @register
 def fact_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operators = layers.gold(spark, sf_dir)["dim_operator"]
+    operators = lookup(layers.gold(spark, sf_dir)["dim_operator"])
     return star.fact_trip(_unified(spark, sf_dir), operators, MODEL).drop("trip_id")
 
 

@@ -19,6 +19,7 @@ from tripmill.operators.contracts import (
     StarModel,
     Vocabulary,
 )
+from tripmill.session import lookup
 
 FEEDS = ("a", "b", "c", "d")
 SEGMENT_FEED = {
@@ -199,11 +200,13 @@ def _money(amount: float | Column) -> Column:
 def derive_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trip records: one row shape for all feeds, before each feed's own spelling."""
     lines = load(spark, sf_dir, "lineitem")
-    # Catalyst broadcasts the small sides by size and sort-merge joins the others.
-    joined = (
-        lines.join(load(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    # Orders meet their customers first, both narrow, so the line items are shuffled at most once, by their order.
+    customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    orders = load(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders.select("o_orderkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    supplier = lookup(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        placed, F.col("l_orderkey") == F.col("o_orderkey")
     )
     copies = F.when(F.col("l_linenumber") == 7, 2).otherwise(1)
     planted = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))

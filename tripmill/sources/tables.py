@@ -21,6 +21,8 @@ CLAIM = "_CLAIMED"
 
 
 ACCEPTED = "accepted"
+# Of the large tables: digests of hexadecimal digits take half the bytes that they take by default.
+CODEC = "zstd"
 
 
 def overwrite_periods(
@@ -36,6 +38,7 @@ def overwrite_periods(
     (
         gathered.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", CODEC)
         .partitionBy(*partition_by)
         .parquet(path)
     )
@@ -113,7 +116,14 @@ def tolerant_silver(
 
 
 def loaded_periods(spark: SparkSession, root: str, feeds: Sequence[str]) -> DataFrame:
-    """Periods of which silver holds an accepted row, as the ledger has them; silver is not read."""
+    """Periods of which silver holds an accepted row, as the ledger has them; silver is not read. Tables without a record of
+    runs are read as they lie, two narrow columns of them."""
+    if not ledger.has_runs(spark, root):
+        empty = spark.createDataFrame([], "feed string, year int, month int")
+        lying = [feed for feed in feeds if path_exists(spark, f"{root}/{feed}")]
+        ddl = f"{ACCEPTED} boolean, year int, month int"
+        rows = [spark.read.schema(ddl).parquet(f"{root}/{feed}").filter(ACCEPTED).select(F.lit(feed).alias("feed"), *PERIOD) for feed in lying]
+        return reduce(lambda left, right: left.unionByName(right), rows, empty).distinct()
     months = ledger.current_months(spark, root).filter(F.col("feed").isin(*feeds))
     return months.filter(F.col("clean") > 0).select("feed", *PERIOD)
 
