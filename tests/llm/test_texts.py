@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -112,6 +113,22 @@ def test_encoder_equals_the_tokenizer():
         assert coder.ids(text.encode()).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_go_to_the_merges_directly(monkeypatch):
+    letters = [chr(point) for point in range(0x250) if chr(point).isalpha()] + ["\u212a", "\u212b", "\u0345", "ﬀ"]
+    choose = random.Random(5)
+    words = ["".join(choose.choices(letters if n % 3 else letters[:117], k=choose.randint(1, 12))) + choose.choice(["", ".", "?!"]) for n in range(3000)]
+    texts = [" ".join(words[at : at + 30]) for at in range(0, len(words), 20)]  # neighbours share words
+    wanted = packing.Encoder(packing.tokenizer_file()).tokenizer
+    for remember in (50, 80 << 20):
+        found = packing.Encoder(packing.tokenizer_file(), remember).ids_of([t.encode() for t in texts])
+        assert [ids.tolist() for ids in found] == [wanted.encode(t, add_special_tokens=False).ids for t in texts]
+    coder, calls = packing.Encoder(packing.tokenizer_file()), []
+    monkeypatch.setattr(coder, "plain", lambda text: calls.append(text) or wanted.encode(text, add_special_tokens=False).ids)
+    for at in range(0, 3000, 20):
+        coder.ids(" ".join(word.lower().rstrip(".?!") for word in words[at : at + 20] if word.isascii() or max(word) <= "\xff").encode())
+    assert not calls and coder.weight == sum(len(word) + len(ids) + coder.ENTRY for word, ids in coder.young.items())
+
+
 def test_packing_keeps_every_token(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").limit(150)
     odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string")

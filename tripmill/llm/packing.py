@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +50,10 @@ class Encoder:
     are kept: when the younger is full it becomes the older, and what is still used moves over.
 
     New words are encoded many at a time. A word of letters is one unit of the vocabulary's rules and ends in its only
-    token marked as a word's end; closing punctuation is a unit of its own, and case is folded by the rules. Other
-    words are encoded with a control character between them, whose token occurs in no other word; words that
-    hold the character are encoded alone."""
+    token marked as a word's end; closing punctuation is a unit of its own, and case is folded by the rules. Of letters
+    up to U+00FF the rules make one spelling each, whatever stands beside them, so such units go to the vocabulary's merges
+    directly. Other words are encoded with a control character between them, whose token occurs in no other word; words
+    that hold the character are encoded alone."""
 
     MARK = b"\x01"
     CLOSING = string.punctuation
@@ -71,13 +73,15 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.merges = self.tokenizer.model
+        self.spelling = {point: self.spelled(chr(point)) for point in range(256) if chr(point).isalpha()}
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def recall(self, word: bytes) -> bytes | None:
-        found = self.young.get(word)
-        return self.old.get(word) if found is None else found
+    def spelled(self, letter: str) -> str:
+        ((unit, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter))
+        return unit
 
     def remember_cut(self, words: list[bytes], coded: np.ndarray, ends: list[int], gap: int) -> None:
         begin, data = 0, coded.tobytes()
@@ -90,23 +94,34 @@ class Encoder:
         self.weight += len(word) + len(ids) + self.ENTRY
 
     def add(self, words: list[bytes]) -> None:
-        lettered, others = [], []
+        lettered, others, far = [], [], {}
+        young, old, tokenize, spelling = self.young, self.old, self.merges.tokenize, self.spelling
         for word in words:
             text = word.decode()
             core = text.rstrip(self.CLOSING)
-            if core.lower().isalpha():
-                tail = text[len(core) :]
-                lettered.append((word, (core.lower() if core.isascii() else core).encode(), tail))
-            else:
+            small = core.lower()
+            if not small.isalpha():
                 others.append(word)
-        new = [core for core in dict.fromkeys(core for _, core, _ in lettered) if self.recall(core) is None]
-        if new:
-            coded = np.array(self.plain(b" ".join(new).decode()), np.uint32)
-            self.remember_cut(new, coded, (np.flatnonzero(self.ends[coded]) + 1).tolist(), 0)
-        for word, core, tail in lettered:
+                continue
+            near = core.isascii() or max(core) <= "\xff"
+            key = (small if near else core).encode()
+            if key not in young:
+                if (ids := old.get(key)) is None and near:
+                    unit = small if small.isascii() else small.translate(spelling)
+                    ids = array("I", [token.id for token in tokenize(unit)]).tobytes()
+                if ids is None:
+                    far[key] = None
+                else:
+                    self.keep(key, ids)
+            if key != word:
+                lettered.append((word, key, text[len(core) :]))
+        if far:
+            coded = np.array(self.plain(b" ".join(far).decode()), np.uint32)
+            self.remember_cut(list(far), coded, (np.flatnonzero(self.ends[coded]) + 1).tolist(), 0)
+        for word, key, tail in lettered:
             if tail not in self.tails:
                 self.tails[tail] = np.array(self.plain(tail), np.uint32).tobytes()
-            self.keep(word, self.recall(core) + self.tails[tail])
+            self.keep(word, young[key] + self.tails[tail])
         together = [word for word in others if self.MARK not in word]
         if together:
             coded = np.array(self.plain((b" %s " % self.MARK).join(together).decode()), np.uint32)
@@ -116,23 +131,33 @@ class Encoder:
                 self.keep(word, np.array(self.plain(word.decode()), np.uint32).tobytes())
 
     def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        young = self.young
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. Words that are not remembered are encoded once for all of the texts."""
+        young, old = self.young, self.old
+        split = [text.split() for text in texts]
+        found = [list(map(young.get, words)) for words in split]
+        absent: dict[bytes, None] = {}
+        for words, coded in zip(split, found, strict=True):
+            absent.update(dict.fromkeys([word for word, ids in zip(words, coded, strict=True) if ids is None]))
         new = []
-        for word in dict.fromkeys(words):
-            if word not in young:
-                if (coded := self.old.get(word)) is not None:
-                    self.keep(word, coded)
-                else:
-                    new.append(word)
+        for word in absent:
+            if (ids := old.get(word)) is None:
+                new.append(word)
+            else:
+                self.keep(word, ids)
         for begin in range(0, len(new), 10_000):
             self.add(new[begin : begin + 10_000])
-        found = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
+        whole = [
+            np.frombuffer(b"".join([young[word] if ids is None else ids for word, ids in zip(words, coded, strict=True)]), np.uint32)
+            for words, coded in zip(split, found, strict=True)
+        ]
         if self.weight > self.remember:
             self.old, self.young, self.weight = young, {}, 0
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
-        return found
+        return whole
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -229,9 +254,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
         for part in (part for batch in batches for part in by_the_megabyte(batch)):
             raw, offsets = text_bytes(part.column("text"))
             data, ends = raw.tobytes(), offsets.tolist()
-            for doc, begin, end in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
-                ids = np.append(words.ids(data[begin:end]), np.uint32(separator))
-                rows.extend(bins.put(doc, ids, slack))
+            texts = words.ids_of([data[begin:end] for begin, end in zip(ends[:-1], ends[1:], strict=True)])
+            for doc, ids in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                rows.extend(bins.put(doc, np.append(ids, np.uint32(separator)), slack))
                 if len(rows) >= ROWS_PER_BATCH:
                     yield flush()
         rows.extend(bins.finish())
