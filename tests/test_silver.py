@@ -13,6 +13,7 @@ from tripmill.operators.silver import (
     pending_periods,
     reconcile,
 )
+from tripmill.plans import layers
 from tripmill.sources.tables import (
     loaded_periods,
     overwrite_periods,
@@ -137,3 +138,20 @@ def test_months_lie_together_after_a_load(spark, tmp_path):
     files = list((tmp_path / "x").glob("load_id=first/year=*/month=*/*.parquet"))
     assert len(files) == 12 and all(".zstd." in f.name for f in files)
     assert read_load(spark, f"{tmp_path}/x", "first").filter("copies = 2").count() == 4_000
+
+
+@pytest.mark.parametrize("gather, stages, count", [(False, 1, 36), (True, 2, 12)])
+def test_bronze_is_written_compactly_and_without_a_shuffle_on_request(spark, tmp_path, gather, stages, count):
+    ids = spark.range(0, 2_400, 1, 3)
+    rows = ids.select("id", F.lit("x").alias("NAME"), F.lit(2024).alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+    context = spark.sparkContext
+    context.setJobGroup("bronze", "")
+    try:
+        layers.write_bronze(rows, f"{tmp_path}/x", gather)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(job) for job in context.statusTracker().getJobIdsForGroup("bronze")]
+    assert (len({stage for job in jobs for stage in job.stageIds}) == 1) == (stages == 1)
+    files = list((tmp_path / "x").glob("year=2024/month=*/*.parquet"))
+    assert len(files) == count and all(".zstd." in f.name for f in files)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/x").select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))

@@ -12,6 +12,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 
 from tripmill.operators.conform import align, conform
+from tripmill.operators.contracts import PERIOD
 from tripmill.operators.silver import dedup_by_month, dedup_with_counts, mark_valid
 from tripmill.plans import warehouse
 from tripmill.plans.pipeline import Layout, load_silver, new_load_id, read_star, run_gold, with_summary
@@ -45,6 +46,13 @@ def raw_feed(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
     return warehouse.raw_feed(landed(spark, sf_dir), feed)
 
 
+def write_bronze(raw: DataFrame, path: str, gather: bool = True) -> None:
+    """A feed in its own spelling, one folder a month. ``gather`` False saves a shuffle of all rows: every task of the scan
+    brings each month a file, and silver's own shuffle gathers the months."""
+    gathered = raw.hint("rebalance", *PERIOD) if gather else raw
+    gathered.write.option("compression", CODEC).partitionBy(*PERIOD).parquet(path)
+
+
 def conformed_feed(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
     contract = warehouse.CONTRACTS[feed]
     return align(conform(raw_feed(spark, sf_dir, feed), contract), contract)

@@ -291,8 +291,7 @@ def lake_run_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = scratch_path(spark, "lake")
     layout = pipeline.Layout(f"{lake}/bronze", f"{lake}/silver", f"{lake}/gold")
     for feed in warehouse.FEEDS:
-        raw = layers.raw_feed(spark, sf_dir, feed)
-        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
+        layers.write_bronze(layers.raw_feed(spark, sf_dir, feed), f"{layout.bronze}/{feed}", gather=False)
     expected, zones = _calendar(spark, sf_dir), warehouse.zones(spark, sf_dir)
     broken = f"{layout.bronze}/b/year=1998/month=3/broken.parquet"
     files.write_bytes(spark, broken, b"no table at all " * 200)
