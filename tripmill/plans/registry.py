@@ -278,8 +278,7 @@ def landing_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = scratch_path(spark, "lake")
     layout = pipeline.Layout(f"{lake}/bronze", f"{lake}/silver", f"{lake}/gold")
     for feed in warehouse.FEEDS:
-        raw = layers.raw_feed(spark, sf_dir, feed)
-        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
+        layers.write_bronze(layers.raw_feed(spark, sf_dir, feed), f"{layout.bronze}/{feed}")
     return pipeline.run_silver(spark, layout, MODEL).stages
 
 
@@ -315,9 +314,8 @@ def reject_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = layers.landed(spark, sf_dir)
     stray = F.expr("feed = 'd' and vendor = 5")
     for feed in warehouse.FEEDS:
-        raw = warehouse.raw_feed(trips.filter(~stray), feed)
-        raw.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(f"{layout.bronze}/{feed}")
-    warehouse.raw_feed(trips.filter(stray), "d").write.parquet(f"{layout.bronze}/d/late")
+        layers.write_bronze(warehouse.raw_feed(trips.filter(~stray), feed), f"{layout.bronze}/{feed}")
+    warehouse.raw_feed(trips.filter(stray), "d").write.option("compression", tables.CODEC).parquet(f"{layout.bronze}/d/late")
     files.write_bytes(spark, f"{layout.bronze}/b/year=1998/month=3/broken.parquet", b"no table at all " * 200)
     pipeline.run_silver(spark, layout, MODEL)
     return pipeline.row_balance(spark, layout, MODEL).drop("rejected_files")
