@@ -404,6 +404,27 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert forest.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_large_embedding_groups_take_few_jobs(spark, monkeypatch):
+    """Labels larger than a task's load, components larger than a count's, and as many jobs as for small ones but for the trees."""
+    for name, value in (("LEAF", 24), ("SAMPLE", 200), ("BLOCK", 16), ("GROUP_BYTES", 128 * 80), ("COUNTED", 40)):
+        monkeypatch.setattr(forest, name, value, raising=False)
+    random = np.random.default_rng(9)
+    points = [c + 0.05 * random.standard_normal(16) for c in random.standard_normal((60, 16)) for _ in range(4)]
+    points += [np.eye(16)[0] + 0.02 * random.standard_normal(16) for _ in range(150)] + [np.eye(16)[1] * (1 + k) for k in range(170)]
+    points += [np.cos(k / 50) * np.eye(16)[2] + np.sin(k / 50) * np.eye(16)[3] for k in range(314)]
+    table = spark.createDataFrame([(i, [float(v) for v in p], i % 2 if i < 240 else 0) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>, label int")
+    spark.sparkContext.setJobGroup("forest", "forest")
+    found = {r["vec_id"]: r for r in forest.near_duplicates(table).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("forest"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    x = np.array(points) / np.linalg.norm(points, axis=1, keepdims=True)
+    label = np.array([i % 2 if i < 240 else 0 for i in range(len(points))])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    assert [found[i]["n_links"] for i in range(len(points))] == (near.sum(1) - 1).tolist()
+    assert {found[i]["component_id"] for i in range(240, 390)} == {240} and {found[i]["component_id"] for i in range(560, 874)} == {560}
+    assert jobs < 160
+
+
 # ---------------------------------------------------------------- pipeline
 
 
