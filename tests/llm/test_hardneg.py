@@ -80,3 +80,15 @@ def test_ranges_hold_every_row_and_drop_siblings(spark):
     queries = rows.filter("id % 50 = 0").select("key", hardneg.F.col("key").alias("row"), "label", "vector", narrow.alias("windows"))
     looked = hardneg.descend(queries, levels, False).count()
     assert looked < 0.5 * queries.count() * leaves.select("node").distinct().count()
+
+
+def test_groups_larger_than_a_task_take_few_jobs(spark, monkeypatch):
+    """The driver keeps something of every job, so there must not be more of them for a deeper tree."""
+    monkeypatch.setattr(hardneg, "GROUP_BYTES", 150 * 12 * 8, raising=False)
+    monkeypatch.setattr(hardneg, "ASKED", 5, raising=False)
+    rows = clustered(900, 6) + [(i, clustered(1, 7)[0][1], i % 3) for i in range(900, 1300)]
+    spark.sparkContext.setJobGroup("mining", "mining")
+    found = mine(spark, rows, leaf=32)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mining"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == brute(rows) and jobs < 80
